@@ -63,7 +63,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans of conv_id, turn, role, text."""
     role, text = (escaped(F.coalesce(F.col(c), F.lit(""))) for c in ("role", "text"))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    parts = rows.groupBy("conv_id", F.floor(F.col("turn") / PART).alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    parts = rows.groupBy("conv_id", F.floor(F.col("turn") / PART).alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
     def fold(so_far: Column, turn: Column) -> Column:
         before = F.when(so_far.role.isNull(), "").when(so_far.role == turn.role, NEXT).otherwise(F.concat(F.lit(CLOSE), _head(turn.role)))
@@ -73,7 +73,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     nothing = F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("body"), F.array().cast(SPANS).alias("spans"))
     folded = parts.select("conv_id", "part", F.col("turns")[0]["role"].alias("first"), F.aggregate("turns", nothing, fold).alias("fold"))
-    whole = folded.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "first", F.col("fold.role").alias("last"), "fold.body", "fold.spans"))).alias("parts"))
+    whole = folded.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "first", F.col("fold.role").alias("last"), "fold.body", "fold.spans"))).alias("parts"))
 
     def joined(parts: Column) -> Column:
         def piece(part: Column, k: Column) -> Column:

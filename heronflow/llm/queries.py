@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from heronflow.llm import chat_format
+from heronflow.llm import chat_format, quality_rules
 from heronflow.llm.chat_format import op2_chat_format
+from heronflow.llm.quality_rules import op5_quality_rules
 from heronflow.llm.sentencepiece_codec import op1_sentencepiece
 from heronflow.llm.simhash import op8_simhash
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op8_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op5_quality_rules, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op5_quality_rules": quality_rules.SQL}
