@@ -9,11 +9,12 @@ from heronflow.llm.chat_format import op2_chat_format
 from heronflow.llm.quality_rules import op5_quality_rules
 from heronflow.llm.sentencepiece_codec import op1_sentencepiece
 from heronflow.llm.simhash import op8_simhash
+from heronflow.llm.suffix_dedup import op4_suffix_dedup
 from heronflow.llm.substring_dedup import op7_substring_dedup
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op5_quality_rules, op7_substring_dedup, op8_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op4_suffix_dedup, op5_quality_rules, op7_substring_dedup, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
