@@ -11,8 +11,6 @@ Rules that hold for every operator here, unless its own docstring differs:
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +33,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept where every executor can read it again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``; only
+    if the session has none (tests) one under /tmp."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
 
-    Uses the folder of ``spark.checkpoint.dir``; only if the session has none
-    (tests) a folder under /tmp is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept where every executor can read it again."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

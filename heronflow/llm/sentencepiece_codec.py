@@ -29,15 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from heronflow.llm.common import table, texts
+from heronflow.llm.common import table, texts, without
 
 MARK = "▁"
 #: A Python worker remembers up to twice as many words, about 70 MB.
 WORDS_KEPT = 200_000
 #: Up to this length words are merged side by side, one merge each a round.
 SHORT = 32
-SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
+ENCODED = "n_tokens bigint, ids binary, decoded string"
 
 
 def merged(symbols: list[str], score: dict[str, float]) -> list[str]:
@@ -235,25 +236,27 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, carry: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (packed little-endian unsigned 32-bit, with begin
-    and end), decoded (the text that the ids stand for). Narrow: no shuffle."""
+    and end), decoded (the text that the ids stand for); with ``carry`` behind
+    all columns of ``docs`` as they are. Narrow: no shuffle."""
+    rows = without(docs, "n_tokens", "ids", "decoded") if carry else texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    kept = len(rows.columns) if carry else 1
+    at = rows.columns.index("text")
+    schema = StructType([*rows.schema.fields[:kept], *StructType.fromDDL(ENCODED).fields])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(model_path)
         begin, end = (x.to_bytes(4, "little") for x in (model.begin, model.end))
         for batch in batches:
             # A few documents at a time: their ids are larger than their text.
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [begin + x + end for x in model.encode(part.column(1).to_pylist())]
-                decoded = [model.decode(x) for x in ids]
-                yield pa.record_batch(
-                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
-                )
-
-    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(encoded, SCHEMA)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                ids = [begin + x + end for x in model.encode([t or "" for t in part.column(at).to_pylist()])]
+                found = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([model.decode(x) for x in ids], pa.string())]
+                yield pa.record_batch([*part.columns[:kept], *found], names=schema.names)
+
+    return rows.mapInArrow(encoded, schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
