@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from heronflow.llm import chat_format, quality_rules
+from heronflow.llm import chat_format, license_scan, quality_rules
 from heronflow.llm.chat_format import op2_chat_format
 from heronflow.llm.decontaminate import op3_decontaminate
+from heronflow.llm.license_scan import op6_license_scan
 from heronflow.llm.quality_rules import op5_quality_rules
 from heronflow.llm.sentencepiece_codec import op1_sentencepiece
 from heronflow.llm.simhash import op8_simhash
@@ -15,8 +16,8 @@ from heronflow.llm.substring_dedup import op7_substring_dedup
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_decontaminate, op4_suffix_dedup, op5_quality_rules, op7_substring_dedup, op8_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_decontaminate, op4_suffix_dedup, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.SQL, "op5_quality_rules": quality_rules.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op5_quality_rules": quality_rules.SQL, "op6_license_scan": license_scan.SQL}
