@@ -7,6 +7,7 @@ from collections.abc import Callable
 from heronflow.llm import chat_format, license_scan, quality_rules
 from heronflow.llm.chat_format import op2_chat_format
 from heronflow.llm.decontaminate import op3_decontaminate
+from heronflow.llm.language_id import op10_language_id
 from heronflow.llm.license_scan import op6_license_scan
 from heronflow.llm.quality_rules import op5_quality_rules
 from heronflow.llm.sentencepiece_codec import op1_sentencepiece
@@ -16,7 +17,7 @@ from heronflow.llm.substring_dedup import op7_substring_dedup
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_decontaminate, op4_suffix_dedup, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_decontaminate, op4_suffix_dedup, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_simhash, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
