@@ -9,6 +9,7 @@ from heronflow.llm.chat_format import op2_chat_format
 from heronflow.llm.decontaminate import op3_decontaminate
 from heronflow.llm.language_id import op10_language_id
 from heronflow.llm.license_scan import op6_license_scan
+from heronflow.llm.quality_classifier import op9_quality_classifier
 from heronflow.llm.quality_rules import op5_quality_rules
 from heronflow.llm.sentencepiece_codec import op1_sentencepiece
 from heronflow.llm.simhash import op8_simhash
@@ -17,7 +18,7 @@ from heronflow.llm.substring_dedup import op7_substring_dedup
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_decontaminate, op4_suffix_dedup, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_decontaminate, op4_suffix_dedup, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_simhash, op9_quality_classifier, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
