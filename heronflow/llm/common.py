@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: What the contracts call white space between words: blank, and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Rows of a few narrow columns that are broadcast at most: some 10 MB.
+BROADCAST_ROWS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +50,13 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` computed once, and marked for broadcast if it is small: a few
+    narrow columns of at most ``rows`` rows. Beyond that Spark shuffles."""
+    kept = shared(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
 def utf8_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of text in the table: one cheap scan that sizes the work."""
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

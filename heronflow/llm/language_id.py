@@ -15,10 +15,10 @@ all shorter ones for what it has not, and the escapes to them are worked out
 once, so a text is coded by table look-ups over its bytes.
 
 Training: documents with text and language whose crc32 of the doc_id, as text,
-modulo 5 is not 0. Of each language at most :data:`SAMPLE` documents are
-counted, those of the least hash of the id (a documented bound; a language with
-fewer is counted whole), and of each at most :data:`SAMPLE_BYTES` bytes. Only
-the text of what is predicted is looked at, and all of it.
+modulo 5 is not 0. Of each language about :data:`SAMPLE` documents are counted,
+those of a low hash of the id (a documented bound; a language with fewer is
+counted whole), and of each at most :data:`SAMPLE_BYTES` bytes. Only the text of
+what is predicted is looked at, and all of it.
 
 Cases: a null text, and one without a letter, is ``und`` with score 0; a null
 language teaches nothing; without training rows everything is ``und``; repeated
@@ -33,12 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import table
+from heronflow.llm.common import sized, table
 
 SAMPLE, SAMPLE_BYTES = 1500, 20_000
+#: Steps in which the share of a language that is sampled is told.
+PARTS = 1 << 24
 ORDER = 3
 FOLDS = 5
 UNKNOWN = "und"
@@ -193,12 +195,12 @@ class Model:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """lang, text of at most SAMPLE rows of each language."""
+    """lang, text of about SAMPLE rows of each language that has as many."""
     rows = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ranked = rows.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    # Ids first: the texts of what is not taken never move.
-    last = ranked.select("lang", "h", F.row_number().over(Window.partitionBy("lang").orderBy("h")).alias("r")).where(F.col("r") <= SAMPLE).groupBy("lang").agg(F.max("h").alias("last"))
-    return ranked.join(F.broadcast(last), "lang").where("h <= last").select("lang", "text")
+    # A share of each language's ids, by hash; nothing is sorted or gathered.
+    shares = sized(rows.groupBy("lang").agg((F.lit(SAMPLE * PARTS) / F.count("*")).alias("_share")))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    return rows.select("lang", "doc_id", "text").join(shares, "lang").where(h < F.col("_share")).select("lang", "text")
 
 
 def learn(train: DataFrame) -> Model:
