@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import texts, utf8_bytes
+from heronflow.llm.common import utf8_bytes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Positions that are looked at together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bits of a cell beyond those that number the hashes: one hash in 4096 meets another by chance.
 SPARE_BITS = 12
 ANSWER = "block bigint, step int, shard bigint, bits binary"
@@ -59,12 +59,13 @@ def gram_hashes(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.nda
         power = power * power % 2**64
 
 
-def minimizers(h: np.ndarray, k: int, window: int, ok: np.ndarray) -> tuple[np.ndarray, ...]:
+def minimizers(h: np.ndarray, k: int, window: int, ok: np.ndarray, by: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Runs of consecutive windows that share a minimizer.
 
-    ``h``: a hash for each position; ``ok``: which positions start a window that
-    lies in one document. Returns first window, number of windows, position of
-    the minimizer and its hash, for each run.
+    ``h``: a hash for each position, or, with ``by``, its place in that table;
+    ``ok``: which positions start a window that lies in one document. Returns
+    first window, number of windows, position of the minimizer and its hash, for
+    each run.
     """
     out = []
     total = len(h) - window + 1
@@ -72,7 +73,8 @@ def minimizers(h: np.ndarray, k: int, window: int, ok: np.ndarray) -> tuple[np.n
         end = min(total, start + CHUNK)
         if not ok[start:end].any():
             continue
-        g = gram_hashes(h[start : end + window - 1], k)
+        part = h[start : end + window - 1]
+        g = gram_hashes(part if by is None else by[part], k)
         least = (g & ~U64(0x3FFFFF)) | np.arange(len(g), dtype=U64)
         width, want = 1, window - k + 1
         while width < want:
@@ -94,8 +96,12 @@ def minimizers(h: np.ndarray, k: int, window: int, ok: np.ndarray) -> tuple[np.n
 
 def window_starts(lengths: np.ndarray, window: int) -> np.ndarray:
     """Which positions of the joined documents start a window inside one."""
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    return np.arange(len(ends)) + window <= ends
+    ok = np.ones(int(lengths.sum()), bool)
+    end = 0
+    for n in lengths.tolist():
+        end += n
+        ok[max(end - n, end - window + 1) : end] = False
+    return ok
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -140,22 +146,26 @@ class Sizes:
         return np.r_[np.searchsorted(cells, edges), len(cells)]
 
 
-def in_blocks(docs: DataFrame, sizes: Sizes) -> DataFrame:
-    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(sizes.blocks))
-    return rows.select("doc_id", F.col("text").cast("binary").alias("text"), block.alias("block")).repartition(sizes.blocks, "block")
+def in_blocks(docs: DataFrame, sizes: Sizes, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, text (as bytes) and block, and ``rest`` if columns are carried."""
+    text = F.coalesce("text", F.lit(""))
+    doc_id = F.col("doc_id").cast("bigint")
+    rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry is not None else []
+    block = F.pmod(F.xxhash64(doc_id, text), F.lit(sizes.blocks))
+    return docs.select(doc_id.alias("doc_id"), text.cast("binary").alias("text"), *rest, block.alias("block")).repartition(sizes.blocks, "block")
 
 
 def sized(docs: DataFrame, hashes_a_byte: float, candidates_a_shard: int) -> Sizes:
     return Sizes(utf8_bytes(docs), hashes_a_byte, candidates_a_shard)
 
 
-def rows_of(block: pa.Table) -> tuple[int, list, list[bytes]]:
-    """Number of the block, its ids (nulls last) and texts, in a fixed order."""
+def rows_of(block: pa.Table) -> tuple[int, list, list[bytes], list[int]]:
+    """Number of the block, its ids (nulls last) and texts in a fixed order, and
+    which row of the table each is."""
     ids, found = block.column("doc_id").to_pylist(), block.column("text").to_pylist()
     order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, found[k]))
     number = block.column("block")[0].as_py() if len(ids) else 0
-    return number, [ids[k] for k in order], [found[k] for k in order]
+    return number, [ids[k] for k in order], [found[k] for k in order], order
 
 
 def cell_rows(number: int, sizes: Sizes, step: int, cells: np.ndarray, many: np.ndarray) -> list[tuple]:

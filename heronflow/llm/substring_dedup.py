@@ -42,7 +42,7 @@ class Block:
     def __init__(self, rows: pa.Table):
         from xxhash import xxh3_64_digest
 
-        self.number, self.ids, found = B.rows_of(rows)
+        self.number, self.ids, found, _ = B.rows_of(rows)
         self.words = [t.split() for t in found]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.hashes = np.frombuffer(b"".join([xxh3_64_digest(w) for ws in self.words for w in ws]), ">u8").astype(np.uint64)
@@ -139,10 +139,11 @@ def drop_repeated(docs: DataFrame) -> DataFrame:
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     """Which of n positions lie in a window that begins at ``starts``."""
-    begins = np.zeros(n + 1, np.int64)
-    begins[starts] = 1
-    seen = np.cumsum(begins)[:-1]
-    seen[window:] -= seen[:-window].copy()
+    seen = np.zeros(n, np.int32)
+    seen[starts] = 1
+    np.cumsum(seen, out=seen)
+    before = seen[: max(0, n - window)].copy()
+    seen[window:] -= before
     return seen > 0
 
 

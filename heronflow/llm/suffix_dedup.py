@@ -34,9 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from heronflow.llm import blocks as B
-from heronflow.llm.common import table, without
+from heronflow.llm.common import table
 from heronflow.llm.substring_dedup import covered
 
 WINDOW, GRAM = 50, 24
@@ -208,13 +209,13 @@ class Block:
     """The bytes of a block's documents and the runs of windows among them."""
 
     def __init__(self, rows: pa.Table):
-        self.number, self.ids, self.texts = B.rows_of(rows)
+        self.number, self.ids, self.texts, self.rows = B.rows_of(rows)
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
         ok = B.window_starts(self.lengths, WINDOW)
-        named = np.array([k is not None for k in self.ids], bool)
-        ok &= np.repeat(named, self.lengths)
-        self.first, self.count, self.place, self.key = B.minimizers(_BYTE[self.data], GRAM, WINDOW, ok)
+        # Rows without an id come last.
+        ok[sum(n for n, k in zip(self.lengths.tolist(), self.ids, strict=True) if k is not None) :] = False
+        self.first, self.count, self.place, self.key = B.minimizers(self.data, GRAM, WINDOW, ok, by=_BYTE)
         row = np.searchsorted(np.cumsum(self.lengths), self.first, side="right")
         self.doc = np.array([k or 0 for k in self.ids], np.int64)[row] if len(self.ids) else row
 
@@ -270,15 +271,19 @@ class Block:
         return covered(B.ranges(self.first[self.hot], count)[gone], WINDOW, len(self.data))
 
 
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_text string"
+RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def drop_repeated(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the
-    bytes that stay) of every row of ``docs``. With ``whole_characters`` also
-    kept_text: characters that lose some of their bytes stay whole there."""
+def drop_repeated(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the
+    bytes that stay) of every row of ``docs``. With the columns ``carry`` instead
+    of kept: rest, a struct of these, and kept_text, in which a character that
+    loses some of its bytes stays whole."""
     sizes = B.sized(docs, 0.08, 4 << 20)
-    dealt = B.in_blocks(docs, sizes)
+    dealt = B.in_blocks(docs, sizes, carry)
+    schema = StructType.fromDDL(RESULT)
+    if carry is not None:
+        schema = StructType([*schema.fields[:-1], *dealt.select("rest").schema.fields, StructField("kept_text", StringType())])
 
     def send_cells(rows: pa.Table) -> pa.Table:
         block = Block(rows)
@@ -294,27 +299,25 @@ def drop_repeated(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
         block = Block(rows)
         block.candidates(sizes, flags)
         gone = block.removed(flags)
-        columns: list[list] = [[], [], [], []]
+        removed, spans, kept = [], [], []
         start = 0
         for text in block.texts:
             mine = gone[start : start + len(text)]
             start += len(text)
             n = int(mine.sum())
-            columns[0].append(n)
-            columns[1].append(int((mine[1:] & ~mine[:-1]).sum()) + int(mine[:1].sum()))
+            removed.append(n)
+            spans.append(int((mine[1:] & ~mine[:-1]).sum()) + int(mine[:1].sum()))
             raw = np.frombuffer(text, np.uint8)
-            columns[2].append(raw[~mine].tobytes() if n else text)
-            columns[3].append(_whole(raw, mine) if whole_characters else None)
-        return pa.table(
-            [pa.array(block.ids, pa.int64()), pa.array(block.lengths), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.string())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"],
-        )
+            kept.append(_whole(raw, mine) if carry is not None else raw[~mine].tobytes() if n else text)
+        found = [pa.array(block.ids, pa.int64()), pa.array(block.lengths), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
+        if carry is not None:
+            found.append(rows.column("rest").take(pa.array(block.rows, pa.int64())))
+        return pa.table([*found, pa.array(kept, pa.binary() if carry is None else pa.string())], names=schema.names)
 
     repeated = B.answered(dealt.groupBy("block").applyInArrow(send_cells, B.CELLS), sizes.shards, B.repeated_cells)
     runs = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(send_runs, RUNS)
     taken = B.answered(runs, sizes.exact_shards, taken_windows)
-    out = dealt.groupBy("block").cogroup(repeated.union(taken).groupBy("block")).applyInArrow(result, RESULT)
-    return out if whole_characters else out.drop("kept_text")
+    return dealt.groupBy("block").cogroup(repeated.union(taken).groupBy("block")).applyInArrow(result, schema)
 
 
 def _whole(raw: np.ndarray, gone: np.ndarray) -> str:
@@ -329,13 +332,13 @@ def _whole(raw: np.ndarray, gone: np.ndarray) -> str:
 def cut_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with text less what is repeated, whole characters only, and
     n_chars to match. Documents that lose all their text are left out; rows
-    without an id stay as they are. Of repeated rows of an id one stays."""
-    cut = drop_repeated(docs.where("doc_id is not null"), whole_characters=True).where("n_removed > 0").groupBy("doc_id").agg(F.min("kept_text").alias("_text"), F.lit(True).alias("_cut"))
-    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(cut, "doc_id", "left")
-    text = F.when(F.col("_cut"), F.col("_text")).otherwise(F.col("text"))
-    chars = {"n_chars": F.when(F.col("_cut"), F.char_length("_text").cast("bigint")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    out = rows.withColumns({"text": text, **chars}).where("_cut is null or trim(text) <> ''")
-    return without(out, "_text", "_cut").select(docs.columns).union(docs.where("doc_id is null"))
+    without an id, and those that lose nothing, stay as they are."""
+    others = [c for c in docs.columns if c.lower() != "text"]
+    cut = drop_repeated(docs.withColumn("_null", F.col("text").isNull()), [*others, "_null"]).where("n_removed = 0 or trim(kept_text) <> ''")
+    columns = {c: F.col(f"rest.`{c}`") for c in others} | {"text": F.when(~F.col("rest._null"), F.col("kept_text"))}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("bigint")).otherwise(columns["n_chars"])
+    return cut.select(*(columns.get(c, columns["text"]).alias(c) for c in docs.columns))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
