@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronflow.llm.blocks import packed_deltas, unpacked_deltas
 from heronflow.llm.common import shared, table, texts
 
 TRAIN_ROWS, SHARES, EPOCHS = 20_000, 4, 3
@@ -74,13 +75,13 @@ def measures(text: str) -> dict[str, float]:
         return {}
     lines = [x for x in text.split("\n") if x.strip()]
     windows = len(set(zip(words, words[1:], words[2:], strict=False)))
-    letters = sum(map(len, _bare(text)))
+    marks = len(text) - text.count(" ")
     return {
         "symbols": len(_symbols(text)) / n,
         "repeats": sum(map(str.__eq__, words, words[1:])) / n,
         "windows": 1 - windows / (n - 2),
         "lines": 1 - len(set(lines)) / len(lines) if len(lines) > 2 else 0.0,
-        "shouting": max(len(_capitals(text)) / max(1, letters), text.count("!") / n) if n >= 5 else 0.0,
+        "shouting": max(len(_capitals(text)) / marks, text.count("!") / n) if n >= 5 else 0.0,
     }
 
 
@@ -194,18 +195,29 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def vote_counts(docs: DataFrame, labels: DataFrame, lexicon: frozenset[str]) -> tuple[dict[str, int], dict[str, int]]:
-    """How often each combination of votes on junk and on toxic occurs; the last
-    vote is that of ``labels``."""
+def analysed(docs: DataFrame, lexicon: frozenset[str]) -> DataFrame:
+    """doc_id, junk and toxic (votes) and at (packed features) of each row, so
+    that texts are gone through once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [votes(t, measures(t), lexicon) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), *(pa.array([x[k] for x in found], pa.string()) for k in (0, 1))], names=["doc_id", "junk", "toxic"])
+            junk, toxic, at = [], [], []
+            for text in batch.column(1).to_pylist():
+                shares = measures(text)
+                said = votes(text, shares, lexicon)
+                junk.append(said[0])
+                toxic.append(said[1])
+                at.append(packed_deltas(features(text, shares).astype(np.uint64)))
+            yield pa.record_batch([batch.column(0), pa.array(junk, pa.string()), pa.array(toxic, pa.string()), pa.array(at, pa.binary())], names=["doc_id", "junk", "toxic", "at"])
+
+    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, "doc_id bigint, junk string, toxic string, at binary")
+
 
+def vote_counts(rows: DataFrame, labels: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """How often each combination of votes on junk and on toxic occurs; the last
+    vote is that of ``labels``."""
     opinion = labels.groupBy("doc_id").agg(F.max("toxic").alias("is_toxic"), F.min("quality").alias("is_good"))
-    said = texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, "doc_id bigint, junk string, toxic string").join(opinion, "doc_id", "left")
-    said = said.select(
+    said = rows.select("doc_id", "junk", "toxic").join(opinion, "doc_id", "left").select(
         F.concat("junk", F.when(F.col("is_good") == 0, "1").when(F.col("is_good") == 1, "0").otherwise("?")).alias("junk"),
         F.concat("toxic", F.when(F.col("is_toxic") == 1, "1").when(F.col("is_toxic") == 0, "0").otherwise("?")).alias("toxic"),
     )
@@ -217,26 +229,24 @@ def vote_counts(docs: DataFrame, labels: DataFrame, lexicon: frozenset[str]) ->
     return junk, toxic
 
 
-def train_scorers(docs: DataFrame, labellers: tuple[Labellers, Labellers], lexicon: frozenset[str], n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+def train_scorers(rows: DataFrame, labellers: tuple[Labellers, Labellers], n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the scorers of junk and of toxic, averaged over shares."""
     part = min(1.0, TRAIN_ROWS / max(1, n_docs))
-    h = F.xxhash64("doc_id", "text")
-    sample = texts(docs).select("text", h.alias("h")).where(F.pmod(h, F.lit(1_000_000)) < int(part * 1_000_000))
+    h = F.xxhash64("doc_id", "at")
+    sample = rows.select("junk", "toxic", "at", h.alias("h")).where(F.pmod(h, F.lit(1_000_000)) < int(part * 1_000_000))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        examples = []
         for batch in batches:
-            for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shares = measures(text)
-                said = votes(text, shares, lexicon)
-                rows.append((key, features(text, shares), [p.posterior(s) for p, s in zip(labellers, said, strict=True)]))
-        rows.sort(key=lambda r: r[0])
+            for junk, toxic, at, key in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                examples.append((key, unpacked_deltas(at).astype(np.int64), [p.posterior(s) for p, s in zip(labellers, (junk, toxic), strict=True)]))
+        examples.sort(key=lambda r: r[0])
         models = Ftrl(), Ftrl()
         for _ in range(EPOCHS):
-            for _, at, labels in rows:
+            for _, at, labels in examples:
                 for model, label in zip(models, labels, strict=True):
                     model.learn(at, label)
-        yield pa.record_batch([pa.array([len(rows)], pa.int64()), *(pa.array([m.weights().astype(np.float32).tobytes()], pa.binary()) for m in models)], names=["n", "junk", "toxic"])
+        yield pa.record_batch([pa.array([len(examples)], pa.int64()), *(pa.array([m.weights().astype(np.float32).tobytes()], pa.binary()) for m in models)], names=["n", "junk", "toxic"])
 
     found = [r for r in sample.repartition(SHARES, "h").mapInArrow(learn, "n bigint, junk binary, toxic binary").collect() if r["n"]]
     total = sum(r["n"] for r in found)
@@ -246,29 +256,29 @@ def train_scorers(docs: DataFrame, labellers: tuple[Labellers, Labellers], lexic
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and the probabilities junk and toxic of each row of ``docs``."""
-    lexicon = learn_lexicon(docs, labels)
-    junk, toxic = vote_counts(docs, labels, lexicon)
+    rows = shared(analysed(docs, learn_lexicon(docs, labels)))
+    junk, toxic = vote_counts(rows, labels)
     labellers = Labellers(junk, 8), Labellers(toxic, 3)
-    weights = train_scorers(docs, labellers, lexicon, sum(junk.values()))
-    held = docs.sparkSession.sparkContext.broadcast((lexicon, labellers, weights))
+    weights = train_scorers(rows, labellers, sum(junk.values()))
+    held = docs.sparkSession.sparkContext.broadcast((labellers, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, labellers, weights = held.value
+        labellers, weights = held.value
         known: tuple[dict[str, float], ...] = {}, {}
         for batch in batches:
-            out: tuple[list[float], list[float]] = [], []
-            for text in batch.column(1).to_pylist():
-                shares = measures(text)
-                at, said = features(text, shares), votes(text, shares, lexicon)
-                for k, (by, w) in enumerate(zip(labellers, weights, strict=True)):
-                    if said[k] not in known[k]:
-                        p = by.posterior(said[k])
-                        known[k][said[k]] = float(np.log(p / (1 - p)) - np.log(by.share / (1 - by.share)))
-                    odds = known[k][said[k]] + w[at].sum(dtype=np.float64) + w[BUCKETS]
-                    out[k].append(float(1 / (1 + np.exp(-np.clip(odds, -50, 50)))))
-            yield pa.record_batch([batch.column(0), pa.array(out[0], pa.float64()), pa.array(out[1], pa.float64())], names=["doc_id", "junk", "toxic"])
-
-    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, SCORED)
+            features_of = [unpacked_deltas(at).astype(np.int64) for at in batch.column(3).to_pylist()]
+            out = []
+            for k, (by, w) in enumerate(zip(labellers, weights, strict=True)):
+                odds = []
+                for said, at in zip(batch.column(1 + k).to_pylist(), features_of, strict=True):
+                    if said not in known[k]:
+                        p = by.posterior(said)
+                        known[k][said] = float(np.log(p / (1 - p)) - np.log(by.share / (1 - by.share)))
+                    odds.append(known[k][said] + w[at].sum(dtype=np.float64) + w[BUCKETS])
+                out.append(1 / (1 + np.exp(-np.clip(np.array(odds, float), -50, 50))))
+            yield pa.record_batch([batch.column(0), pa.array(out[0]), pa.array(out[1])], names=["doc_id", "junk", "toxic"])
+
+    return rows.mapInArrow(run, SCORED)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
