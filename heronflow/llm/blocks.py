@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import utf8_bytes
+from heronflow.llm.common import small_batches, utf8_bytes
 
 BLOCK_BYTES = 4 << 20
 #: Positions that are looked at together.
@@ -148,6 +148,7 @@ class Sizes:
 
 def in_blocks(docs: DataFrame, sizes: Sizes, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text (as bytes) and block, and ``rest`` if columns are carried."""
+    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     doc_id = F.col("doc_id").cast("bigint")
     rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry is not None else []

@@ -19,14 +19,24 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: Rows of a few narrow columns that are broadcast at most: some 10 MB.
 BROADCAST_ROWS = 200_000
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Documents go to Python up to :data:`BATCH_ROWS` at a time; the default is
+    ten times as many, too much memory for long texts. A lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """The two columns that text operators read."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import shared, table, texts
+from heronflow.llm.common import shared, sized, table, texts
 
 K1, B = 1.2, 0.75
 THRESHOLD, ASIDE, BLOCK = 0.5, 0.2, 4
@@ -230,7 +230,7 @@ def _search(docs: DataFrame, index) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` less the documents that hold an item of the benchmark."""
-    bad = leaks(docs, benchmark).where("leaked").select("doc_id").distinct()
+    bad = sized(leaks(docs, benchmark).where("leaked").select("doc_id").distinct())
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 

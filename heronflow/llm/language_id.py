@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import sized, table
+from heronflow.llm.common import sized, small_batches, table
 
 SAMPLE, SAMPLE_BYTES = 1500, 20_000
 #: Steps in which the share of a language that is sampled is told.
@@ -217,6 +217,7 @@ def learn(train: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (the winner's share against the runner-up, by
     mean code length a byte) of each row of ``docs``."""
+    small_batches(docs.sparkSession)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

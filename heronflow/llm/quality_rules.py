@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import shared, table, without
+from heronflow.llm.common import shared, sized, table, without
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -115,11 +115,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def _verdict(rows: DataFrame, hosts: DataFrame) -> DataFrame:
-    """``rows`` with kept. Only bad hosts are joined; how, Spark decides by
-    their number."""
-    bad = hosts.where("bad").select(F.col("host").alias("_host"), "bad")
+    """``rows`` with kept. Only bad hosts are joined, which are few."""
+    bad = sized(hosts.where("bad").select(F.col("host").alias("_host"), "bad"))
     out = without(rows, "_host", "bad", "kept").join(bad, F.col("source").eqNullSafe(F.col("_host")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("suspect") & F.coalesce("bad", F.lit(False)))).drop("_host", "bad")
+    # One condition: a filter on it is not split, so the rules are not run twice.
+    kept = F.when(F.col("base_failed"), False).otherwise(~(F.col("suspect") & F.coalesce("bad", F.lit(False))))
+    return out.withColumn("kept", kept).drop("_host", "bad")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

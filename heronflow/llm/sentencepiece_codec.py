@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from heronflow.llm.common import table, texts, without
+from heronflow.llm.common import small_batches, table, texts, without
 
 MARK = "▁"
 #: A Python worker remembers up to twice as many words, about 70 MB.
@@ -227,6 +227,10 @@ class Codec:
         get = self.known.__getitem__
         return [self.line_end.join([b"".join(map(get, line)) for line in lines]) for lines in split]
 
+    def forget(self) -> None:
+        """Give the words' memory back; the worker may go on with other work."""
+        self.known, self.older = {}, {}
+
     def decode(self, ids: bytes) -> str:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
 
@@ -240,6 +244,7 @@ def encode_documents(docs: DataFrame, model_path: str, carry: bool = False) -> D
     """doc_id, n_tokens, ids (packed little-endian unsigned 32-bit, with begin
     and end), decoded (the text that the ids stand for); with ``carry`` behind
     all columns of ``docs`` as they are. Narrow: no shuffle."""
+    small_batches(docs.sparkSession)
     rows = without(docs, "n_tokens", "ids", "decoded") if carry else texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     kept = len(rows.columns) if carry else 1
     at = rows.columns.index("text")
@@ -255,6 +260,7 @@ def encode_documents(docs: DataFrame, model_path: str, carry: bool = False) -> D
                 ids = [begin + x + end for x in model.encode([t or "" for t in part.column(at).to_pylist()])]
                 found = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([model.decode(x) for x in ids], pa.string())]
                 yield pa.record_batch([*part.columns[:kept], *found], names=schema.names)
+        model.forget()
 
     return rows.mapInArrow(encoded, schema)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import shared, table, texts
+from heronflow.llm.common import shared, sized, table, texts
 from heronflow.llm.components import components
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -202,19 +202,27 @@ def fingerprint_links(fps: DataFrame, n: int, threshold: int = THRESHOLD) -> Dat
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id that links lead to."""
     found = shared(fingerprints(docs))
-    distinct = shared(found.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    distinct = shared(found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(fingerprint_links(distinct.repartition("fp"), distinct.count(), threshold))
-    linked = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    return found.join(linked.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    linked = shared(distinct.join(roots.withColumnRenamed("u", "fp"), "fp"))
+    least = sized(linked.groupBy("root").agg(F.min("low").alias("component_id")))
+    linked = linked.join(least, "root").select("fp", "component_id", F.lit(True).alias("links"))
+    # A fingerprint of one document that links to none needs no look-up; what is
+    # left is stored, so a fingerprint of very many documents can be split.
+    every = distinct.join(linked, "fp", "left").where("n > 1 or links").select("fp", F.when(F.col("links"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"), F.lit(True).alias("shared"))
+    out = found.join(sized(every), "fp", "left")
+    return out.select("doc_id", "fp", F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component, that of the least doc_id.
     Rows without an id stay: nothing can name them. Repeated ids count once."""
-    dropped = near_duplicates(docs, threshold).where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    dropped = sized(near_duplicates(docs, threshold).where("doc_id <> component_id").select("doc_id").distinct())
+    again = sized(named.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    rest = named.join(dropped, "doc_id", "left_anti")
+    once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(again, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns)).union(docs.where("doc_id is null"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,3 +225,58 @@ def test_document_queries(spark):
     find = lambda q: [r.k for r in transport.search(df, q, [("k", "asc")]).collect()]
     assert find({"match": {"t": "scan"}}) == [1, 3] and find({"exists": {"field": "n"}}) == [2, 3] and find({"match_all": {}}) == [1, 2, 3]
     assert find({"bool": {"should": [{"term": {"k": 1}}, {"range": {"n": {"gt": 5}}}], "must_not": [{"term": {"n": 5}}]}}) == [1, 3]
+
+
+def test_pcap_round_trip(spark, tmp_path):
+    from heronflow.sources import pcap
+
+    packets = [(1_700_000_000_000_000 + k, bytes(12) + b"\x08\x00" + bytes([0x45]) + bytes(8) + bytes([17]) + bytes(2) + bytes([10, 0, 0, k]) + bytes([10, 0, 1, k]) + bytes([0, 53, 0, 80])) for k in range(5)]
+    (tmp_path / "a.pcap").write_bytes(pcap.to_pcap(packets))
+    (tmp_path / "b.pcap").write_bytes(b"nothing of the kind")
+    got = logs.parsed_packets(pcap.read_pcap(spark, str(tmp_path))).orderBy("ts").collect()
+    assert [(r.source_ip, r.source_port, r.protocol, r.interface) for r in got] == [(f"10.0.0.{k}", 53, "UDP", "a.pcap") for k in range(5)]
+
+
+def test_rolled_up_counts(spark):
+    from heronflow import stats
+
+    lines = spark.createDataFrame([("pod-a  100m  64Mi",), ("pod-b 300m 128Mi",), ("NAME CPU MEMORY",)], "value string")
+    assert tuple(stats.pod_metrics(lines).first()) == (2, 200.0, 96.0)
+    checks = spark.createDataFrame([(True, 1.0), (True, 2.0), (False, 3.0)], "passed boolean, duration_s double")
+    assert stats.validation_report(checks).first()["healthy"] is False
+
+
+def test_streamed_cooldown_and_scans(spark, tmp_path):
+    from heronflow.streaming import flows as streams
+
+    rows = [("d", T0 + dt.timedelta(minutes=m)) for m in (0, 3, 5, 9, 10, 16)]
+    spark.createDataFrame(rows, "k string, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, ts timestamp_ntz").parquet(f"{tmp_path}/in")
+    started = streams.cooled_down(stream, "k", 5).writeStream.format("memory").queryName("cooled").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    started.awaitTermination()
+    start = int(T0.replace(tzinfo=dt.UTC).timestamp())
+    assert sorted((r.t // 1_000_000 - start) // 60 for r in spark.table("cooled").collect()) == [0, 5, 10, 16]
+
+
+def test_sinks(spark, tmp_path):
+    from heronflow.sources import sinks
+
+    df = spark.createDataFrame([(k, f"v{k}") for k in range(25)], "k int, v string")
+    assert sinks.bulk_index(df, f"{tmp_path}/docs", "k") == 25
+    sinks.ndjson(df.coalesce(1), f"{tmp_path}/lines", 10)
+    assert len(list((tmp_path / "lines").glob("*.json"))) == 3 and spark.read.json(f"{tmp_path}/lines").count() == 25
+    new = spark.createDataFrame([(3, "new"), (99, "new")], "k int, v string")
+    df.write.parquet(f"{tmp_path}/old")
+    merged = {r.k: r.v for r in sinks.upsert(spark, f"{tmp_path}/old", new, ["k"]).collect()}
+    assert merged[3] == merged[99] == "new" and len(merged) == 26
+
+
+def test_boosting_and_sequences(spark):
+    from heronflow.ml import boost
+
+    rows = [(float(k % 10), "a" if k % 3 else "b", float(k % 10 > 5)) for k in range(300)]
+    df = spark.createDataFrame(rows, "x double, c string, y double")
+    out = boost.probability(boost.boosted(df, ["x"], "y", ["c"], rounds=5, depth=2), df)
+    assert out.where((F.col("score") >= 0.5) == (F.col("y") == 1)).count() == 300
+    z = df.withColumn("id", F.monotonically_increasing_id()).select(boost.window_zscore("x", ["c"], ["id"], 5).alias("z"))
+    assert z.where("z < 0 or z >= 1").count() == 0
