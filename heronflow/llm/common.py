@@ -11,6 +11,8 @@ Rules that hold for every operator here, unless its own docstring differs:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,15 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as Parquet in the shared folder: for wide
+    rows, that are compressed and of which later steps read a few columns.
+    Columns are stored by place, so names that clash do no harm."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.toDF(*[f"c{k}" for k in range(len(df.columns))]).write.parquet(path)
+    return df.sparkSession.read.parquet(path).toDF(*df.columns)
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` computed once, and marked for broadcast if it is small: a few
     narrow columns of at most ``rows`` rows. Beyond that Spark shuffles."""

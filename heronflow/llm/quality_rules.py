@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import shared, sized, table, without
+from heronflow.llm.common import shared, sized, stored, table, without
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -109,9 +109,10 @@ def host_verdicts(ruled: DataFrame, host: str = "source") -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """``docs`` with counts, base_failed, suspect and kept. The rules are run
-    twice, once for the hosts and once for the documents, which costs less than
-    to store or shuffle the texts."""
-    return _verdict(document_rules(docs), host_verdicts(document_rules(docs.select("source", "text"))))
+    once and their rows stored, as the hosts and the documents both need them
+    and they cost far more than to write the texts."""
+    ruled = stored(document_rules(docs))
+    return _verdict(ruled, host_verdicts(ruled))
 
 
 def _verdict(rows: DataFrame, hosts: DataFrame) -> DataFrame:
