@@ -217,8 +217,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component, that of the least doc_id.
     Rows without an id stay: nothing can name them. Repeated ids count once."""
+    return keep_least(docs, near_duplicates(docs, threshold))
+
+
+def keep_least(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """:func:`keep_one` by the doc_id and component_id of ``near``."""
     named = docs.where("doc_id is not null")
-    dropped = sized(near_duplicates(docs, threshold).where("doc_id <> component_id").select("doc_id").distinct())
+    dropped = sized(near.where("doc_id <> component_id").select("doc_id").distinct())
     again = sized(named.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     rest = named.join(dropped, "doc_id", "left_anti")
     once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
