@@ -1,27 +1,30 @@
 r"""Operator 3: benchmark decontamination by BM25 and block-max WAND.
 
-Index: the questions of the test items are the documents of an inverted index
-(a word's impact on an item is its BM25 weight there, divided by what the
-question scores against itself), built with joins and sums. The last sentence
-of an item is its answer, the rest its question; an item of one sentence, or
-with a question of under five words, is all question. Words are ``\w+`` of the
-lower-cased text.
+Index: the questions of the test items, and the whole items where they have an
+answer, are the entries of two inverted indexes (a word's impact on an entry is
+its BM25 weight there, divided by what the entry scores against itself), built
+with joins and sums. The last sentence of an item is its answer, the rest its
+question; an item of one sentence, or with a question of under five words, is
+all question. Words are ``\w+`` of the lower-cased text.
 
 Search: every training passage is a query. Passages are windows of two strides,
 one stride apart, and a stride is at least the longest item, so an item that
 stands in a text stands whole in some passage. For each passage
 
 * the words of the lowest impact are set aside, as long as no item gets over
-  :data:`ASIDE` from them (WAND's lists that cannot make a pivot alone);
+  :data:`ASIDE` from them, or less by the share of its threshold (WAND's lists that cannot make a pivot alone);
 * the rest of its words add up, for each block of :data:`BLOCK` items, the
   greatest impact that each word has in the block. Blocks whose sum, with what
   was set aside, stays under the threshold are skipped: no item there can reach
   it;
 * the items of the other blocks are scored exactly.
 
-All items from :data:`THRESHOLD` on are retrieved. Each is then verified by its
-five-word shingles: it is leaked if the passage holds 0.8 or more of those of
-the question, or of the whole item.
+All entries from :data:`THRESHOLD` on are retrieved, or from what is left of an
+entry's score when the fifth of its shingles that hold most of it is lost, if
+that is less: no passage with 0.8 of the shingles scores under it. Each item is
+then verified by its five-word shingles: it is leaked if the passage holds 0.8
+or more of those of the question, or of the whole item. Its score is that of
+the entry that it is retrieved by, the higher one if both are.
 
 The index is broadcast in parts of at most :data:`POSTINGS` postings; an index
 of more parts takes more passes over the texts.
@@ -65,15 +68,50 @@ def split_item(text: str) -> tuple[list[str], list[str], list[str]]:
     return (head, tail, head + tail) if len(head) >= SHINGLE else (head + tail, [], head + tail)
 
 
-def item_words(items: DataFrame) -> DataFrame:
-    """key, word, tf, n_words (of the question) and longest (of the item)."""
+def least_score(words: list[str], impact: dict[str, float]) -> float:
+    """What a passage with 0.8 of the shingles of ``words`` scores at least.
+
+    A word is lost only with all shingles over it. The most that can be lost is
+    found by going along the shingles with the number lost so far and the last
+    ones lost in a row. A word counts at its first place, a shingle costs
+    nothing where it is repeated; both can only make more be lost.
+    """
+    places = max(1, len(words) - SHINGLE + 1)
+    said = [" ".join(words[k : k + SHINGLE]) for k in range(places)]
+    seen: set[str] = set()
+    cost = [0 if s in seen or seen.add(s) else 1 for s in said]
+    allowed = len(seen) - next(k for k in range(len(seen) + 1) if k / len(seen) >= OVERLAP)
+    first = {w: k for k, w in reversed(list(enumerate(words)))}
+    worth = np.array([impact[w] if first[w] == k else 0.0 for k, w in enumerate(words)])
+    # lost[r, c]: the most lost with c shingles gone, the last r of them in a row.
+    # Before the first shingle the row is whole: words there have fewer shingles.
+    lost = np.full((SHINGLE + 1, allowed + 1), -np.inf)
+    lost[SHINGLE, 0] = 0.0
+    for k in range(places):
+        gone = np.full_like(lost, -np.inf)
+        paid = lost if not cost[k] else np.concatenate([np.full((SHINGLE + 1, 1), -np.inf), lost[:, :-1]], axis=1)
+        gone[0] = lost.max(axis=0)
+        gone[1:SHINGLE] = paid[: SHINGLE - 1]
+        # Shingle k is the last over word k.
+        gone[SHINGLE] = paid[SHINGLE - 1 :].max(axis=0)
+        gone[SHINGLE] += worth[k]
+        lost = gone
+    # After the last shingle, word places - 1 + j is lost with the last SHINGLE - j in a row.
+    tail = [worth[places + max(0, SHINGLE - 1 - r) :].sum() for r in range(SHINGLE + 1)]
+    return 1.0 - float(max(lost[r].max() + tail[r] for r in range(SHINGLE + 1)))
+
+
+def item_words(items: DataFrame, whole: bool = False) -> DataFrame:
+    """key, word, tf, n_words (of the question, or of the whole item if that
+    has an answer) and longest (of the item)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, _, whole = split_item(text)
-                rows += [(key, w, words.count(w), len(words), len(whole)) for w in set(words)]
+                question, answer, every = split_item(text)
+                words = (every if answer else []) if whole else question
+                rows += [(key, w, words.count(w), len(words), len(every)) for w in set(words)]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["key", "word", "tf", "n_words", "longest"])
 
@@ -93,10 +131,12 @@ def impacts(words: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Some of the items, ready to be broadcast."""
+    """Some of the items, ready to be broadcast. ``thresholds`` are by item."""
 
-    def __init__(self, items: list[tuple[int, int, str]], postings: list[tuple[int, str, float]], stride: int):
+    def __init__(self, items: list[tuple[int, int, str]], postings: list[tuple[int, str, float]], stride: int, thresholds: list[float] | None = None):
         self.stride = stride
+        self.thresholds = np.full(len(items), THRESHOLD) if thresholds is None else np.array(thresholds)
+        self.block_thresholds = np.array([self.thresholds[k : k + BLOCK].min() for k in range(0, len(items), BLOCK)])
         self.item_ids = [item_id for _, item_id, _ in items]
         self.sets = [tuple(map(shingles, split_item(text))) for _, _, text in items]
         row = {key: k for k, (key, _, _) in enumerate(items)}
@@ -117,7 +157,7 @@ class Index:
         cuts = np.searchsorted(word[by_word], np.arange(len(self.words) + 1))
         for w in np.argsort(greatest, kind="stable").tolist():
             mine = by_word[cuts[w] : cuts[w + 1]]
-            if (aside[item[mine]] + impact[mine] > ASIDE).any():
+            if (aside[item[mine]] + impact[mine] > ASIDE * self.thresholds[item[mine]] / THRESHOLD).any():
                 break
             aside[item[mine]] += impact[mine]
             self.counts[w] = False
@@ -154,7 +194,7 @@ class Index:
         follows = np.ones(total, bool)
         follows[np.cumsum(strides) - 1] = False
         bound[:-1] += np.where(follows[:-1, None], bound[1:], 0)
-        reached = (bound + self.aside >= THRESHOLD - 1e-9).nonzero()
+        reached = (bound + self.aside >= self.block_thresholds - 1e-9).nonzero()
         return self._scored(ids, starts, lengths, strides, base, *reached)
 
     def _scored(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, strides: np.ndarray, base: np.ndarray, passage: np.ndarray, block: np.ndarray) -> list[tuple[int, int, int]]:
@@ -173,7 +213,7 @@ class Index:
             posting = np.repeat(self.item_cuts[word] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
             score = np.bincount(np.repeat(row, m) * len(self.items) + self.item[posting], self.impact[posting], len(part) * len(self.items)).reshape(len(part), -1)
             # Only blocks that were reached can hold such an item.
-            for k, item in zip(*np.nonzero(score >= THRESHOLD), strict=True):
+            for k, item in zip(*np.nonzero(score >= self.thresholds), strict=True):
                 out.append((int(text[some[part[k]]]), int(first[part[k]]), int(item)))
         return out
 
@@ -192,25 +232,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, leaked: every
     item that BM25 retrieves for a passage of a document, best passage first."""
     spark = docs.sparkSession
-    items = shared(benchmark.where("text is not null").select("item_id", "text").distinct().withColumn("key", F.monotonically_increasing_id()))
-    words = shared(item_words(items))
-    sizes = words.agg(F.count("*").alias("postings"), F.max("longest").alias("longest")).first()
-    postings = shared(impacts(words))
+    items = shared(benchmark.where("text is not null").select("item_id", "text").distinct().withColumn("key", 2 * F.monotonically_increasing_id()))
+    found = spark.createDataFrame([], FOUND)
+    for index in _indexes(items):
+        found = found.union(_search(docs, spark.sparkContext.broadcast(index)))
+    best = F.max_by(F.struct("score", "question_overlap", "answer_overlap"), F.struct("question_overlap", "answer_overlap", "score")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best, F.max("leaked").alias("leaked")).select("doc_id", "item_id", "best.*", "leaked")
+
+
+def _indexes(items: DataFrame) -> Iterator[Index]:
+    """Questions by the even ``key`` of their item, whole items by the next
+    number, in parts."""
+    questions = shared(item_words(items))
+    wholes = shared(item_words(items, whole=True))
+    sizes = questions.union(wholes).agg(F.count("*").alias("postings"), F.max("longest").alias("longest")).first()
+    postings = shared(impacts(questions).union(impacts(wholes).withColumn("key", F.col("key") + 1)))
     parts = max(1, -(-sizes["postings"] // POSTINGS))
     stride = max(64, sizes["longest"] or 0)
-    found = spark.createDataFrame([], FOUND)
     for part in range(parts):
-        mine = F.pmod(F.xxhash64("key"), F.lit(parts)) == part
+        mine = F.pmod(F.xxhash64(F.floor(F.col("key") / 2)), F.lit(parts)) == part
         # Bounded: about POSTINGS rows.
-        index = Index(
-            sorted((r["key"], r["item_id"], r["text"]) for r in items.where(mine).join(words.select("key").distinct(), "key", "left_semi").collect()),
-            [(r["key"], r["word"], r["impact"]) for r in postings.where(mine).collect()],
-            stride,
-        )
-        if index.items:
-            found = found.union(_search(docs, spark.sparkContext.broadcast(index)))
-    best = F.max_by(F.struct("score", "question_overlap", "answer_overlap"), F.struct("question_overlap", "answer_overlap", "score")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best, F.max("leaked").alias("leaked")).select("doc_id", "item_id", "best.*", "leaked")
+        held = [(r["key"], r["word"], r["impact"]) for r in postings.where(mine).collect()]
+        impact: dict[int, dict[str, float]] = {}
+        for key, word, x in held:
+            impact.setdefault(key, {})[word] = x
+        entries, thresholds = [], []
+        for key, item_id, text in sorted((r["key"], r["item_id"], r["text"]) for r in items.where(mine).join(questions.select("key").distinct(), "key", "left_semi").collect()):
+            question, answer, whole = split_item(text)
+            for of, words in ((key, question), (key + 1, whole if answer else [])):
+                if words:
+                    # A passage with a shingle has one word at least.
+                    least = max(least_score(words, impact[of]) - 1e-6, min(impact[of].values()) * (1 - 1e-6))
+                    entries.append((of, item_id, text))
+                    thresholds.append(min(THRESHOLD, least))
+        if entries:
+            yield Index(entries, held, stride, thresholds)
 
 
 def _search(docs: DataFrame, index) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -76,3 +77,44 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert d.leaks(docs, none).count() == 0
     assert d.leaks(docs.limit(0), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def test_least_score_is_that_of_the_worst_passage():
+    rng = random.Random(6)
+    for n in [*range(1, 24)] * 3:
+        words = rng.choices([f"w{k}" for k in range(40)], k=n)
+        impact = {w: rng.random() for w in set(words)}
+        impact = {w: x / sum(impact.values()) for w, x in impact.items()}
+        places = max(1, n - 4)
+        said = [tuple(words[k : k + 5]) for k in range(places)]
+        distinct = sorted(set(said))
+        allowed = sum(k < 0.8 * len(distinct) for k in range(len(distinct) + 1))
+        worst = min(
+            sum(impact[w] for w in {w for s in kept for w in s})
+            for m in range(allowed, len(distinct) + 1)
+            for kept in itertools.combinations(distinct, m)
+        )
+        assert d.least_score(words, impact) <= worst + 1e-9
+        if len(set(words)) == n:
+            assert abs(d.least_score(words, impact) - worst) < 1e-9
+
+
+def test_no_leak_is_missed_where_a_passage_starts_late_in_the_item(spark):
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choices([f"w{k}" for k in range(300)], k=n))
+    items = [f"{text(rng.randrange(5, 10))}. {text(rng.randrange(14, 50))}." for _ in range(40)]
+    docs = []
+    for item in items:
+        words = item.split(" ")
+        docs += [f"{text(40)} {' '.join(words[k:])} {text(90)}" for k in range(3, 10)]
+    want = set()
+    for k, t in enumerate(docs):
+        words = d._words(t.lower())
+        passages = [d.shingles(words[first : first + 128]) for first in range(0, len(words), 64)]
+        for i, item in enumerate(items):
+            question, _, whole = map(d.shingles, d.split_item(item))
+            if any(len(s & mine) >= 0.8 * len(s) for s in (question, whole) for mine in passages):
+                want.add((k, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.leaks(table, bench).where("leaked").collect()} == want and len(want) > 60
