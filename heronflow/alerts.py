@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from heronflow.flows import micros
 
@@ -19,28 +25,80 @@ def passes(severity: str, score: float, confidence: float) -> Column:
     return (severity_rank(F.col("severity")) >= RANK[severity]) & (F.col("threat_score") >= score) & (F.col("confidence") >= confidence)
 
 
+FIRST = -(1 << 62)
+#: Cooldowns that one part of a key's time covers.
+SPAN = 16
+
+
+def _steps(t: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the first moment that times may pass on, up to each of the first
+    result, the last one to pass is that of the second."""
+    after = np.searchsorted(t, t + gap).tolist()
+    last = t.tolist()
+    for i in range(len(last) - 1, -1, -1):
+        if after[i] < len(last):
+            last[i] = last[after[i]]
+    last = np.asarray(last, np.int64)
+    ends = np.flatnonzero(np.r_[last[1:] != last[:-1], True])
+    return t[ends], last[ends]
+
+
+def _passing(t: np.ndarray, may: int, gap: int) -> list[int]:
+    out, i = [], int(np.searchsorted(t, may))
+    while i < len(t):
+        out.append(int(t[i]))
+        i = int(np.searchsorted(t, out[-1] + gap))
+    return out
+
+
 def cooled_down(df: DataFrame, keys: list[str], order: list[str], minutes: int) -> DataFrame:
     """Rows that come ``minutes`` or more after the last one that was let
-    through, of the same keys.
+    through, of the same keys; keys must not be null.
 
-    Whether a row passes depends on those before it, so the times of a key are
-    folded in order; rows of one key closer than the cooldown are first thinned
-    to those that could matter: times are taken once each, and a key's fold
-    holds one long for each. The passing times are joined back by a window-free
-    explode.
+    Whether a row passes depends on those before it. The distinct times of a key
+    are cut into parts of :data:`SPAN` cooldowns. A part first tells, as a
+    step function, which of its times is the last to pass if times from some
+    moment on may; paths through a part soon meet, so it has few steps. The
+    steps of a key are then gone through in order, which gives the moment from
+    which times may pass in each part, and each part lets its times through. So
+    a busy key is spread over its parts, and only steps are brought together.
     """
     gap = minutes * 60_000_000
-    times = df.select(*keys, micros().alias("_t")).distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
+    part = F.floor(F.col("_t") / (SPAN * gap)).cast("bigint")
+    times = df.select(*keys, micros().alias("_t")).distinct()
+    packed = times.groupBy(*keys, part.alias("_part")).agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
+    schema = lambda rest: StructType([*df.select(*keys).schema.fields, *StructType.fromDDL(rest).fields])
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [_steps(np.asarray(t), gap) for t in rows["_ts"]]
+            yield rows[[*keys, "_part"]].assign(_upto=[a.tolist() for a, _ in found], _last=[b.tolist() for _, b in found])
+
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            may = []
+            for found in rows["_steps"]:
+                now, out = FIRST, []
+                for r in found:
+                    out.append(now)
+                    i = bisect_left(r["_upto"], now)
+                    now = int(r["_last"][i]) + gap if i < len(r["_last"]) else now
+                may.append(out)
+            yield rows[keys].assign(_parts=[[r["_part"] for r in found] for found in rows["_steps"]], _may=may)
 
-    def step(acc: Column, t: Column) -> Column:
-        let = acc["last"].isNull() | (t - acc["last"] >= gap)
-        return F.struct(F.when(let, t).otherwise(acc["last"]).alias("last"), F.when(let, F.concat(acc["kept"], F.array(t))).otherwise(acc["kept"]).alias("kept"))
+    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows[keys].assign(_t=[_passing(t, int(may), gap) for t, may in zip(rows["_ts"], rows["_may"], strict=True)])
 
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    kept = times.select(*keys, F.explode(F.aggregate("_ts", start, step, lambda a: a["kept"])).alias("_t"))
+    step_rows = packed.mapInPandas(steps, schema("_part bigint, _upto array<bigint>, _last array<bigint>"))
+    by_key = step_rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_part", "_upto", "_last"))).alias("_steps"))
+    start_rows = by_key.mapInPandas(starts, schema("_parts array<bigint>, _may array<bigint>"))
+    start_rows = start_rows.select(*keys, F.explode(F.arrays_zip(F.col("_parts").alias("_part"), F.col("_may").alias("_may"))).alias("s")).select(*keys, "s._part", "s._may")
+    kept = packed.join(start_rows, [*keys, "_part"]).mapInPandas(passing, schema("_t array<bigint>")).select(*keys, F.explode("_t").alias("_t"))
     # Of rows at the same time the first passes.
-    first = df.withColumns({"_t": micros(), "_r": F.row_number().over(Window.partitionBy(*keys, "ts").orderBy(*order))}).where("_r = 1")
-    return first.join(kept, [*keys, "_t"], "left_semi").drop("_t", "_r")
+    first = df.withColumn("_t", micros()).join(kept, [*keys, "_t"], "left_semi")
+    w = Window.partitionBy(*keys, "_t").orderBy(*order)
+    return first.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_t", "_r")
 
 
 def hourly_cap(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:

@@ -33,36 +33,74 @@ BANDS = {"LOW": (0.0, 0.3), "MEDIUM": (0.3, 0.6), "HIGH": (0.6, 0.9), "CRITICAL"
 
 
 def _scores(column: str, field: str) -> Column:
-    return F.transform(column, lambda m: m[field])
+    return F.col(column)[field]
 
 
 def _mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
 
 
-def _lookup(table: dict[str, list[str]], key: Column) -> Column:
-    pairs = [x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
-    return F.coalesce(F.create_map(*pairs)[key], F.array().cast("array<string>"))
+def _nothing() -> Column:
+    return F.array().cast("array<string>")
 
 
-def fused(df: DataFrame, signature_weight: float = 0.6, ml_weight: float = 0.4) -> DataFrame:
-    """Adds signature_score, ml_score, threat_score, confidence, severity."""
-    total = signature_weight + ml_weight
-    signature, ml = _scores("signature_matches", "signature_score"), _scores("ml_predictions", "anomaly_score")
-    n_signature, n_ml = F.size("signature_matches"), F.size("ml_predictions")
+def _lookup(table: dict[str, list[str]], key: Column) -> Column:
+    """The texts of a key; comparisons of literals stay in generated code."""
+    out = None
+    for k, texts in table.items():
+        found = F.array(*map(F.lit, texts))
+        out = F.when(key == k, found) if out is None else out.when(key == k, found)
+    return _nothing() if out is None else out.otherwise(_nothing())
+
+
+def evidence(n_signature: Column, top_signature: Column, scores: list[Column]) -> dict[str, Column]:
+    """The columns that :func:`fused` works with, for a known list of models:
+    sums and greatest values of plain columns, so no array is walked."""
+    n = len(scores)
+    mean = sum(scores[1:], scores[0]) / n if n else F.lit(0.0)
+    squares = [F.pow(s - mean, 2) for s in scores]
+    return {
+        "n_signature": n_signature,
+        "top_signature": top_signature,
+        "n_ml": F.lit(n),
+        "ml_score": mean,
+        "ml_spread": F.sqrt(sum(squares[1:], squares[0]) / n) if n else F.lit(None).cast("double"),
+        "top_ml": F.greatest(*scores) if n > 1 else scores[0] if n else F.lit(None).cast("double"),
+    }
+
+
+EVIDENCE = ("n_signature", "top_signature", "n_ml", "ml_score", "ml_spread", "top_ml")
+
+
+def evidence_of_arrays(df: DataFrame) -> DataFrame:
+    """The same from signature_matches and ml_predictions of any length."""
+    ml = _scores("ml_predictions", "anomaly_score")
     df = df.withColumns(
         {
-            "signature_score": F.when(n_signature > 0, F.least(F.lit(1.0), F.array_max(signature) + F.least(F.lit(0.2), (n_signature - 1) * 0.05))).otherwise(0.0),
+            "n_signature": F.size("signature_matches"),
+            "top_signature": F.array_max(_scores("signature_matches", "signature_score")),
+            "n_ml": F.size("ml_predictions"),
             "ml_score": F.coalesce(_mean(ml), F.lit(0.0)),
+            "top_ml": F.array_max(ml),
         }
     )
+    return df.withColumn("ml_spread", F.sqrt(_mean(F.transform(ml, lambda x: F.pow(x - F.col("ml_score"), 2)))))
+
+
+def fused(df: DataFrame, signature_weight: float = 0.6, ml_weight: float = 0.4) -> DataFrame:
+    """Adds signature_score, ml_score, threat_score, confidence, severity. Each
+    step is a projection of its own, so it is worked out once a row."""
+    total = signature_weight + ml_weight
+    if not set(EVIDENCE) <= set(df.columns):
+        df = evidence_of_arrays(df)
+    n_signature = F.col("n_signature")
+    df = df.withColumn("signature_score", F.when(n_signature > 0, F.least(F.lit(1.0), F.col("top_signature") + F.least(F.lit(0.2), (n_signature - 1) * 0.05))).otherwise(0.0))
     score = F.col("signature_score") * (signature_weight / total) + F.col("ml_score") * (ml_weight / total)
     df = df.withColumn("threat_score", F.least(F.lit(1.0), score))
-    spread = F.sqrt(_mean(F.transform(ml, lambda x: F.pow(x - F.col("ml_score"), 2))))
     confidence = (
         F.lit(0.5)
         + F.least(F.lit(0.3), 0.1 * n_signature)
-        + F.when(n_ml > 1, F.greatest(F.lit(0.0), 0.2 - spread)).otherwise(0.0)
+        + F.when(F.col("n_ml") > 1, F.greatest(F.lit(0.0), 0.2 - F.col("ml_spread"))).otherwise(0.0)
         + F.when((F.col("threat_score") > 0.8) | (F.col("threat_score") < 0.2), 0.1).otherwise(0.0)
     )
     df = df.withColumn("confidence", F.least(F.lit(1.0), confidence))
@@ -73,28 +111,41 @@ def fused(df: DataFrame, signature_weight: float = 0.6, ml_weight: float = 0.4)
 
 def worth_reporting(require_both: bool = False) -> Column:
     """Some evidence, and not both LOW and under 0.6 confidence (OP-49)."""
-    signature, ml = F.size("signature_matches") > 0, F.size("ml_predictions") > 0
+    signature, ml = F.col("n_signature") > 0, F.col("n_ml") > 0
     return (signature & ml if require_both else signature | ml) & ~((F.col("severity") == "LOW") & (F.col("confidence") < 0.6))
 
 
+FUSED = ("signature_score", "threat_score", "confidence", "severity")
+
+
+def reported(df: DataFrame, require_both: bool = False) -> DataFrame:
+    """Each fused flow gives one detection or none. Written as a flat map and
+    not as a filter: Spark would copy the whole chain of scores into a filter's
+    condition, and into that of each later one."""
+    one = F.array(F.struct(*FUSED, is_consistent().alias("is_consistent")))
+    rest = [c for c in df.columns if c not in FUSED]
+    return df.select(*rest, F.inline(F.when(worth_reporting(require_both), one)))
+
+
 def classified(df: DataFrame, categories: dict[str, str], tactics: dict[str, list[str]] | None = None, actions: dict[str, list[str]] | None = None) -> DataFrame:
     """Adds attack_category (of the first match that has one, else by the
     highest model score), mitre_tactics and recommended_actions, both sorted."""
     rule_ids = _scores("signature_matches", "rule_id")
-    known = F.create_map(*[F.lit(x) for kv in categories.items() for x in kv]) if categories else None
-    from_rules = F.get(F.filter(F.transform(rule_ids, lambda r: known[r]), lambda c: c.isNotNull()), F.lit(0)) if known is not None else F.lit(None).cast("string")
-    top = F.array_max(_scores("ml_predictions", "anomaly_score"))
+    places = [F.when(F.array_contains(rule_ids, r), F.struct(F.array_position(rule_ids, r).alias("at"), F.lit(c).alias("category"))) for r, c in categories.items()]
+    nothing = F.lit(None).cast("struct<at:bigint,category:string>")
+    from_rules = F.least(*places, nothing, nothing)["category"]
+    top = F.col("top_ml")
     from_ml = F.when(top > 0.8, "malware").when(top > 0.6, "lateral_movement").when(top.isNotNull(), "reconnaissance")
     df = df.withColumn("attack_category", F.coalesce(from_rules, from_ml, F.lit("unknown")))
     category = F.col("attack_category")
 
-    def of_rules(table: dict[str, list[str]] | None) -> Column:
-        return F.flatten(F.transform(rule_ids, lambda r: _lookup(table, r))) if table else F.array().cast("array<string>")
+    def of_rules(table: dict[str, list[str]] | None) -> list[Column]:
+        return [F.when(F.array_contains(rule_ids, r), F.array(*map(F.lit, texts))).otherwise(_nothing()) for r, texts in (table or {}).items()]
 
     return df.withColumns(
         {
-            "mitre_tactics": F.array_sort(F.array_distinct(F.concat(of_rules(tactics), _lookup(CATEGORY_TACTICS, category)))),
-            "recommended_actions": F.array_sort(F.array_distinct(F.concat(_lookup(SEVERITY_ACTIONS, F.col("severity")), _lookup(CATEGORY_ACTIONS, category), of_rules(actions)))),
+            "mitre_tactics": F.sort_array(F.array_distinct(F.concat(_lookup(CATEGORY_TACTICS, category), *of_rules(tactics)))),
+            "recommended_actions": F.sort_array(F.array_distinct(F.concat(_lookup(SEVERITY_ACTIONS, F.col("severity")), _lookup(CATEGORY_ACTIONS, category), *of_rules(actions)))),
         }
     )
 
@@ -107,14 +158,14 @@ def is_consistent() -> Column:
     band = F.lit(False)
     for severity, (low, high) in BANDS.items():
         band = band | ((F.col("severity") == severity) & score.between(low, high))
-    evidence = F.size("signature_matches") + F.size("ml_predictions")
-    return (evidence > 0) & band & ~((evidence == 1) & (F.col("confidence") > 0.8))
+    pieces = F.col("n_signature") + F.col("n_ml")
+    return (pieces > 0) & band & ~((pieces == 1) & (F.col("confidence") > 0.8))
 
 
 def detections(flows: DataFrame, categories: dict[str, str], strict: bool = True, tactics=None, actions=None) -> DataFrame:
     """Flows with matches and predictions to detections, one row a flow at most."""
-    out = classified(fused(flows).where(worth_reporting()), categories, tactics, actions).withColumn("is_consistent", is_consistent())
-    return out.where("is_consistent") if strict else out
+    out = reported(fused(flows))
+    return classified(out.where("is_consistent") if strict else out, categories, tactics, actions)
 
 
 def accessors(df: DataFrame) -> DataFrame:

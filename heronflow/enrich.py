@@ -3,6 +3,8 @@ OP-150 to OP-154, OP-244)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +20,26 @@ def _map(table: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
 
+def _checks(timestamp: str) -> dict[str, Column]:
+    """What can be wrong with an event, and when it is."""
+    return {
+        f"missing {timestamp}": F.col(timestamp).isNull(),
+        "missing event_type": F.col("event_type").isNull(),
+        "invalid timestamp": F.col(timestamp).isNotNull() & F.expr(f"try_to_timestamp(`{timestamp}`)").isNull(),
+        "unknown event_type": ~F.col("event_type").isin(*EVENT_TYPES),
+        "threat_score out of range": ~F.col("threat_score").between(0, 1),
+    } | {f"negative {c}": F.col(c) < 0 for c in COUNTERS}
+
+
 def errors(timestamp: str = "timestamp") -> Column:
     """OP-153: what is wrong with an event; none: valid."""
-    checks = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in (timestamp, "event_type")]
-    checks.append(F.when(F.col(timestamp).isNotNull() & F.expr(f"try_to_timestamp(`{timestamp}`)").isNull(), F.lit("invalid timestamp")))
-    checks.append(F.when(~F.col("event_type").isin(*EVENT_TYPES), F.lit("unknown event_type")))
-    checks.append(F.when(~F.col("threat_score").between(0, 1), F.lit("threat_score out of range")))
-    checks += [F.when(F.col(c) < 0, F.lit(f"negative {c}")) for c in COUNTERS]
-    return F.array_compact(F.array(*checks))
+    return F.array_compact(F.array(*(F.when(wrong, F.lit(text)) for text, wrong in _checks(timestamp).items())))
+
+
+def is_valid(timestamp: str = "timestamp") -> Column:
+    """No error, without making the list; each column is looked at once."""
+    known = F.expr(f"try_to_timestamp(`{timestamp}`)").isNotNull() & F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False))
+    return reduce(lambda a, b: a & b, (F.coalesce(F.col(c) >= 0, F.lit(True)) for c in COUNTERS), known & F.coalesce(F.col("threat_score").between(0, 1), F.lit(True)))
 
 
 def enriched(events: DataFrame) -> DataFrame:
@@ -66,8 +80,7 @@ def severity_of_score(score: Column) -> Column:
 
 def processed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """OP-35, OP-153: valid events, enriched, and the others with their errors."""
-    checked = events.withColumn("errors", errors())
-    return enriched(checked.where(F.size("errors") == 0).drop("errors")), checked.where(F.size("errors") > 0)
+    return enriched(events.where(is_valid())), events.where(~is_valid()).withColumn("errors", errors())
 
 
 def write_routed(events: DataFrame, folder: str, time: str = "ts") -> None:

@@ -29,11 +29,13 @@ def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = rows.agg(F.avg("bytes_total").alias("mean"), F.stddev_samp("bytes_total").alias("std"))
     size = 1 / (1 + F.exp(-(F.col("bytes_total") - F.col("mean")) / F.col("std")))
     rows = rows.crossJoin(F.broadcast(stats)).withColumn("duration_score", F.least(F.lit(1.0), F.col("duration_ms") / F.lit(2_000_000.0)))
-    predictions = F.array(
-        F.struct(F.lit("size").alias("model_name"), size.alias("anomaly_score")),
-        F.struct(F.lit("duration").alias("model_name"), F.col("duration_score").alias("anomaly_score")),
-    )
-    return rows.withColumns({"signature_matches": rules.signature_matches(rules.active(RULES), rows.columns), "ml_predictions": predictions}).drop("mean", "std")
+    active = rules.active(RULES)
+    rows = rows.withColumns(rules.match_flags(active, rows.columns) | {"size_score": size})
+    scores = {"size": F.col("size_score"), "duration": F.col("duration_score")}
+    predictions = F.array(*(F.struct(F.lit(name).alias("model_name"), s.alias("anomaly_score")) for name, s in scores.items()))
+    made = detect.evidence(*rules.count_and_top(active), list(scores.values()))
+    rows = rows.withColumns({"signature_matches": rules.matches_of_flags(active), "ml_predictions": predictions} | made)
+    return rows.drop("mean", "std", "size_score", *rules.match_flags(active, rows.columns))
 
 
 _MATCHED = {

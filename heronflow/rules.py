@@ -40,13 +40,33 @@ def active(rules: list[dict], enabled: set[str] | None = None) -> list[dict]:
     return [r for r in rules if (not enabled or r["id"] in enabled) and r.get("enabled", True)]
 
 
-def signature_matches(rules: list[dict], columns: list[str]) -> Column:
-    """array<struct<rule_id, rule_name, signature_score>> in rule order."""
+_MATCHES = "array<struct<rule_id:string,rule_name:string,signature_score:double>>"
+
+
+def _weight(rule: dict) -> float:
+    return min(float(rule.get("weight") or 1.0), 1.0)
+
+
+def match_flags(rules: list[dict], columns: list[str]) -> dict[str, Column]:
+    """A boolean column for each rule, ``matched_<id>``."""
+    return {f"matched_{r['id']}": matches(r, columns) for r in rules}
+
+
+def matches_of_flags(rules: list[dict]) -> Column:
+    """array<struct<rule_id, rule_name, signature_score>> in rule order, from
+    the flags; joined arrays, which stay in generated code."""
     found = [
-        F.when(
-            matches(r, columns),
-            F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r.get("name") or f"Rule {r['id']}").alias("rule_name"), F.lit(min(float(r.get("weight") or 1.0), 1.0)).alias("signature_score")),
+        F.when(F.col(f"matched_{r['id']}"), F.array(F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r.get("name") or f"Rule {r['id']}").alias("rule_name"), F.lit(_weight(r)).alias("signature_score")))).otherwise(
+            F.array().cast(_MATCHES)
         )
         for r in rules
     ]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<rule_id:string,rule_name:string,signature_score:double>>")
+    return F.concat(*found) if found else F.array().cast(_MATCHES)
+
+
+def count_and_top(rules: list[dict]) -> tuple[Column, Column]:
+    """How many rules match, and the greatest weight among them, by the flags."""
+    flags = [F.col(f"matched_{r['id']}") for r in rules]
+    n = sum((f.cast("int") for f in flags), F.lit(0))
+    nothing = F.lit(None).cast("double")
+    return n, F.greatest(*(F.when(f, F.lit(_weight(r))) for f, r in zip(flags, rules, strict=True)), nothing, nothing)

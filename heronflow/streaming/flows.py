@@ -4,6 +4,7 @@ OP-198)."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import Any
 
@@ -42,30 +43,38 @@ def first_port_scans(packets: DataFrame, most: int, window: str, late: str) -> D
     return counts.where(F.col("n") > most)
 
 
-def cooled_down(alerts: DataFrame, key: str, minutes: int) -> DataFrame:
-    """OP-112 on a stream: of each key (text) alerts ``minutes`` apart at least.
-    State is the time of the last one let through, one long a key; it goes when
-    nothing came for as long as the cooldown."""
+def cooled_down(alerts: DataFrame, key: str, minutes: int, late: str = "0 seconds") -> DataFrame:
+    """OP-112 on a stream: of each key (text) alerts ``minutes`` apart at least,
+    in the order of event time. Times wait in the state until the watermark,
+    ``late`` behind the newest, has passed them, so that those that come out of
+    order are judged in order; what is later still is dropped. The state of a
+    key is the last time let through and those that wait; it goes when the
+    watermark is a cooldown past the last. Event-time timeouts ask for no batch
+    of their own, so a stream that reads what is there ends."""
     gap = minutes * 60_000_000
 
     def admit(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        times = sorted(t for b in batches for t in b["t"].tolist())
+        last, waiting = state.get if state.exists else (None, [])
+        waiting = sorted([*waiting, *(t for b in batches for t in b["t"].tolist())])
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = bisect_left(waiting, passed)
         out = []
-        for t in times:
+        for t in waiting[:ready]:
             if last is None or t - last >= gap:
                 out.append(t)
                 last = t
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutDuration(minutes * 60_000)
+        waiting = waiting[ready:]
+        if not waiting and (last is None or last + gap < passed):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, waiting))
+            until = waiting[0] if waiting else last + gap
+            state.setTimeoutTimestamp(max(until // 1000, passed // 1000) + 1)
         yield pd.DataFrame({key: [k[0]] * len(out), "t": out})
 
-    rows = alerts.select(F.col(key), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return rows.groupBy(key).applyInPandasWithState(admit, f"{key} string, t bigint", "last bigint", "append", "ProcessingTimeTimeout")
+    rows = timed(alerts, late).select(F.col(key).cast("string").alias(key), "ts", F.unix_micros("ts").alias("t"))
+    return rows.groupBy(key).applyInPandasWithState(admit, f"{key} string, t bigint", "last bigint, waiting array<bigint>", "append", "EventTimeTimeout")
 
 
 def running_profiles(observed: DataFrame) -> DataFrame:

@@ -71,6 +71,8 @@ def test_fusion_of_the_worked_example(spark):
     types = "signature_matches array<struct<rule_id:string,rule_name:string,signature_score:double>>, ml_predictions array<struct<model_name:string,anomaly_score:double>>"
     rows = [([("R", "r", 1.0)], [("a", 0.7)]), ([], []), ([("R", "r", 0.9), ("S", "s", 0.5)], [("a", 0.9), ("b", 0.9)])]
     out = detect.fused(spark.createDataFrame(rows, types)).withColumn("ok", detect.is_consistent()).collect()
+    kept = detect.classified(detect.reported(detect.fused(spark.createDataFrame(rows, types))), {"S": "dos", "R": "malware"}, {"S": ["T1"]}).collect()
+    assert [(r.attack_category, "T1" in r.mitre_tactics) for r in kept] == [("malware", False), ("malware", True)]
     assert abs(out[0].threat_score - 0.88) < 1e-9 and out[0].severity == "CRITICAL" and not out[0].ok
     assert out[1].threat_score == 0 and not out[1].ok
     assert abs(out[2].signature_score - 0.95) < 1e-9 and abs(out[2].confidence - 1.0) < 1e-9 and out[2].severity == "CRITICAL" and out[2].ok
@@ -249,13 +251,15 @@ def test_rolled_up_counts(spark):
 def test_streamed_cooldown_and_scans(spark, tmp_path):
     from heronflow.streaming import flows as streams
 
-    rows = [("d", T0 + dt.timedelta(minutes=m)) for m in (0, 3, 5, 9, 10, 16)]
-    spark.createDataFrame(rows, "k string, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("k string, ts timestamp_ntz").parquet(f"{tmp_path}/in")
-    started = streams.cooled_down(stream, "k", 5).writeStream.format("memory").queryName("cooled").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    started.awaitTermination()
+    rows = [("d", T0 + dt.timedelta(minutes=m)) for m in (9, 3, 5, 0, 10, 16)]
+    end = [("e", T0 + dt.timedelta(days=1))]
+    for k, part in enumerate((rows[:3], rows[3:], end)):
+        spark.createDataFrame(part, "k string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    started = streams.cooled_down(stream, "k", 5, "1 hour").writeStream.format("memory").queryName("cooled").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    assert started.awaitTermination(120)
     start = int(T0.replace(tzinfo=dt.UTC).timestamp())
-    assert sorted((r.t // 1_000_000 - start) // 60 for r in spark.table("cooled").collect()) == [0, 5, 10, 16]
+    assert sorted((r.t // 1_000_000 - start) // 60 for r in spark.table("cooled").where("k = 'd'").collect()) == [0, 5, 10, 16]
 
 
 def test_sinks(spark, tmp_path):
