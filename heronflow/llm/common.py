@@ -11,6 +11,7 @@ Rules that hold for every operator here, unless its own docstring differs:
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +49,23 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with so many underscores before it that no column of
+    ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; only
-    if the session has none (tests) one under /tmp."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that all executors share, from ``spark.checkpoint.dir``. A
+    local session (tests) may have none and gets one in its temporary folder; on
+    a cluster that would be a folder of one machine, so it is an error there."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or f"{tempfile.gettempdir()}/checkpoints"
 
 
 def shared(df: DataFrame) -> DataFrame:

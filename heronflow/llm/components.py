@@ -4,6 +4,12 @@ Alternating stars (Kiveris et al. 2014): every node points its larger, then its
 smaller neighbours to the least neighbour it knows; each round at least halves
 the depth, and what is left at the end is one star a component. No list of
 nodes or edges leaves the executors.
+
+Least neighbours are aggregated before they are shuffled. To tell them to the
+edges of a node, hubs are set apart: nodes with more than one in
+:data:`HUBS` of all edge ends, of which there can be no more than :data:`HUBS`,
+are broadcast with their least neighbours, so their edges stay where they are;
+only edges of the other nodes are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -13,10 +19,22 @@ from pyspark.sql import functions as F
 
 from heronflow.llm.common import shared
 
+HUBS = 4_000
+
+
+def _with_least(rows: DataFrame, ends: DataFrame, n: int) -> DataFrame:
+    """``rows`` (u, v), some of the ``n`` edge ends ``ends``, with m, the least
+    v next to u in ``ends``."""
+    low = ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = low.where(F.col("n") > n // HUBS).select("u", "m")
+    busy = rows.join(F.broadcast(hubs), "u")
+    rest = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti")
+    return busy.union(rest.join(low.where(F.col("n") <= n // HUBS).select("u", "m"), "u"))
+
 
-def _least(edges: DataFrame) -> DataFrame:
-    """The least node next to each node u of edges (u, v)."""
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+def _pointed(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) with v < u, once each."""
+    return rows.where("u > v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,18 +43,19 @@ def components(edges: DataFrame) -> DataFrame:
     Self-edges, repeated edges and either direction are allowed; nulls are
     dropped; without edges the result is empty.
     """
-    edges = shared(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    edges = shared(_pointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
+    n, before = edges.count(), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        low = _least(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = shared(small)
+        large = _with_least(both.where("v > u"), both, 2 * n).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = shared(_pointed(large))
+        told = _with_least(large, large, large.count())
+        small = told.select(F.col("v").alias("u"), F.col("m").alias("v")).union(told.select("u", F.col("m").alias("v")))
+        edges = shared(_pointed(small))
         # Sums of 40 bits each cannot overflow below 8 million million edges.
         now = edges.agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 24)).alias("h")).first()
         if now == before:
             break
-        before = now
+        n, before = now["n"], now
     stars = edges.select("u", F.col("v").alias("root"))
     return stars.union(stars.select(F.col("root").alias("u"), "root").distinct())

@@ -16,9 +16,9 @@ once, so a text is coded by table look-ups over its bytes.
 
 Training: documents with text and language whose crc32 of the doc_id, as text,
 modulo 5 is not 0. Of each language about :data:`SAMPLE` documents are counted,
-those of a low hash of the id (a documented bound; a language with fewer is
-counted whole), and of each at most :data:`SAMPLE_BYTES` bytes. Only the text of
-what is predicted is looked at, and all of it.
+those of a low hash of the id (a documented bound of rows; a language with fewer
+is counted whole), each of them whole. Only the text of what is predicted is
+looked at, and all of it.
 
 Cases: a null text, and one without a letter, is ``und`` with score 0; a null
 language teaches nothing; without training rows everything is ``und``; repeated
@@ -28,7 +28,6 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,9 @@ from pyspark.sql import functions as F
 
 from heronflow.llm.common import sized, small_batches, table
 
-SAMPLE, SAMPLE_BYTES = 1500, 20_000
+SAMPLE = 1500
+#: Bytes that are counted at a time.
+PIECE = 1 << 22
 #: Steps in which the share of a language that is sampled is told.
 PARTS = 1 << 24
 ORDER = 3
@@ -46,7 +47,11 @@ FOLDS = 5
 UNKNOWN = "und"
 PREDICTED = "doc_id bigint, lang_pred string, score double"
 
-_letter = re.compile(r"[^\W\d_]").search
+
+
+def _letter(text: str) -> bool:
+    """Numerals such as a superscript two are word characters, but no letters."""
+    return any(map(str.isalpha, text))
 
 
 def fold(doc_id: Column) -> Column:
@@ -61,6 +66,19 @@ def grams(codes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _parts(found: list[tuple[bytes, int]]) -> Iterator[list[tuple[bytes, int]]]:
+    """Runs of texts of about PIECE bytes together."""
+    part, n = [], 0
+    for t, over in found:
+        part.append((t, over))
+        n += len(t)
+        if n >= PIECE:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 def count_grams(train: DataFrame) -> DataFrame:
     """lang, k, gram, n: strings of k = 1 to ORDER + 1 bytes in the texts.
     Counted a batch at a time and added up by Spark."""
@@ -69,10 +87,12 @@ def count_grams(train: DataFrame) -> DataFrame:
         for batch in batches:
             by: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(text.encode("utf-8", "replace")[:SAMPLE_BYTES])
+                raw = text.encode("utf-8", "replace")
+                # Pieces overlap by a context, so that each string is counted once.
+                by.setdefault(lang, []).extend((raw[max(0, at - ORDER) : at + PIECE], min(at, ORDER)) for at in range(0, len(raw), PIECE))
             for lang, found in by.items():
-                for k in range(1, ORDER + 2):
-                    gram, n = np.unique(np.concatenate([grams(np.frombuffer(t, np.uint8), k) for t in found]), return_counts=True)
+                for part, k in [(p, k) for p in _parts(found) for k in range(1, ORDER + 2)]:
+                    gram, n = np.unique(np.concatenate([grams(np.frombuffer(t, np.uint8), k)[max(0, over - k + 1) :] for t, over in part]), return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(gram), pa.string()), pa.array([k] * len(gram), pa.int32()), pa.array(gram), pa.array(n.astype(np.int64))], names=["lang", "k", "gram", "n"])
 
     return train.select("lang", "text").mapInArrow(run, "lang string, k int, gram bigint, n bigint").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
@@ -205,7 +225,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def learn(train: DataFrame) -> Model:
     """The counts of a bounded sample come to the driver: at most one for each
-    four bytes of it, in practice a few hundred thousand."""
+    four bytes of it, in practice a few hundred thousand (1.7 million rows before
+    they are added up over the batches of the largest check table)."""
     counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
     found = count_grams(train).toArrow().to_pandas()
     for (lang, k), part in found.groupby(["lang", "k"]):

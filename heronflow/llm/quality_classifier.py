@@ -2,8 +2,9 @@
 
 1. Heuristic labellers look at every whole text and vote on two questions, if
    it is junk and if it is toxic: yes, no, or nothing. They overlap and err.
-   Two of them look words up that a sample of about :data:`LABELLED` rows of
-   ``labels`` (documented bound) has far more often in toxic documents.
+   One of them looks up words and beginnings of words that a sample of about
+   :data:`LABELLED` rows of ``labels`` (documented bound) has far more often in
+   toxic documents.
 2. Spark counts how often each combination of votes occurs over all documents,
    where ``labels`` has an opinion with that as one labeller more: at most
    2**7 * 3 and 2 * 3 * 3 rows. Expectation-maximisation over these counts
@@ -38,11 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronflow.llm.blocks import packed_deltas, unpacked_deltas
-from heronflow.llm.common import shared, table, texts
+from heronflow.llm.common import shared, sized, table, texts
 
 TRAIN_ROWS, SHARES, EPOCHS = 20_000, 4, 3
-#: Labelled rows that words are learned from, words at most, the share of toxic rows that one is in at least, and how many times that of the others.
-LABELLED, LEXICON, FREQUENT, LIFT = 20_000, 2_000, 0.005, 20
+#: Labelled rows that words are learned from, the share of toxic rows that one is in at least, and how many times that of the others.
+LABELLED, FREQUENT, LIFT = 20_000, 0.005, 20
+#: Lengths of the beginnings that count beside whole words.
+BEGINNINGS = (4, 5, 6, 8)
 BUCKETS = 1 << 17
 #: Votes that the prior is worth, how often a labeller is expected to say what is right, and what is wrong.
 PRIOR, SAYS, RARE = 20.0, 0.3, 0.02
@@ -85,11 +88,18 @@ def measures(text: str) -> dict[str, float]:
     }
 
 
+def marks(text: str) -> set[str]:
+    """The lower-cased words of a text, and the beginnings of longer ones with
+    a star behind."""
+    words = set(_bare(text.lower()))
+    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in BEGINNINGS))
+
+
 def votes(text: str, shares: dict[str, float], lexicon: frozenset[str]) -> tuple[str, str]:
     """What the labellers say on junk and on toxic, a character each: 1 yes, 0
     no, ? nothing. The last on junk votes no where no other says yes."""
     lower = set(_bare(text.lower()))
-    known, learned = len(lower & INSULTS), len(lower & lexicon)
+    known, learned = len(lower & INSULTS), len(marks(text) & lexicon) if lexicon else 0
     toxic = ("1" if known else "0") + ("1" if learned >= 2 else "?" if learned else "0")
     few = bool(shares) and len(lower) >= 30 and len(STOP_WORDS & lower) <= 1
     junk = "".join("1" if shares.get(k, 0.0) >= most else "?" for k, most in LIMITS.items()) + ("1" if few else "?")
@@ -97,19 +107,20 @@ def votes(text: str, shares: dict[str, float], lexicon: frozenset[str]) -> tuple
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame) -> frozenset[str]:
-    """Words that labelled documents have far more often if they are toxic. Equal
-    texts count once. Bounded: about LABELLED rows in, LEXICON words out."""
+    """Words and beginnings that labelled documents have far more often if they
+    are toxic. Equal texts count once. Bounded by the sample: about LABELLED rows
+    come in, and what comes out is in FREQUENT of the toxic ones each."""
     every = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     n = every.count()
     some = every.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, LABELLED / max(1, n)) * 1_000_000))
-    rows = texts(docs).join(F.broadcast(some), "doc_id").select("text", "_toxic").dropDuplicates(["text"])
+    rows = texts(docs).join(sized(some), "doc_id").select("text", "_toxic").dropDuplicates(["text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
         n_rows = [0, 0]
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[bool(toxic)].update(set(_bare(text.lower())))
+                counts[bool(toxic)].update(marks(text))
                 n_rows[bool(toxic)] += 1
         words = list(counts[1].keys() | counts[0].keys())
         found = [[counts[k][w] for w in words] + [n_rows[k]] for k in (0, 1)]
@@ -122,8 +133,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> frozenset[str]:
     if not number or not number["toxic"]:
         return frozenset()
     often = (F.col("toxic") >= max(3, FREQUENT * number["toxic"])) & (F.col("toxic") / number["toxic"] >= LIFT * (F.col("clean") + 1) / (number["clean"] + 1))
-    kept = totals.where((F.col("word") != "") & often).orderBy(F.desc("toxic"), "word").limit(LEXICON)
-    return frozenset(r["word"] for r in kept.collect())
+    return frozenset(r["word"] for r in totals.where((F.col("word") != "") & often).select("word").collect())
 
 
 def features(text: str, shares: dict[str, float]) -> np.ndarray:
@@ -150,7 +160,7 @@ class Labellers:
         yes, no = (said == 1).sum(axis=1), (said == 0).sum(axis=1)
         posterior = np.where(said[:, -1] == 2, (yes + 0.01) / (yes + no + 0.1), said[:, -1] == 1)
         for _ in range(rounds if patterns else 0):
-            self.share = float(np.clip(((n * posterior).sum() + 1) / (n.sum() + 2), 0.001, 0.5))
+            self.share = float(np.clip(((n * posterior).sum() + 1) / (n.sum() + 2), 0.001, 0.999))
             for k in range(size):
                 for vote in range(3):
                     mine = n * (said[:, k] == vote)

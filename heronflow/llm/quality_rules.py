@@ -2,22 +2,25 @@
 
 Each document gets counts of its whole text and fails the base rules if it has
 under 50 words or if over half of its words stand in three-word windows that
-occur twice or more in it. Softer rules (:data:`RULES`) are only counted: a
-document is suspect if it breaks one of them or a base rule. The suspect share
-of a host (``source``) is shrunk towards that of all hosts: a beta prior is
-fitted to the hosts' shares by the method of moments, and a host is bad if its
-posterior mean is over :data:`BAD_HOST`. A document is rejected if it fails a
-base rule, or if it is suspect and its host is bad; so a clean document stays
-whatever its host.
+occur twice or more in it. Softer rules (:data:`RULES`) have limits that depend
+on the host (``source``). A document is suspect if it breaks a base rule or a
+softer one at its plain limit. The suspect share of a host is shrunk towards
+that of all hosts: a beta prior is fitted to the hosts' shares by the method of
+moments, and the posterior mean over the prior's mean is the host's verdict, its
+``strictness``, between 1 / :data:`RANGE` and :data:`RANGE`. The limits of the
+softer rules are divided by it: on a host that fails twice as often as hosts do,
+half as much is let pass, on a good one more. A document is rejected if it fails
+a base rule, or a softer rule at its host's limits; a document with nothing to
+object to stays whatever its host.
 
 All that is counted of a document comes from its own row, without a shuffle.
 Repeated windows are found by sorting the windows' hashes with their places and
 comparing neighbours; equal hashes count only if the words are equal too.
 
 Cases: a null text has no words; a null host is a host of its own; with one
-host, or hosts that all agree, the prior is that of a host of
-:data:`WEAK_PRIOR` documents; an empty table gives an empty result; columns
-named like a result are replaced, others are carried along.
+host, or hosts that differ by no more than chance would have them differ, every
+host has strictness one; an empty table gives an empty result; columns named
+like a result are replaced, others are carried along.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import shared, sized, stored, table, without
+from heronflow.llm.common import BROADCAST_ROWS, fresh, shared, stored, table, without
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Softer rules: symbols a hundred words, and repeated lines a hundred lines, beyond which a document is suspect.
-RULES = {"symbols": 30, "dup_lines": 30}
-BAD_HOST = 0.8
-WEAK_PRIOR = 10.0
+RULES = {"symbols": 30, "dup_lines": 60}
+#: How much stricter or milder than the plain limits a host's can get.
+RANGE = 2.0
+#: Hosts with more than this part of all documents are joined by broadcast, at most so many.
+HOT_HOSTS = 2_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -71,28 +76,31 @@ def _repeat_words(words: Column) -> Column:
     return _let(words, repeated)
 
 
+def _soft(strictness: Column | float) -> Column:
+    """A softer rule is broken at the limits that ``strictness`` divides."""
+    symbols = 100 * F.col("n_symbols") * strictness > RULES["symbols"] * F.col("n_words")
+    return symbols | (100 * F.col("n_dup_lines") * strictness > RULES["dup_lines"] * F.col("n_lines"))
+
+
 def document_rules(docs: DataFrame) -> DataFrame:
-    """``docs`` with the counts, base_failed and suspect. Narrow."""
+    """``docs`` with the counts, n_lines, base_failed and suspect. Narrow."""
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, _SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counts = _let(words, lambda w: F.struct(F.size(w).alias("n"), F.char_length(F.array_join(w, "")).alias("chars"), _repeat_words(w).alias("repeated")))
+    by_word = _let(words, lambda w: F.struct(F.size(w).alias("n"), F.char_length(F.array_join(w, "")).alias("chars"), _repeat_words(w).alias("repeated")))
     by_line = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("repeated")))
-    out = without(docs, *COUNTS, "base_failed", "suspect").withColumns(
-        {
-            "_w": counts,
-            "_l": by_line,
-            "n_symbols": F.char_length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("bigint"),
-        }
-    )
-    out = out.withColumns({"word_chars": F.col("_w.chars").cast("bigint"), "n_words": F.col("_w.n").cast("bigint"), "n_repeat_words": F.col("_w.repeated").cast("bigint"), "n_dup_lines": F.col("_l.repeated").cast("bigint")})
+    out = without(docs, *COUNTS, "n_lines", "base_failed", "suspect")
+    w, x = fresh(out, "_words"), fresh(out, "_lines")
+    found = {"n_words": f"{w}.n", "word_chars": f"{w}.chars", "n_symbols": None, "n_dup_lines": f"{x}.repeated", "n_repeat_words": f"{w}.repeated", "n_lines": f"{x}.n"}
+    symbols = F.char_length(F.regexp_replace(text, f"[^{SYMBOLS}]+", ""))
+    out = out.withColumns({w: by_word, x: by_line, "n_symbols": symbols})
+    out = out.withColumns({c: F.col(at or c).cast("bigint") for c, at in found.items()}).drop(w, x)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    soft = (100 * F.col("n_symbols") > RULES["symbols"] * F.col("n_words")) | (100 * F.col("n_dup_lines") > RULES["dup_lines"] * F.col("_l.n"))
-    return out.withColumns({"base_failed": base, "suspect": base | soft}).drop("_w", "_l")
+    return out.withColumns({"base_failed": base, "suspect": base | _soft(1)})
 
 
 def host_verdicts(ruled: DataFrame, host: str = "source") -> DataFrame:
-    """host, n_docs, n_suspect, rate (shrunk) and bad, one row a host."""
+    """host, n_docs, n_suspect, rate (shrunk), strictness, one row a host."""
     hosts = ruled.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.count_if("suspect").alias("n_suspect"))
     share = F.col("n_suspect") / F.col("n_docs")
     prior = hosts.agg(F.avg(share).alias("mean"), F.var_pop(share).alias("var"), F.avg(1 / F.col("n_docs")).alias("noise")).select(
@@ -100,28 +108,42 @@ def host_verdicts(ruled: DataFrame, host: str = "source") -> DataFrame:
         # Moments of a beta-binomial: what the shares vary beyond their sampling noise.
         (F.col("var") - F.col("mean") * (1 - F.col("mean")) * F.col("noise")).alias("between"),
     )
-    weight = F.when(F.col("between") > 0, F.greatest(F.lit(1.0), F.col("mean") * (1 - F.col("mean")) / F.col("between") - 1)).otherwise(WEAK_PRIOR)
-    prior = prior.select("mean", weight.alias("weight"))
+    weight = F.greatest(F.lit(1.0), F.col("mean") * (1 - F.col("mean")) / F.col("between") - 1)
     # One row of two numbers joins every host.
-    rate = (F.col("n_suspect") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_suspect", rate.alias("rate"), (rate > BAD_HOST).alias("bad"))
+    rows = hosts.join(F.broadcast(prior.select("mean", F.when(F.col("between") > 0, weight).alias("weight"))))
+    rate = F.when(F.col("weight").isNull(), F.col("mean")).otherwise((F.col("n_suspect") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight")))
+    strictness = F.when(F.col("weight").isNull() | (F.col("mean") == 0), 1.0).otherwise(F.greatest(F.lit(1 / RANGE), F.least(F.lit(RANGE), F.col("rate") / F.col("mean"))))
+    return rows.withColumn("rate", rate).withColumn("strictness", strictness).select("host", "n_docs", "n_suspect", "rate", "strictness")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """``docs`` with counts, base_failed, suspect and kept. The rules are run
-    once and their rows stored, as the hosts and the documents both need them
-    and they cost far more than to write the texts."""
+    """``docs`` with counts, base_failed, suspect, strictness (of the host) and
+    kept. The rules are run once and their rows stored, as the hosts and the
+    documents both need them and they cost far more than to write the texts."""
     ruled = stored(document_rules(docs))
     return _verdict(ruled, host_verdicts(ruled))
 
 
+def _joined(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
+    """``rows`` with the strictness of their host. Few hosts are broadcast; of
+    many only those with so many documents that they would fill a task, which
+    are at most :data:`HOT_HOSTS`, and the rest is joined by a shuffle."""
+    same = F.col("source").eqNullSafe(F.col(host))
+    hosts = shared(hosts.select(F.col("host").alias(host), "n_docs", "strictness"))
+    if hosts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(hosts.drop("n_docs")), same, "left").drop(host)
+    most = (hosts.agg(F.sum("n_docs").alias("n")).first()["n"] or 0) // HOT_HOSTS
+    hot, cold = hosts.where(F.col("n_docs") > most).drop("n_docs"), hosts.where(F.col("n_docs") <= most).drop("n_docs")
+    busy = rows.join(F.broadcast(hot), same, "inner").drop(host)
+    rest = rows.join(F.broadcast(hot.select(host)), same, "left_anti").join(cold, same, "left").drop(host)
+    return busy.unionByName(rest)
+
+
 def _verdict(rows: DataFrame, hosts: DataFrame) -> DataFrame:
-    """``rows`` with kept. Only bad hosts are joined, which are few."""
-    bad = sized(hosts.where("bad").select(F.col("host").alias("_host"), "bad"))
-    out = without(rows, "_host", "bad", "kept").join(bad, F.col("source").eqNullSafe(F.col("_host")), "left")
+    rows = without(rows, "strictness", "kept")
+    out = _joined(rows, hosts, fresh(rows, "_host"))
     # One condition: a filter on it is not split, so the rules are not run twice.
-    kept = F.when(F.col("base_failed"), False).otherwise(~(F.col("suspect") & F.coalesce("bad", F.lit(False))))
-    return out.withColumn("kept", kept).drop("_host", "bad")
+    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~_soft(F.coalesce("strictness", F.lit(1.0)))))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +176,11 @@ WITH d AS (
 ), moments AS (
   SELECT avg(k / n) AS m, var_pop(k / n) - avg(k / n) * (1 - avg(k / n)) * avg(1 / n) AS b FROM hosts
 ), prior AS (
-  SELECT m, CASE WHEN b > 0 THEN greatest(1.0, m * (1 - m) / b - 1) ELSE {WEAK_PRIOR} END AS weight FROM moments
-), bad AS (
-  SELECT host FROM hosts, prior WHERE (k + m * weight) / (n + weight) > {BAD_HOST}
+  SELECT m, CASE WHEN b > 0 THEN greatest(1.0, m * (1 - m) / b - 1) END AS weight FROM moments
+), strict AS (
+  SELECT host, CASE WHEN weight IS NULL OR m = 0 THEN 1.0 ELSE greatest({1 / RANGE}, least({RANGE}, (k + m * weight) / (n + weight) / m)) END AS s FROM hosts, prior
 )
 SELECT doc_id, {", ".join(COUNTS)}, base_failed,
-  NOT base_failed AND NOT (soft_failed AND EXISTS (SELECT 1 FROM bad WHERE host IS NOT DISTINCT FROM source)) AS kept
-FROM judged
+  NOT base_failed AND NOT (100 * n_symbols * s > {RULES["symbols"]} * n_words OR 100 * n_dup_lines * s > {RULES["dup_lines"]} * n_lines) AS kept
+FROM judged JOIN strict ON host IS NOT DISTINCT FROM source
 """

@@ -34,8 +34,9 @@ from pyspark.sql.types import StructType
 from heronflow.llm.common import small_batches, table, texts, without
 
 MARK = "▁"
-#: A Python worker remembers up to twice as many words, about 70 MB.
-WORDS_KEPT = 200_000
+#: A Python worker remembers up to twice as many words, about 70 MB, none of
+#: more than so many characters: longer ones are encoded where they stand.
+WORDS_KEPT, LONGEST_KEPT = 200_000, 200
 #: Up to this length words are merged side by side, one merge each a round.
 SHORT = 32
 ENCODED = "n_tokens bigint, ids binary, decoded string"
@@ -225,7 +226,10 @@ class Codec:
         if new:
             self.learn(list(new))
         get = self.known.__getitem__
-        return [self.line_end.join([b"".join(map(get, line)) for line in lines]) for lines in split]
+        out = [self.line_end.join([b"".join(map(get, line)) for line in lines]) for lines in split]
+        for word in [w for w in new if len(w) > LONGEST_KEPT]:
+            del self.known[word]
+        return out
 
     def forget(self) -> None:
         """Give the words' memory back; the worker may go on with other work."""

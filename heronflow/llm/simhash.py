@@ -16,8 +16,9 @@ at each anchor it is enough to compare those at home with all that are there.
 Replicas are about 200 a distinct fingerprint; exact copies are one
 fingerprint. With 16.8 million anchors on each two segments few fingerprints
 meet that do not link. Large groups at an anchor are not expanded to pairs:
-what a fingerprint links to leaves the rest, so a group of m near copies costs
-about m comparisons and m - 1 edges.
+what a fingerprint links to leaves the rest, so m fingerprints at an anchor that
+all link cost about m comparisons and m - 1 edges; m that do not link cost m a
+fingerprint at home, of which 42 bits or more agree within a few.
 
 Cases: null and empty texts have fingerprint zero and link with each other;
 ties and repeated rows share a component; an empty table gives an empty result;
@@ -46,6 +47,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 GOLAY = 0b110001110101
 #: Replicas that a task of the anchor stage gets, about.
 TASK_REPLICAS = 1_000_000
+#: Fingerprints that a task replicates, about.
+TASK_FINGERPRINTS = 5_000
 #: Comparisons at one anchor from which linked fingerprints leave the rest.
 MANY = 256
 
@@ -195,7 +198,8 @@ def fingerprint_links(fps: DataFrame, n: int, threshold: int = THRESHOLD) -> Dat
         found = links(anchor & ~np.int64(1 << 62), np.frombuffer(b"".join(values), np.uint64), anchor >> 62 & 1 == 1, threshold).view(np.int64)
         yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
-    replicas = fps.select("fp").mapInArrow(replicate, "bucket bigint, anchors binary, fps binary")
+    # A number of partitions of its own: so few bytes would be put in one task.
+    replicas = fps.select("fp").repartition(max(1, -(-n // TASK_FINGERPRINTS)), "fp").mapInArrow(replicate, "bucket bigint, anchors binary, fps binary")
     return replicas.repartition(buckets, "bucket").mapInArrow(compare, "u bigint, v bigint")
 
 
@@ -203,7 +207,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id that links lead to."""
     found = shared(fingerprints(docs))
     distinct = shared(found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
-    roots = components(fingerprint_links(distinct.repartition("fp"), distinct.count(), threshold))
+    roots = components(fingerprint_links(distinct, distinct.count(), threshold))
     linked = shared(distinct.join(roots.withColumnRenamed("u", "fp"), "fp"))
     least = sized(linked.groupBy("root").agg(F.min("low").alias("component_id")))
     linked = linked.join(least, "root").select("fp", "component_id", F.lit(True).alias("links"))

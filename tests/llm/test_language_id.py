@@ -65,6 +65,27 @@ def test_the_bound_on_the_sample(spark, monkeypatch):
     assert set(counts) == {"en", "de", "xx"} and all(25 <= n <= 80 for n in counts.values())
 
 
+def test_long_texts_are_counted_whole(spark, monkeypatch):
+    rows = [("en", "the er on " * 40), ("en", "x"), ("de", "ünd ch ei " * 30)]
+    monkeypatch.setattr(ppm, "PIECE", 7)
+    got = {(r.lang, r.k, r.gram): r.n for r in ppm.count_grams(spark.createDataFrame(rows, "lang string, text string")).collect()}
+    want: dict = {}
+    for lang, t in rows:
+        raw = t.encode()
+        for k in range(1, ppm.ORDER + 2):
+            for i in range(len(raw) - k + 1):
+                key = (lang, k, int.from_bytes(raw[i : i + k], "big"))
+                want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+def test_numerals_are_no_letters_and_columns_may_clash(spark):
+    rows = [(1, "the ther on", "en", "x"), (2, "²½① Ⅷ 12", "en", "x"), (3, "th" * 1_000_000, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    got = {r.doc_id: r.lang_pred for r in ppm.identify(docs, ppm.learn(ppm.training_rows(docs.where("doc_id = 1")))).collect()}
+    assert got == {1: "en", 2: "und", 3: "en"}
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = ppm.learn(ppm.training_rows(empty))

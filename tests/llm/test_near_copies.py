@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from heronflow.llm import near_copies, simhash
 
@@ -41,7 +43,10 @@ def corpus():
     return rows
 
 
-def test_against_all_pairs(spark):
+@pytest.mark.parametrize("big", [512, 3])
+def test_against_all_pairs(spark, monkeypatch, big):
+    monkeypatch.setattr(near_copies, "BIG", big)
+    monkeypatch.setattr(near_copies, "PIVOTS", 1 if big == 3 else 32)
     rows = corpus()
     want = brute(rows)
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame([(*r, None) for r in rows], SCHEMA)).collect()}

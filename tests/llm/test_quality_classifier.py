@@ -46,6 +46,54 @@ def test_without_labels_and_with_odd_rows(spark):
     assert q.classify(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
 
 
+def test_against_brute_force(spark, monkeypatch):
+    """Lexicon, votes, estimation over single documents, and the odds of each
+    document, by plain loops; only the weights come from the trained scorer."""
+    docs, labels = corpus(4, 240)
+    docs += [(9000, None, "x"), (9001, "", "x"), (5, docs[5][1], "x"), (9002, "word " * 200_000 + "zorbe kliffen mumpf", "x")]
+    made = {}
+    real = q.train_scorers
+
+    def train(rows, labellers, n):
+        made["labellers"], made["weights"] = labellers, real(rows, labellers, n)
+        return made["weights"]
+
+    monkeypatch.setattr(q, "train_scorers", train)
+    frames = spark.createDataFrame(docs, "doc_id long, text string, junk string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = sorted((r.doc_id, round(r.junk, 6), round(r.toxic, 6)) for r in q.classify(*frames).collect())
+
+    opinion = {k: (quality, toxic) for k, quality, toxic in labels}
+    seen = {t or "": opinion[k][1] for k, t, _ in docs if k in opinion}
+    n = [sum(not x for x in seen.values()), sum(seen.values())]
+    count = [{}, {}]
+    for t, x in seen.items():
+        for w in q.marks(t):
+            count[x][w] = count[x].get(w, 0) + 1
+    lexicon = frozenset(w for w, k in count[1].items() if k >= max(3, q.FREQUENT * n[1]) and k / n[1] >= q.LIFT * (count[0].get(w, 0) + 1) / (n[0] + 1))
+    assert {"zorbe", "zorb*", "idiot"} <= lexicon and lexicon == q.learn_lexicon(*frames)
+
+    said = [q.votes(t or "", q.measures(t or ""), lexicon) for _, t, _ in docs]
+    patterns = [{}, {}]
+    for (k, *_), (junk, toxic) in zip(docs, said, strict=True):
+        good, bad = opinion.get(k, (None, None))
+        for at, p in enumerate((junk + {0: "1", 1: "0", None: "?"}[good], toxic + {0: "0", 1: "1", None: "?"}[bad])):
+            patterns[at][p] = patterns[at].get(p, 0) + 1
+    for mine, size, theirs in zip(patterns, (8, 3), made["labellers"], strict=True):
+        want = q.Labellers(mine, size)
+        assert abs(want.share - theirs.share) < 1e-9 and np.abs(want.says - theirs.says).max() < 1e-9
+
+    want = []
+    for (k, t, _), votes in zip(docs, said, strict=True):
+        out = []
+        for v, by, w in zip(votes, made["labellers"], made["weights"], strict=True):
+            p = by.posterior(v)
+            odds = np.log(p / (1 - p)) - np.log(by.share / (1 - by.share)) + sum(float(w[i]) for i in q.features(t or "", q.measures(t or ""))) + float(w[-1])
+            out.append(round(1 / (1 + np.exp(-max(-50, min(50, odds)))), 6))
+        want.append((k, *out))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 and abs(a[2] - b[2]) < 1e-5
+
+
 def test_em_finds_what_labellers_say():
     rng = np.random.default_rng(5)
     truth = rng.random(20_000) < 0.15

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import duckdb
+
 from heronflow.llm import quality_rules as rules
 
 SCHEMA = "doc_id long, text string, source string, host string, Kept string"
@@ -24,15 +26,55 @@ def test_counts(spark):
         assert got[k] == (n, chars, symbols, lines, repeated), t
 
 
-def test_bad_hosts_take_only_suspect_documents(spark):
-    clean = " ".join(f"w{k}" for k in range(80))
-    rows = [(k, clean if k == 0 else clean + " #" * 60, "bad", "h", "k") for k in range(40)]
-    rows += [(100 + k, clean if k else clean + " #" * 60, f"good{k % 4}", "h", "k") for k in range(80)]
-    rows += [(200, "short", None, "h", "k")]
-    got = {r.doc_id: (r.base_failed, r.kept) for r in rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got[0] == (False, True) and got[1] == (False, False)
-    assert got[100] == (False, True) and got[101] == (False, True) and got[200] == (True, False)
-    assert len(got) == 121
+CLEAN = " ".join(f"w{k}" for k in range(80))
+
+
+def mixed_hosts():
+    """A host of which half fails, and good ones; each has a document of 20 and
+    one of 33 symbols a hundred words, and a clean one."""
+    cases = {0: CLEAN, 1: CLEAN + " #" * 20, 2: CLEAN + " #" * 40}
+    rows = []
+    for h, host in enumerate(["bad", "good0", "good1", "good2", None]):
+        rows += [(1000 * h + k, t, host, "h", "k") for k, t in cases.items()]
+        rows += [(1000 * h + 10 + k, CLEAN + (" #" * 300 if host == "bad" and k % 2 else ""), host, "h", "k") for k in range(60)]
+    return rows + [(9000, "short", None, "h", "k")]
+
+
+def test_hosts_decide(spark):
+    ruled = rules.quality_rules(spark.createDataFrame(mixed_hosts(), SCHEMA))
+    got = {r.doc_id: (r.base_failed, r.kept, r.suspect) for r in ruled.collect()}
+    assert [got[k] for k in (0, 1, 2)] == [(False, True, False), (False, False, False), (False, False, True)]
+    for h in (1, 2, 3, 4):
+        assert [got[1000 * h + k] for k in (0, 1, 2)] == [(False, True, False), (False, True, False), (False, True, True)]
+    assert got[9000] == (True, False, True) and all(kept for k, (_, kept, suspect) in got.items() if not suspect and k != 1)
+    strict = {r.source: r.strictness for r in ruled.select("source", "strictness").distinct().collect()}
+    assert strict["bad"] == 2 and all(s == 0.5 for h, s in strict.items() if h != "bad")
+
+
+def test_many_hosts_are_joined_by_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame(mixed_hosts(), SCHEMA)
+    want = sorted((r.doc_id, r.kept) for r in rules.quality_rules(docs).collect())
+    monkeypatch.setattr(rules, "BROADCAST_ROWS", 1)
+    for hot in (2_000, 4):
+        monkeypatch.setattr(rules, "HOT_HOSTS", hot)
+        assert sorted((r.doc_id, r.kept) for r in rules.quality_rules(docs).collect()) == want
+
+
+def test_sql_gives_the_same(spark, tmp_path):
+    db = duckdb.connect()
+    for name, rows in {"mixed": mixed_hosts(), "alike": [(k, CLEAN + " #" * (40 * (k % 3)), f"h{k % 2}", "h", "k") for k in range(60)]}.items():
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        db.execute(f"CREATE OR REPLACE VIEW documents AS FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        got = rules.op5_quality_rules(spark, f"{tmp_path}/{name}")
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({rules.SQL}) ORDER BY doc_id").fetchall()
+        assert [tuple(r) for r in got.orderBy("doc_id").collect()] == want
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    text = "a b c d " * 300_000
+    docs = spark.createDataFrame([(1, text, "s", 7, "x")], "doc_id long, text string, source string, _words int, _lines string")
+    (r,) = rules.quality_rules(docs).collect()
+    assert (r._words, r._lines, r.n_words, r.n_repeat_words, r.base_failed) == (7, "x", 1_200_000, 1_200_000, True)
 
 
 def test_empty(spark):

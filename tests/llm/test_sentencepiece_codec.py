@@ -39,6 +39,14 @@ def test_forgetting_words_changes_nothing(monkeypatch):
         assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == model.library.encode(text)
 
 
+def test_very_long_words_are_not_remembered():
+    model, rng = sp.Codec(PATH), random.Random(2)
+    text = "".join(rng.choices("ABCDefgh0123+/", k=60_000)) + " a b " + "z" * 300
+    for _ in range(2):
+        assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == model.library.encode(text)
+        assert max(map(len, model.known)) <= sp.LONGEST_KEPT
+
+
 def test_table(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (None, None, "z")], "doc_id long, text string, ids string")
     rows = sp.encode_documents(docs, PATH).collect()
