@@ -55,6 +55,61 @@ def test_search_retrieves_all_above_the_threshold(spark):
     assert set(index.passages(words)) == want and len(want) > 50
 
 
+def built(items, **over):
+    rows = [(k, k, t) for k, t in enumerate(items)]
+    return d.Index(rows, [(k, w, x) for k, mine in enumerate(bm25(items)) for w, x in mine.items()], over.get("stride", 64))
+
+
+def test_blocks_are_skipped_and_work_comes_in_shares(monkeypatch):
+    items, docs = corpus()
+    words = [d._words(t.lower()) for t in docs]
+    index = built(items)
+    want = index.passages(words)
+    passages = sum(max(1, -(-len(ws) // 64)) for ws in words)
+    assert index.scored <= index.pivots < index.reached < passages * index.blocks
+    assert index.scored < 0.8 * index.reached
+    monkeypatch.setattr(d, "WORK", 50)
+    assert sorted(built(items).passages(words)) == sorted(want)
+
+
+def test_long_texts_come_in_pieces(spark, monkeypatch):
+    items, docs = corpus(5)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    text = " ".join(docs)
+    words = d._words(text.lower())
+    monkeypatch.setattr(d, "SLICE", 3)
+    found = list(d.pieces(text, 64))
+    assert len(found) > 20 and max(map(len, found)) <= 4 * 64
+    assert [w for p in found for w in p[: 3 * 64]] + found[-1][3 * 64 :] == words
+    monkeypatch.undo()
+    index = built(items)
+    whole = {(first, i) for _, first, i in index.passages([words])}
+    in_parts, start = set(), 0
+    monkeypatch.setattr(d, "SLICE", 3)
+    for piece in d.pieces(text, 64):
+        in_parts |= {(start + first, i) for _, first, i in index.passages([piece])}
+        start += 3 * 64
+    assert whole == in_parts
+    docs_of_one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert d.leaks(docs_of_one, bench).where("leaked").count() > 20
+
+
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+
+    items, docs = corpus(6)
+    index = built(items)
+    peaks = []
+    for times in (40, 400):
+        text = " ".join(docs * times)
+        tracemalloc.start()
+        n = sum(len(index.passages([p])) for p in d.pieces(text, index.stride))
+        peaks.append(tracemalloc.get_traced_memory()[1] - 2 * len(text))
+        tracemalloc.stop()
+        assert n > 0
+    assert len(d._words(text)) > 5_000_000 and peaks[1] < 1.5 * peaks[0] + (8 << 20)
+
+
 def test_leaks_against_shingles(spark, monkeypatch):
     items, docs = corpus(4)
     bench = spark.createDataFrame([(k, t, "c") for k, t in enumerate(items)] + [(99, None, "c"), (98, "", "c")], "item_id long, text string, score string")
