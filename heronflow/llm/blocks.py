@@ -1,12 +1,18 @@
 """Two-way exchange between blocks of documents and shards of hashes.
 
 Operators 4 and 7 look for strings that occur elsewhere in the corpus. Their
-documents are dealt, by a hash of the row, to blocks of about
-:data:`BLOCK_BYTES`. A block sends what may repeat to shards, packed in one row
-for each shard it has something for; a shard brings together what all blocks
-sent it and answers each row with one bit for each thing that was sent. Only
-hashes, candidates and bits travel; the documents are shuffled once, and that
-shuffle is read again by each later step.
+documents are dealt to blocks of about :data:`BLOCK_BYTES`: by the place of the
+row in its file, so that equal rows are spread like any others, or, for tables
+that do not come from files, by a hash of id and text. A block sends what may
+repeat to shards, packed in one row for each shard it has something for; a shard
+brings together what all blocks sent it and answers each row with one bit for
+each thing that was sent. Only hashes, candidates and bits travel; the documents
+are shuffled once, and that shuffle is read again by each later step.
+
+Blocks and shards are many to a partition, of which there are
+:data:`MAX_PARTITIONS` at most; they come in order, so a task holds one of them
+at a time. A row is sent only if it has a hash, so there are never more rows than
+hashes, whose number is in proportion to the corpus.
 
 Which strings may repeat is told by minimizers: of the hashes of the parts
 (grams) of a window the least one, leftmost if several are least. Equal windows
@@ -20,6 +26,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +35,8 @@ from heronflow.llm.common import small_batches, utf8_bytes
 BLOCK_BYTES = 4 << 20
 #: Positions that are looked at together.
 CHUNK = 1 << 19
-#: Bits of a cell beyond those that number the hashes: one hash in 4096 meets another by chance.
-SPARE_BITS = 12
+#: Partitions of blocks or of shards at most.
+MAX_PARTITIONS = 20_000
 ANSWER = "block bigint, step int, shard bigint, bits binary"
 
 U64 = np.uint64
@@ -129,11 +136,12 @@ class Sizes:
     """How many blocks, shards and cells a corpus of so many bytes gets. All
     grow with it, so a block's and a shard's memory does not."""
 
-    def __init__(self, n_bytes: int, hashes_a_byte: float, candidates_a_shard: int):
+    def __init__(self, n_bytes: int, hashes_a_byte: float, candidates_a_shard: int, spare_bits: int):
+        """``spare_bits``: bits of a cell beyond those that number the hashes."""
         hashes = max(1, int(n_bytes * hashes_a_byte))
         self.blocks = max(1, -(-n_bytes // BLOCK_BYTES))
-        self.cell_bits = min(64, hashes.bit_length() + SPARE_BITS)
         self.shard_bits = (hashes >> 21).bit_length()
+        self.cell_bits = min(64, max(self.shard_bits, hashes.bit_length() + spare_bits))
         self.shards = 1 << self.shard_bits
         self.exact_shards = max(1, -(-n_bytes // candidates_a_shard))
 
@@ -152,12 +160,23 @@ def in_blocks(docs: DataFrame, sizes: Sizes, carry: list[str] | None = None) ->
     text = F.coalesce("text", F.lit(""))
     doc_id = F.col("doc_id").cast("bigint")
     rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry is not None else []
-    block = F.pmod(F.xxhash64(doc_id, text), F.lit(sizes.blocks))
-    return docs.select(doc_id.alias("doc_id"), text.cast("binary").alias("text"), *rest, block.alias("block")).repartition(sizes.blocks, "block")
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")] if _from_files(docs) else [doc_id, text]
+    block = F.pmod(F.xxhash64(*place), F.lit(sizes.blocks))
+    dealt = docs.select(doc_id.alias("doc_id"), text.cast("binary").alias("text"), *rest, block.alias("block"))
+    return dealt.repartition(min(sizes.blocks, MAX_PARTITIONS), "block")
 
 
-def sized(docs: DataFrame, hashes_a_byte: float, candidates_a_shard: int) -> Sizes:
-    return Sizes(utf8_bytes(docs), hashes_a_byte, candidates_a_shard)
+def _from_files(docs: DataFrame) -> bool:
+    """If each row can tell where in which file it stands."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018 - analyses the columns
+    except AnalysisException:
+        return False
+    return True
+
+
+def sized(docs: DataFrame, hashes_a_byte: float, candidates_a_shard: int, spare_bits: int) -> Sizes:
+    return Sizes(utf8_bytes(docs), hashes_a_byte, candidates_a_shard, spare_bits)
 
 
 def rows_of(block: pa.Table) -> tuple[int, list, list[bytes], list[int]]:
@@ -188,42 +207,61 @@ ANSWER_ARROW = pa.schema([("block", pa.int64()), ("step", pa.int32()), ("shard",
 
 
 def answered(rows: DataFrame, shards: int, answer: Callable[[dict[str, list]], list[bytes]]) -> DataFrame:
-    """Bring the rows of each shard together and answer each with bits."""
+    """Bring the rows of each shard together and answer each with bits. Rows
+    come in order of their shard, so one shard is held at a time."""
     names = rows.columns
 
+    def replies(at: tuple, mine: dict[str, list]) -> pa.RecordBatch:
+        bits = answer(mine)
+        n = len(bits)
+        return pa.record_batch([pa.array(mine["block"], pa.int64()), pa.array([at[0]] * n, pa.int32()), pa.array([at[1]] * n, pa.int64()), pa.array(bits, pa.binary())], schema=ANSWER_ARROW)
+
     def run(batches):
-        held: dict[tuple, dict[str, list]] = {}
+        now, held = None, {n: [] for n in names}
         for batch in batches:
             columns = {n: batch.column(k).to_pylist() for k, n in enumerate(names)}
             for k, at in enumerate(zip(columns["step"], columns["shard"], strict=True)):
-                mine = held.setdefault(at, {n: [] for n in names})
+                if at != now:
+                    if now is not None:
+                        yield replies(now, held)
+                    now, held = at, {n: [] for n in names}
                 for n in names:
-                    mine[n].append(columns[n][k])
-        for (step, shard), mine in held.items():
-            bits = answer(mine)
-            n = len(bits)
-            yield pa.record_batch([pa.array(mine["block"], pa.int64()), pa.array([step] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(bits, pa.binary())], schema=ANSWER_ARROW)
+                    held[n].append(columns[n][k])
+        if now is not None:
+            yield replies(now, held)
 
-    return rows.repartition(shards, "step", "shard").mapInArrow(run, ANSWER)
+    return rows.repartition(min(shards, MAX_PARTITIONS), "step", "shard").sortWithinPartitions("step", "shard").mapInArrow(run, ANSWER)
 
 
 def repeated_cells(mine: dict[str, list]) -> list[bytes]:
     """A bit for each cell: it repeats within a block or is in two blocks."""
     cells = [unpacked_deltas(x) for x in mine["cells"]]
-    many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)) for x, c in zip(mine["many"], cells, strict=True)]
-    joined = np.concatenate(cells)
-    order = np.argsort(joined, kind="stable")
-    ordered = joined[order]
-    hot = np.concatenate(many)[order].astype(bool)
-    same = ordered[1:] == ordered[:-1]
-    hot[1:] |= same
-    hot[:-1] |= same
+    distinct, of, blocks = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)) for x, c in zip(mine["many"], cells, strict=True)])
     # What one block has twice is repeated for the others too.
-    start = np.flatnonzero(np.r_[True, ~same])
-    hot = np.repeat(np.logical_or.reduceat(hot, start), np.diff(np.r_[start, len(hot)]))
-    out = np.zeros(len(hot), bool)
-    out[order] = hot
-    return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum([len(c) for c in cells])[:-1])]
+    hot = (blocks + np.bincount(of, many, len(distinct)) > 1)[of]
+    return [np.packbits(x).tobytes() for x in np.split(hot, np.cumsum([len(c) for c in cells])[:-1])]
+
+
+def merged_sketch(sizes: Sizes) -> Callable[[dict[str, list]], list[bytes]]:
+    """Adds the blocks' parts of a count-min sketch cell by cell, over the cells
+    of one shard, and answers which of a block's cells come to two or more.
+    Counts stop at 255; ``cells`` and ``many`` give those of a block, up to two."""
+    width = 1 << sizes.cell_bits - sizes.shard_bits
+
+    def answer(mine: dict[str, list]) -> list[bytes]:
+        start = U64(mine["shard"][0] * width)
+        sketch = np.zeros(width, np.uint8)
+        cells = []
+        for packed, many in zip(mine["cells"], mine["many"], strict=True):
+            at = (unpacked_deltas(packed) - start).astype(np.int64)
+            # A block has each cell once.
+            added = sketch[at].astype(np.uint16) + 1 + np.unpackbits(np.frombuffer(many, np.uint8), count=len(at))
+            sketch[at] = np.minimum(added, 255)
+            cells.append(at)
+        return [np.packbits(sketch[at] > 1).tobytes() for at in cells]
+
+    return answer
 
 
 def answers(flags: pa.Table, step: int) -> dict[int, bytes]:

@@ -4,15 +4,19 @@ A window is 35 consecutive words of one document; a word goes if a window that
 covers it has a word sequence that starts anywhere else, in the same document
 too. Judged on the input.
 
-First pass: each block of documents makes its part of a count-min sketch of two
-rows, over the minimizers of its windows (:mod:`heronflow.llm.blocks`), which
-occur at least as often as any window they stand for. The parts are merged cell
-by cell, and a window whose cells all come to two or more may be repeated: the
-estimate is never too low, so none is lost. Second pass: only these windows are
-grouped, by a hash of 128 bits of their words, and those in groups of two or
-more are repeated. Cells and hashes are spread over shards whose number grows
-with the corpus; of a window that many documents share a shard gets 16 bytes an
-occurrence, less what a block has seen before.
+First pass: each block of documents makes its part of a count-min sketch of
+:data:`ROWS` rows, over the minimizers of its windows
+(:mod:`heronflow.llm.blocks`), which occur at least as often as any window they
+stand for. The sketch's width is fixed before by the size of the corpus, some
+four cells a minimizer and row. The parts, of which only the cells that are not
+zero travel, are added cell by cell, and a window whose cells all come to two or
+more may be repeated: the estimate is never too low, so none is lost. Second
+pass: only these windows are grouped, by 128 bits, and those in groups of two or
+more are repeated. Each word has two independent 64-bit hashes (the halves of
+XXH3-128), and each half of a window's 128 bits is a polynomial over one of
+them, so words that collide in one half do not in the other. Cells and hashes
+are spread over shards whose number grows with the corpus; of a window that many
+documents share a shard gets 16 bytes a block that has it.
 
 Cases: null or empty texts, and those of under 35 words, lose nothing; repeated
 rows repeat each other's windows; rows without an id take part like others; an
@@ -30,6 +34,8 @@ from heronflow.llm import blocks as B
 from heronflow.llm.common import table
 
 WINDOW, GRAM, ROWS = 35, 18, 2
+#: Bits of a cell beyond those that number the minimizers.
+SPARE_BITS = 2
 #: Multipliers of the two halves of a window's hash (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 EXACT = "block bigint, step int, shard bigint, low binary, high binary"
@@ -40,12 +46,13 @@ class Block:
     """The words of a block's documents and the runs of windows among them."""
 
     def __init__(self, rows: pa.Table):
-        from xxhash import xxh3_64_digest
+        from xxhash import xxh3_128_digest
 
         self.number, self.ids, found, _ = B.rows_of(rows)
         self.words = [t.split() for t in found]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
-        self.hashes = np.frombuffer(b"".join([xxh3_64_digest(w) for ws in self.words for w in ws]), ">u8").astype(np.uint64)
+        halves = np.frombuffer(b"".join([xxh3_128_digest(w) for ws in self.words for w in ws]), ">u8").reshape(-1, 2)
+        self.hashes, self.others = halves[:, 0].astype(np.uint64), halves[:, 1].astype(np.uint64)
         self.first, self.count, self.place, self.key = B.minimizers(self.hashes, GRAM, WINDOW, B.window_starts(self.lengths, WINDOW))
 
     def cells(self, sizes: B.Sizes, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +74,7 @@ class Block:
     def exact(self, starts: np.ndarray, sizes: B.Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct 128-bit hashes, in order of shards; shard and number of
         windows of each; and which each window has."""
-        low, high = (B.gram_hashes(self.hashes, WINDOW, base)[starts] if len(starts) else np.zeros(0, np.uint64) for base in BASES)
+        low, high = (B.gram_hashes(h, WINDOW, base)[starts] if len(starts) else np.zeros(0, np.uint64) for h, base in zip((self.hashes, self.others), BASES, strict=True))
         shard = low % np.uint64(sizes.exact_shards)
         order = np.lexsort((high, low, shard))
         pairs = np.stack([low, high, shard])[:, order]
@@ -94,7 +101,7 @@ def repeated_windows(mine: dict[str, list]) -> list[bytes]:
 def drop_repeated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one
     blank) of every row of ``docs``."""
-    sizes = B.sized(docs, 0.02, 4 << 20)
+    sizes = B.sized(docs, 0.02, 4 << 20, SPARE_BITS)
     dealt = B.in_blocks(docs, sizes)
 
     def sketch(rows: pa.Table) -> pa.Table:
@@ -131,7 +138,7 @@ def drop_repeated(docs: DataFrame) -> DataFrame:
             kept.append(b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x] if n_removed[-1] else words).decode("utf-8", "replace"))
         return pa.table([pa.array(block.ids, pa.int64()), pa.array(block.lengths), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    estimated = B.answered(dealt.groupBy("block").applyInArrow(sketch, B.CELLS), sizes.shards * ROWS, B.repeated_cells)
+    estimated = B.answered(dealt.groupBy("block").applyInArrow(sketch, B.CELLS), sizes.shards * ROWS, B.merged_sketch(sizes))
     sent = dealt.groupBy("block").cogroup(estimated.groupBy("block")).applyInArrow(candidates, EXACT)
     grouped = B.answered(sent, sizes.exact_shards, repeated_windows)
     return dealt.groupBy("block").cogroup(estimated.union(grouped).groupBy("block")).applyInArrow(result, "doc_id bigint, n_words bigint, n_removed bigint, kept string")

@@ -20,7 +20,10 @@ cross documents and are judged on the input.
 3. A bit for each window goes back to the block, which cuts the bytes out.
 
 A run that thousands of documents share arrives once a block, and shards see
-distinct runs only, so groups of copies do not grow the sort.
+distinct runs only, so groups of copies do not grow the sort. A gram that more
+than :data:`HOT_BLOCKS` blocks have is hot: it may stand in as many different
+surroundings, too many for one shard. Its windows are sent one by one, to the
+shard of their whole string; equal ones still meet, and only they.
 
 Cases: null and empty texts and those of under 50 bytes lose nothing; rows of
 one doc_id never take bytes from each other; rows without an id are left as
@@ -30,6 +33,8 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from heronflow.llm import blocks as B
-from heronflow.llm.common import table
+from heronflow.llm.common import fresh, table
 from heronflow.llm.substring_dedup import covered
 
 WINDOW, GRAM = 50, 24
+#: One gram in 4096 meets another by chance.
+SPARE_BITS = 12
+HOT_BLOCKS = 1_000
 RUNS = "block bigint, step int, shard bigint, docs binary, anchors binary, lengths binary, data binary"
 RUNS_ARROW = pa.schema([("block", pa.int64()), ("step", pa.int32()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("docs", "anchors", "lengths", "data"))])
 #: A random number for each byte, so that texts of few letters hash well.
@@ -205,6 +213,19 @@ def taken_windows(mine: dict[str, list]) -> list[bytes]:
     return out
 
 
+def repeated_and_hot(most: int) -> Callable[[dict[str, list]], list[bytes]]:
+    """The bits of :func:`B.repeated_cells`, and behind them a bit for each
+    cell that more than ``most`` blocks have."""
+
+    def answer(mine: dict[str, list]) -> list[bytes]:
+        sizes = [(len(x) - 1) // x[0] for x in mine["cells"]]
+        _, of, blocks = np.unique(np.concatenate([B.unpacked_deltas(x) for x in mine["cells"]]), return_inverse=True, return_counts=True)
+        hot = np.split((blocks > most)[of], np.cumsum(sizes)[:-1])
+        return [bits + np.packbits(h).tobytes() for bits, h in zip(B.repeated_cells(mine), hot, strict=True)]
+
+    return answer
+
+
 class Block:
     """The bytes of a block's documents and the runs of windows among them."""
 
@@ -230,22 +251,43 @@ class Block:
     def candidates(self, sizes: B.Sizes, flags: pa.Table) -> None:
         """Runs whose anchor is in two documents; equal ones are one, with the
         least doc_id, which comes first: documents are in order."""
+        from xxhash import xxh3_64_intdigest
+
         distinct, _, of = self.cells(sizes)
-        self.hot = np.flatnonzero(B.cell_bits(sizes, distinct, B.answers(flags, 0))[of])
+        found = B.answers(flags, 0)
+        half = {s: len(bits) // 2 for s, bits in found.items()}
+        kept = B.cell_bits(sizes, distinct, {s: bits[: half[s]] for s, bits in found.items()})[of]
+        hot = B.cell_bits(sizes, distinct, {s: bits[half[s] :] for s, bits in found.items()})[of]
+        # The windows of a hot gram are runs of their own.
+        alone = np.flatnonzero(kept & hot)
+        self._split(np.flatnonzero(kept & ~hot), alone)
+        first, size = self.run_first, self.run_count + WINDOW - 1
         raw = self.data.tobytes()
-        first, size = self.first[self.hot], self.count[self.hot] + WINDOW - 1
-        anchor = self.place[self.hot] - first
+        anchor = self.run_place - first
         number: dict[tuple, int] = {}
         self.of = np.array([number.setdefault((raw[s : s + n], a), len(number)) for s, n, a in zip(first.tolist(), size.tolist(), anchor.tolist(), strict=True)], np.int64)
         self.runs = list(number)
         # Where each distinct run occurs first.
         seen = np.unique(self.of, return_index=True)[1] if len(self.of) else self.of
-        self.least = self.doc[self.hot][seen]
-        shard = (B.mixed(self.key[self.hot][seen]) % np.uint64(sizes.exact_shards)).astype(np.int64)
+        self.least = self.run_doc[seen]
+        spread = B.mixed(self.run_key[seen])
+        for k in np.flatnonzero(self.run_alone[seen]).tolist():
+            spread[k] = xxh3_64_intdigest(self.runs[k][0])
+        shard = (spread % np.uint64(sizes.exact_shards)).astype(np.int64)
         self.order = np.argsort(shard, kind="stable")
         self.shards, self.at = np.unique(shard[self.order], return_index=True)
         self.ends = np.r_[self.at[1:], len(self.order)]
 
+    def _split(self, whole: np.ndarray, alone: np.ndarray) -> None:
+        """Runs as they are, and each window of others, in order of place."""
+        n = self.count[alone]
+        first = np.r_[self.first[whole], B.ranges(self.first[alone], n)]
+        order = np.argsort(first, kind="stable")
+        join = lambda x: np.r_[x[whole], np.repeat(x[alone], n)][order]
+        self.run_first, self.run_place, self.run_key, self.run_doc = first[order], join(self.place), join(self.key), join(self.doc)
+        self.run_count = np.r_[self.count[whole], np.ones(int(n.sum()), np.int64)][order]
+        self.run_alone = np.r_[np.zeros(len(whole), bool), np.ones(int(n.sum()), bool)][order]
+
     def run_rows(self) -> list[tuple]:
         out = []
         for s, a, b in zip(self.shards.tolist(), self.at.tolist(), self.ends.tolist(), strict=False):
@@ -266,9 +308,9 @@ class Block:
             taken[B.ranges(begin[mine], windows[mine])] = np.unpackbits(np.frombuffer(found[s], np.uint8), count=int(windows[mine].sum()))
         if not len(self.of):
             return np.zeros(len(self.data), bool)
-        count = self.count[self.hot]
-        gone = taken[B.ranges(begin[self.of], count)] | np.repeat(self.least[self.of] < self.doc[self.hot], count)
-        return covered(B.ranges(self.first[self.hot], count)[gone], WINDOW, len(self.data))
+        count = self.run_count
+        gone = taken[B.ranges(begin[self.of], count)] | np.repeat(self.least[self.of] < self.run_doc, count)
+        return covered(B.ranges(self.run_first, count)[gone], WINDOW, len(self.data))
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -279,7 +321,7 @@ def drop_repeated(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     bytes that stay) of every row of ``docs``. With the columns ``carry`` instead
     of kept: rest, a struct of these, and kept_text, in which a character that
     loses some of its bytes stays whole."""
-    sizes = B.sized(docs, 0.08, 4 << 20)
+    sizes = B.sized(docs, 0.08, 4 << 20, SPARE_BITS)
     dealt = B.in_blocks(docs, sizes, carry)
     schema = StructType.fromDDL(RESULT)
     if carry is not None:
@@ -314,7 +356,7 @@ def drop_repeated(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
             found.append(rows.column("rest").take(pa.array(block.rows, pa.int64())))
         return pa.table([*found, pa.array(kept, pa.binary() if carry is None else pa.string())], names=schema.names)
 
-    repeated = B.answered(dealt.groupBy("block").applyInArrow(send_cells, B.CELLS), sizes.shards, B.repeated_cells)
+    repeated = B.answered(dealt.groupBy("block").applyInArrow(send_cells, B.CELLS), sizes.shards, repeated_and_hot(HOT_BLOCKS))
     runs = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(send_runs, RUNS)
     taken = B.answered(runs, sizes.exact_shards, taken_windows)
     return dealt.groupBy("block").cogroup(repeated.union(taken).groupBy("block")).applyInArrow(result, schema)
@@ -334,8 +376,9 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     n_chars to match. Documents that lose all their text are left out; rows
     without an id, and those that lose nothing, stay as they are."""
     others = [c for c in docs.columns if c.lower() != "text"]
-    cut = drop_repeated(docs.withColumn("_null", F.col("text").isNull()), [*others, "_null"]).where("n_removed = 0 or trim(kept_text) <> ''")
-    columns = {c: F.col(f"rest.`{c}`") for c in others} | {"text": F.when(~F.col("rest._null"), F.col("kept_text"))}
+    null = fresh(docs, "_null")
+    cut = drop_repeated(docs.withColumn(null, F.col("text").isNull()), [*others, null]).where("n_removed = 0 or trim(kept_text) <> ''")
+    columns = {c: F.col(f"rest.`{c}`") for c in others} | {"text": F.when(~F.col(f"rest.`{null}`"), F.col("kept_text"))}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("bigint")).otherwise(columns["n_chars"])
     return cut.select(*(columns.get(c, columns["text"]).alias(c) for c in docs.columns))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from heronflow.llm import blocks as B
 from heronflow.llm import suffix_dedup as dedup
@@ -25,7 +26,9 @@ def brute(rows):
     return out
 
 
-def test_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_against_brute_force(spark, monkeypatch, tmp_path, hot):
+    monkeypatch.setattr(dedup, "HOT_BLOCKS", hot)
     monkeypatch.setattr(B, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(B, "CHUNK", 128)
     rng = random.Random(7)
@@ -39,6 +42,9 @@ def test_against_brute_force(spark, monkeypatch):
     rows += [(k + 1000, t) for k, t in rows[30:50] if k] + [(40, rows[41][1]), (40, rows[40][1])]
     rng.shuffle(rows)
     docs = spark.createDataFrame([(k, t, "clash") for k, t in rows], "doc_id long, text string, kept string")
+    if hot == 1:  # by the place in files
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup.drop_repeated(docs).collect()]
     want = brute([(k, (t or "").encode()) for k, t in rows])
     assert sorted(got, key=repr) == sorted(want, key=repr)
@@ -73,5 +79,22 @@ def test_cut_documents_keeps_characters_and_columns(spark):
     assert got == {1: (shared, 65), 2: ("start  ü end", 12), None: (shared, 65)}
 
 
+def test_equal_rows_are_dealt_to_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_BYTES", 4000)
+    spark.createDataFrame([(None, "")] * 300 + [(7, "same text " * 20)] * 300, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    sizes = B.sized(docs, 0.08, 4 << 20, 12)
+    counts = [r["count"] for r in B.in_blocks(docs, sizes).groupBy("block").count().collect()]
+    assert sizes.blocks > 10 and max(counts) < 4 * 600 / sizes.blocks
+    assert {(r.doc_id, r.n_bytes, r.n_removed) for r in dedup.drop_repeated(docs).collect()} == {(None, 0, 0), (7, 200, 0)}
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    long = "".join(random.Random(1).choices("abcdefgh \n", k=3_000_000))
+    docs = spark.createDataFrame([(1, long, 5, "x"), (2, "tail " + long, 6, "y")], "doc_id long, text string, _null int, kept string")
+    got = {r.doc_id: (r.text, r._null, r.kept) for r in dedup.cut_documents(docs).collect()}
+    assert got == {1: (long, 5, "x"), 2: ("tail ", 6, "y")}
+
+
 def test_empty(spark):
     assert dedup.drop_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
