@@ -5,7 +5,8 @@ with A-Z lower-cased. Two things are looked for in every whole text:
 
 * places where the words of a fixed phrase stand consecutively;
 * text blocks that hold at least :data:`CONTAINMENT` of the distinct words of a
-  template, whatever their order.
+  template, whatever their order; all of one of up to :data:`SHORT` words, of
+  which each counts (``by`` and ``by-nc`` differ in one).
 
 A block is a run of words of the whole text, line breaks or not. A template of
 up to L words, L a power of two from :data:`LEAST_BLOCK` on, is looked for in
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from heronflow.llm.common import table, texts
 
 CONTAINMENT = 0.8
-LEAST_BLOCK = 8
+LEAST_BLOCK = SHORT = 8
 #: Phrases and their labels.
 PHRASES = {
     "cc by": "cc-by",
@@ -79,7 +80,6 @@ TEMPLATES = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     (
         "cc0-1.0",
         """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.""",
@@ -165,6 +165,11 @@ def block_size(template: str) -> int:
     return max(LEAST_BLOCK, 1 << (len(words_of(template)) - 1).bit_length())
 
 
+def least_words(n: int, containment: float) -> int:
+    """How many of a template's n distinct words a block must hold."""
+    return n if n <= SHORT else ceil(containment * n - 1e-9)
+
+
 class Templates:
     """Templates as sets in the global order, with an index of their prefixes
     for each size of blocks."""
@@ -175,7 +180,7 @@ class Templates:
         self.rank = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
         self.words = [sorted(self.rank[w] for w in set(words_of(t))) for _, t in templates]
         self.sets = [frozenset(w) for w in self.words]
-        self.least = [max(1, ceil(containment * len(w) - 1e-9)) for w in self.words]
+        self.least = [least_words(len(w), containment) for w in self.words]
         self.index: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, (words, least, (_, t)) in enumerate(zip(self.words, self.least, templates, strict=True)):
             mine = self.index.setdefault(block_size(t), {})
@@ -306,7 +311,7 @@ WITH d AS (
   SELECT row, size, list_distinct(list_slice(ws, k * size + 1, (k + 2) * size)) AS bs
   FROM (SELECT row, ws, size, unnest(range(0, (len(ws) + size - 1) // size)) AS k FROM w, (SELECT DISTINCT size FROM templates))
 ), held AS (
-  SELECT row, label, len(list_intersect(bs, p)) / len(p) AS share FROM blocks JOIN templates USING (size) WHERE len(list_intersect(bs, p)) >= {CONTAINMENT} * len(p)
+  SELECT row, label, len(list_intersect(bs, p)) / len(p) AS share FROM blocks JOIN templates USING (size) WHERE len(list_intersect(bs, p)) >= CASE WHEN len(p) <= {SHORT} THEN len(p) ELSE {CONTAINMENT} * len(p) END
 ), found AS (
   SELECT row, max(share) AS share, list(DISTINCT label) AS labels FROM held GROUP BY row
 )
