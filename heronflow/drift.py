@@ -1,4 +1,4 @@
-"""Distribution drift (OP-160 to OP-170, OP-234). Samples are DataFrames with
+"""Distribution drift (OP-147, OP-160 to OP-164, OP-168, OP-170, OP-234). Samples are DataFrames with
 one column ``v``; sums and counts do the work, so each fits any size."""
 
 from __future__ import annotations

@@ -83,6 +83,17 @@ def processed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return enriched(events.where(is_valid())), events.where(~is_valid()).withColumn("errors", errors())
 
 
+def entered(events: DataFrame, as_of: Column, pipeline: str) -> DataFrame:
+    """OP-244: events with the time and the name of their pipeline. Flows get
+    totals and service, detections a priority; columns of the other kind are
+    null."""
+    stamped = events.withColumns({"processed_at": as_of, "pipeline_name": F.lit(pipeline)})
+    flows = enriched(stamped.where("event_type = 'network_flow'"))
+    found = stamped.where("event_type = 'threat_detection'").withColumn("alert_priority", F.coalesce(_map(PRIORITIES)[F.lower("severity")], F.lit(4)))
+    rest = stamped.where("event_type is null or event_type not in ('network_flow', 'threat_detection')")
+    return flows.unionByName(found, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
+
+
 def write_routed(events: DataFrame, folder: str, time: str = "ts") -> None:
     """OP-33, OP-34: by type and day; critical and high ones also to alerts."""
     dated = events.withColumn("event_date", F.to_date(time))

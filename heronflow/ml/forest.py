@@ -1,4 +1,4 @@
-"""Isolation forest (OP-140, OP-222; Liu, Ting and Zhou 2008).
+"""Isolation forest (OP-140; Liu, Ting and Zhou 2008).
 
 Each tree is grown from a bounded sample of its own, in a group of one
 ``applyInPandas``; a forest is a small table of nodes, broadcast for scoring by
@@ -91,13 +91,17 @@ class Forest:
         return dict(zip(columns, (counts / max(1, counts.sum())).tolist(), strict=True))
 
 
-def score(df: DataFrame, columns: list[str], nodes: DataFrame, name: str = "anomaly_score") -> DataFrame:
-    """``df`` with each row's score. The forest is bounded by its parameters."""
+def score(df: DataFrame, columns: list[str], nodes: DataFrame, name: str = "anomaly_score", offset: float = 0.5) -> DataFrame:
+    """``df`` with each row's score: the logistic function of by how much its
+    raw score, see :meth:`Forest.scores`, exceeds ``offset`` (a half, or the raw
+    score that the contamination's share of rows exceeds). The forest is bounded
+    by its parameters."""
     held = df.sparkSession.sparkContext.broadcast(Forest(nodes.toPandas()))
 
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series(held.value.scores(np.column_stack([p.to_numpy(float) for p in part])))
+            raw = held.value.scores(np.column_stack([p.to_numpy(float) for p in part]))
+            yield pd.Series(1 / (1 + np.exp(offset - raw)))
 
     return df.withColumn(name, run(*(F.col(c).cast("double") for c in columns)))

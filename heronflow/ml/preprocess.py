@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heronflow.operators.quantiles import exact_quantiles, joined_literals
+
 
 def _per_column(df: DataFrame, columns: list[str], measures: dict) -> DataFrame:
     """feature and one column for each measure, from a single aggregate."""
@@ -17,7 +19,10 @@ def _per_column(df: DataFrame, columns: list[str], measures: dict) -> DataFrame:
 def feature_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """OP-72."""
     d = lambda f: lambda c: f(c).cast("double")
-    return _per_column(df, columns, {"mean": F.avg, "std": F.stddev_samp, "min": d(F.min), "max": d(F.max), "median": lambda c: F.percentile(c, 0.5), "missing_count": lambda c: F.count_if(c.isNull())})
+    out = _per_column(df, columns, {"mean": F.avg, "std": F.stddev_samp, "min": d(F.min), "max": d(F.max), "missing_count": lambda c: F.count_if(c.isNull())})
+    middle = {c: q[0.5] for c, q in exact_quantiles(df, columns, [0.5]).items()}
+    medians = df.sparkSession.createDataFrame(list(middle.items()), "feature string, median double")
+    return out.join(F.broadcast(medians), "feature").select("feature", "mean", "std", "min", "max", "median", "missing_count")
 
 
 def variances(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,12 +46,14 @@ def _joined(df: DataFrame, columns: list[str], measures: dict) -> DataFrame:
     return df.crossJoin(F.broadcast(stats))
 
 
-_QUARTILES = {"q1": lambda c: F.percentile(c, 0.25), "q2": lambda c: F.percentile(c, 0.5), "q3": lambda c: F.percentile(c, 0.75)}
+def _quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    found = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    return joined_literals(df, {f"_q{k}_{c}": found[c][k / 4] for c in columns for k in (1, 2, 3)})
 
 
 def iqr_capped(df: DataFrame, columns: list[str], times: float = 1.5) -> DataFrame:
     """Values beyond ``times`` interquartile ranges are pulled to the border."""
-    rows = _joined(df, columns, _QUARTILES)
+    rows = _quartiles(df, columns)
 
     def capped(c: str) -> Column:
         q1, q3 = F.col(f"_q1_{c}"), F.col(f"_q3_{c}")
@@ -58,15 +65,19 @@ def iqr_capped(df: DataFrame, columns: list[str], times: float = 1.5) -> DataFra
 def scaled(df: DataFrame, columns: list[str], kind: str = "robust") -> DataFrame:
     """standard (population deviation), minmax or robust (median and
     interquartile range); a range of zero leaves the shifted value."""
-    measures = {"standard": {"a": F.avg, "b": F.stddev_pop}, "minmax": {"a": F.min, "b": lambda c: F.max(c) - F.min(c)}, "robust": {"a": _QUARTILES["q2"], "b": lambda c: F.percentile(c, 0.75) - F.percentile(c, 0.25)}}[kind]
-    rows = _joined(df, columns, measures)
+    if kind == "robust":
+        rows = _quartiles(df, columns).withColumns({f"_a_{c}": F.col(f"_q2_{c}") for c in columns} | {f"_b_{c}": F.col(f"_q3_{c}") - F.col(f"_q1_{c}") for c in columns})
+    else:
+        rows = _joined(df, columns, {"standard": {"a": F.avg, "b": F.stddev_pop}, "minmax": {"a": F.min, "b": lambda c: F.max(c) - F.min(c)}}[kind])
     by = lambda c: F.when(F.col(f"_b_{c}") == 0, 1.0).otherwise(F.col(f"_b_{c}"))
     return rows.withColumns({c: (F.col(c) - F.col(f"_a_{c}")) / by(c) for c in columns}).select(df.columns)
 
 
 def imputed(df: DataFrame, columns: list[str], kind: str = "median") -> DataFrame:
-    measure = {"mean": F.avg, "median": _QUARTILES["q2"], "most_frequent": F.mode}[kind]
-    rows = _joined(df, columns, {"m": measure})
+    if kind == "median":
+        rows = joined_literals(df, {f"_m_{c}": q[0.5] for c, q in exact_quantiles(df, columns, [0.5]).items()})
+    else:
+        rows = _joined(df, columns, {"m": {"mean": F.avg, "most_frequent": F.mode}[kind]})
     return rows.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns}).select(df.columns)
 
 

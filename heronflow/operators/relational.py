@@ -23,3 +23,14 @@ def ip_range_join(df: DataFrame, column: str, ranges: DataFrame) -> DataFrame:
     asked = df.withColumn("_ip", ip_number(F.col(column)))
     joined = asked.join(cut, (F.floor(asked["_ip"] / 65536) == cut["_net"]) & asked["_ip"].between(cut["_low"], cut["_high"]), "left")
     return joined.drop("_ip", "_low", "_high", "_net")
+
+
+def overlap_join(spans: DataFrame, key: str, bucket_s: int) -> DataFrame:
+    """OP-43: all pairs (a, b, a2, b2) of intervals of one key that overlap
+    (strictly), each with itself too. Intervals are joined by equal key and time
+    bucket, and a pair counts in the first bucket that both have."""
+    first, last = (F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (bucket_s * 1_000_000)) for c in ("a", "b"))
+    cut = spans.select(key, "a", "b", first.alias("_first"), F.explode(F.sequence(first, last)).alias("_bucket"))
+    other = cut.select(key, F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("_first").alias("_first2"), "_bucket")
+    met = cut.join(other, [key, "_bucket"]).where((F.col("a") < F.col("b2")) & (F.col("a2") < F.col("b")))
+    return met.where(F.col("_bucket") == F.greatest("_first", "_first2")).select(key, "a", "b", "a2", "b2")

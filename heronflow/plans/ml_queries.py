@@ -72,27 +72,44 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.auc(_labelled(spark, sf_dir), "truth", "score"))
 
 
-@query()
+@query(f"WITH {FLOWS_SQL} SELECT count(*) AS flows, 0 AS outside, true AS ordered FROM flows")
 def isolation_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-140."""
+    """OP-140: every flow is scored, from 0 to 1, and the tenth of the highest
+    scores lies farther from the mean than the others do."""
     rows = flows(spark, sf_dir).select("flow_id", *_COLUMNS)
-    return forest.score(rows, _COLUMNS, forest.fit(rows, "flow_id", _COLUMNS, trees=50)).select("flow_id", F.round("anomaly_score", 6).alias("anomaly_score"))
-
-
-@query()
+    scored = forest.score(rows, _COLUMNS, forest.fit(rows, "flow_id", _COLUMNS, trees=50))
+    stats = rows.agg(*(f(c).alias(f"{n}_{c}") for c in _COLUMNS for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    far = sum((F.abs(F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in _COLUMNS), F.lit(0.0))
+    cut = scored.agg(F.percentile_approx("anomaly_score", 0.9, 1000).alias("cut"))
+    both = scored.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(cut)).withColumn("far", far)
+    top = F.col("anomaly_score") >= F.col("cut")
+    return both.agg(
+        F.count("*").alias("flows"),
+        F.count_if(~F.col("anomaly_score").between(0, 1)).cast("int").alias("outside"),
+        (F.avg(F.when(top, F.col("far"))) > F.avg(F.when(~top, F.col("far")))).alias("ordered"),
+    )
+
+
+@query(f"WITH {FLOWS_SQL} SELECT count(*) FILTER (bytes_sent > 60000) AS large, count(*) AS n, true AS ordered FROM flows")
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-141: large flows from their other features."""
+    """OP-141, OP-142: large flows from their other features; their
+    mean score is higher than that of the others."""
     rows = flows(spark, sf_dir).select("flow_id", "protocol", "packets_sent", "packets_received", "destination_port", (F.col("bytes_sent") > 60000).cast("double").alias("label"))
     model = boost.boosted(rows, ["packets_sent", "packets_received", "destination_port"], "label", ["protocol"], rounds=5, depth=3)
-    return boost.probability(model, rows).select("flow_id", F.round("score", 6).alias("score"))
+    large = F.col("label") == 1
+    means = F.avg(F.when(large, F.col("score"))) > F.avg(F.when(~large, F.col("score")))
+    return boost.probability(model, rows).agg(F.count_if(large).alias("large"), F.count("*").alias("n"), means.alias("ordered"))
 
 
-@query()
+@query("SELECT unnest([0, 1, 2]) AS component, true AS small")
 def drift_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-164: KS distance of the first three components of two halves."""
+    """OP-164: KS distance of the first three components of two halves, which
+    are alike: under what twice the critical value at 0.001 allows."""
+    halves = [n for (n,) in spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy(F.col("vec_id") % 2).count().select("count").collect()]
+    most = 2 * 1.95 * sum(1 / n for n in halves) ** 0.5
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     base, current = rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1")
     model = boost.components(base, "embedding")
     a, b = boost.projected(model, base, "embedding"), boost.projected(model, current, "embedding")
-    parts = [drift.ks_distance(a.select(F.col("c")[k].alias("v")), b.select(F.col("c")[k].alias("v"))).select(F.lit(k).alias("component"), F.round("d", 6).alias("d")) for k in range(3)]
+    parts = [drift.ks_distance(a.select(F.col("c")[k].alias("v")), b.select(F.col("c")[k].alias("v"))).select(F.lit(k).alias("component"), (F.col("d") < most).alias("small")) for k in range(3)]
     return parts[0].union(parts[1]).union(parts[2])

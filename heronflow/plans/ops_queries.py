@@ -409,20 +409,27 @@ def count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PACKETS_SQL}, bits AS (SELECT DISTINCT ('0x' || substr(md5(k || '#' || device_id), 1, 8))::BIGINT % 400 AS bit FROM packets, (SELECT unnest(range(3)) AS k) WHERE large AND packet_id < 60),
-    asked AS (SELECT DISTINCT device_id, ('0x' || substr(md5(k || '#' || device_id), 1, 8))::BIGINT % 400 AS bit FROM packets, (SELECT unnest(range(3)) AS k))
+    f"""WITH {PACKETS_SQL}, n AS (SELECT count(DISTINCT device_id) AS n FROM packets WHERE large), size AS (SELECT greatest(1, CAST(ceil(-n * ln(0.2) / (ln(2) * ln(2))) AS BIGINT)) AS m, n FROM n), k AS (SELECT m, greatest(1, CAST(round(m / n * ln(2)) AS BIGINT)) AS k FROM size),
+    bits AS (SELECT DISTINCT ('0x' || substr(md5(i || '#' || device_id), 1, 8))::BIGINT % m AS bit FROM (SELECT device_id, m, unnest(range(k)) AS i FROM packets, k WHERE large)),
+    asked AS (SELECT DISTINCT device_id, ('0x' || substr(md5(i || '#' || device_id), 1, 8))::BIGINT % m AS bit FROM (SELECT device_id, m, unnest(range(k)) AS i FROM packets, k))
     SELECT device_id FROM asked LEFT JOIN bits USING (bit) GROUP BY device_id HAVING count(bits.bit) = count(*)"""
 )
 def bloom_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-189."""
+    """OP-189: devices that may have a large packet; bits and hashes by their
+    number and an error of a fifth."""
     rows = packets(spark, sf_dir)
-    return sketches.maybe_in(rows, "device_id", sketches.bloom(rows.where("large and packet_id < 60"), "device_id", 400, 3), 400, 3)
+    large = rows.where("large")
+    bits, hashes = sketches.bloom_size(max(1, large.agg(F.count_distinct("device_id").alias("n")).first()["n"]), 0.2)
+    return sketches.maybe_in(rows, "device_id", sketches.bloom(large, "device_id", bits, hashes), bits, hashes)
 
 
-@query()
+@query(f"WITH {FLOWS_SQL} SELECT protocol, count(DISTINCT flow_id) AS exact, true AS within FROM flows GROUP BY protocol")
 def hll_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-187: an estimate, so there is no SQL to compare; its error is tested."""
-    return sketches.distinct_estimate(flows(spark, sf_dir), "flow_id")
+    """OP-187: if the estimate is within three times its standard error."""
+    rows = flows(spark, sf_dir)
+    estimate = rows.groupBy("protocol").agg(F.approx_count_distinct("flow_id", 0.02).alias("estimate"))
+    exact = rows.groupBy("protocol").agg(F.count_distinct("flow_id").alias("exact"))
+    return exact.join(estimate, "protocol").select("protocol", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.06 * F.col("exact")).alias("within"))
 
 
 __all__ = ["NUDGE"]

@@ -10,7 +10,7 @@ from heronflow.plans.catalog import query
 from heronflow.plans.feature_queries import _r, rounded
 from heronflow.sources.fixtures import FLOWS_SQL, PACKETS_SQL, flows, packets
 
-_OUI_ROWS = [line.split(" ", 1) for line in profiles.OUI.strip().split("\n")]
+_OUI_ROWS = list(profiles.OUI.items())
 _OUI_SQL = "oui(oui, vendor) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _OUI_ROWS) + ")"
 _MACS_SQL = f"""macs AS (SELECT c_custkey AS device_id, CASE c_custkey % 3 WHEN 0 THEN upper(replace(p, ':', '-')) || '-00-11-22' WHEN 1 THEN replace(p, ':', '') || 'aabbcc' ELSE p || ':01:02:zz' END AS mac
   FROM (SELECT c_custkey, list_extract({[a for a, _ in _OUI_ROWS]}, CAST(c_custkey % {len(_OUI_ROWS)} AS INT) + 1) AS p FROM customer))"""

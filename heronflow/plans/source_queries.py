@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronflow.plans.catalog import query
 from heronflow.sources import logs, transport
+from heronflow.sources.checkpoints import new_folder
 from heronflow.sources.fixtures import FLOWS_SQL, PACKETS_SQL, flows, packets, packets_of
 from heronflow.streaming import flows as streams
 
@@ -56,9 +55,7 @@ def _streamed(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
 
     A last row far in the future moves the watermark past all windows.
     """
-    from heronflow.sources.checkpoints import shared_folder
-
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     end = events.limit(1).withColumns({"ts": F.lit("2100-01-01").cast("timestamp_ntz"), "user_id": F.lit(-1).cast("bigint")})
     events.repartition(4, "event_id").write.parquet(f"{folder}/in")
@@ -89,9 +86,23 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("protocol", F.col("window.start").cast("timestamp_ntz").alias("day"), "n").where("day < timestamp_ntz'2099-01-01'")
 
 
-@query(f"WITH {PACKETS_SQL} SELECT protocol, count(*) AS n, round(avg(level), 6) AS avg_level FROM (SELECT protocol, (packet_id % 100) / 100.0 AS level FROM packets) WHERE level < 0.8 GROUP BY protocol")
-def queue_below_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-198: below the high watermark a queue takes everything."""
-    rows = packets(spark, sf_dir).withColumn("level", (F.col("packet_id") % 100) / 100.0)
-    kept = rows.where("level < 0.8").where(streams.keep_under_load(F.col("level"), F.lit(0), F.col("packet_id")))
-    return kept.groupBy("protocol").agg(F.count("*").alias("n"), F.round(F.avg("level"), 6).alias("avg_level"))
+@query(f"""WITH {PACKETS_SQL}, l AS (SELECT *, (packet_id % 100) / 100.0 AS level, payload_size % 5 AS priority FROM packets)
+  SELECT protocol, priority, count(*) AS n FROM l WHERE level < 0.8 OR (level < 0.95 AND priority >= 2) OR priority >= 3 GROUP BY ALL""")
+def queue_under_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-198: what a queue takes, empty to full; between the marks nothing of
+    low priority."""
+    rows = packets(spark, sf_dir).withColumns({"level": (F.col("packet_id") % 100) / 100.0, "priority": F.col("payload_size") % 5})
+    kept = rows.where(streams.keep_under_load(F.col("level"), F.col("priority"), F.col("packet_id"), rate=0.0))
+    return kept.groupBy("protocol", "priority").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE {PACKETS_SQL}, a AS (SELECT DISTINCT CAST(device_id AS VARCHAR) AS device, ts FROM packets WHERE large),
+    admitted AS (SELECT device, min(ts) AS ts FROM a GROUP BY device UNION ALL SELECT device, t FROM (SELECT p.device, min(a.ts) AS t FROM admitted p JOIN a ON a.device = p.device AND a.ts >= p.ts + INTERVAL 3 DAYS GROUP BY p.device, p.ts))
+    SELECT device, ts FROM admitted"""
+)
+def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-112 as a stream, to be equal to the batch: three days of quiet."""
+    build = lambda p: streams.cooled_down(p.where("large or device_id < 0").withColumn("device", F.col("device_id").cast("string")), "device", 3 * 24 * 60, "40 days")
+    out = _streamed(spark, sf_dir, build, "append").where("device <> '-1'")
+    return out.select("device", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"))

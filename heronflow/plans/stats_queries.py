@@ -111,18 +111,17 @@ def component_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("event_type").alias("component")).agg((F.count_if(F.col("value") > 100) / F.count("*") >= 0.8).alias("healthy"))
 
 
-@query("WITH c AS (SELECT event_type AS component, count(*) FILTER (value > 100) / count(*) >= 0.7995 AS healthy FROM events GROUP BY event_type) SELECT count(*) FILTER (healthy) / count(*) AS health, CASE WHEN count(*) FILTER (healthy) / count(*) >= 0.8 THEN 'healthy' WHEN count(*) FILTER (healthy) / count(*) >= 0.5 THEN 'degraded' ELSE 'unhealthy' END AS status, coalesce(array_to_string(list_sort(list(component) FILTER (NOT healthy)), ','), '') AS unhealthy FROM c")
+@query("WITH c AS (SELECT event_type AS component, count(*) FILTER (value > 100) / count(*) >= 0.8 AS healthy FROM events GROUP BY event_type) SELECT count(*) FILTER (healthy) / count(*) AS health, CASE WHEN count(*) FILTER (healthy) / count(*) >= 0.8 THEN 'healthy' WHEN count(*) FILTER (healthy) / count(*) >= 0.5 THEN 'degraded' ELSE 'unhealthy' END AS status, coalesce(array_to_string(list_sort(list(component) FILTER (NOT healthy)), ','), '') AS unhealthy FROM c")
 def system_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-77, OP-241."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    states = rows.groupBy(F.col("event_type").alias("component")).agg((F.count_if(F.col("value") > 100) / F.count("*") >= 0.7995).alias("healthy"))
+    states = rows.groupBy(F.col("event_type").alias("component")).agg((F.count_if(F.col("value") > 100) / F.count("*") >= 0.8).alias("healthy"))
     return registry.component_health(states).withColumn("unhealthy", F.array_join("unhealthy", ","))
 
 
-@query(f"WITH {SCORED_SQL} SELECT flow_id, '[' || severity || '] ' || attack_category || ' on ' || device_id || ', score ' || printf('%.2f', threat_score) AS message FROM scored WHERE severity = 'CRITICAL' AND abs(threat_score * 100 - floor(threat_score * 100) - 0.5) > 1e-6")
+@query(f"WITH {SCORED_SQL} SELECT flow_id, '[' || severity || '] ' || attack_category || ' on ' || device_id || ', score ' || printf('%.2f', floor(threat_score * 100 + 1e-7) / 100) AS message FROM scored WHERE severity = 'CRITICAL'")
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-39."""
+    """OP-39: a score in a message is cut to two digits, not rounded up."""
     from heronflow.plans.scoring import all_detections
 
-    clear = F.abs(F.col("threat_score") * 100 - F.floor(F.col("threat_score") * 100) - 0.5) > 1e-6
-    return all_detections(spark, sf_dir).where("severity = 'CRITICAL'").where(clear).select("flow_id", sinks.notification().alias("message"))
+    return all_detections(spark, sf_dir).where("severity = 'CRITICAL'").select("flow_id", sinks.notification().alias("message"))

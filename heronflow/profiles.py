@@ -10,41 +10,41 @@ from heronflow.features import entropy
 from heronflow.flows import micros
 
 #: Prefixes of hardware addresses and their vendors.
-OUI = """
-00:40:8c Axis Communications
-00:0f:7c Hikvision
-00:12:01 Dahua Technology
-00:0c:e5 Sony Corporation
-00:80:f0 Panasonic
-00:02:d1 Vivotek Inc.
-00:50:56 VMware
-08:00:27 Oracle VirtualBox
-00:1b:21 Intel Corporate
-00:15:5d Microsoft Corporation
-50:c7:bf TP-Link Technologies
-ec:fa:bc Belkin International
-44:61:32 Amazon Technologies
-2c:aa:8e Wyze Labs
-b8:27:eb Raspberry Pi Foundation
-dc:a6:32 Raspberry Pi Foundation
-e4:5f:01 Raspberry Pi Foundation
-00:1e:c0 Arduino
-98:84:e3 Espressif Inc.
-24:0a:c4 Espressif Inc.
-30:ae:a4 Espressif Inc.
-00:16:6c Samsung Electronics
-28:6d:cd Samsung Electronics
-d8:50:e6 Samsung Electronics
-00:03:93 Apple Inc.
-00:17:f2 Apple Inc.
-28:cf:e9 Apple Inc.
-18:b4:30 Google Inc.
-64:16:66 Google Inc.
-f4:f5:d8 Google Inc.
-"""
+OUI = {
+    "00:40:8c": "Axis Communications",
+    "00:0f:7c": "Hikvision",
+    "00:12:01": "Dahua Technology",
+    "00:0c:e5": "Sony Corporation",
+    "00:80:f0": "Panasonic",
+    "00:02:d1": "Vivotek Inc.",
+    "00:50:56": "VMware",
+    "08:00:27": "Oracle VirtualBox",
+    "00:1b:21": "Intel Corporate",
+    "00:15:5d": "Microsoft Corporation",
+    "50:c7:bf": "TP-Link Technologies",
+    "ec:fa:bc": "Belkin International",
+    "44:61:32": "Amazon Technologies",
+    "2c:aa:8e": "Wyze Labs",
+    "b8:27:eb": "Raspberry Pi Foundation",
+    "dc:a6:32": "Raspberry Pi Foundation",
+    "e4:5f:01": "Raspberry Pi Foundation",
+    "00:1e:c0": "Arduino",
+    "98:84:e3": "Espressif Inc.",
+    "24:0a:c4": "Espressif Inc.",
+    "30:ae:a4": "Espressif Inc.",
+    "00:16:6c": "Samsung Electronics",
+    "28:6d:cd": "Samsung Electronics",
+    "d8:50:e6": "Samsung Electronics",
+    "00:03:93": "Apple Inc.",
+    "00:17:f2": "Apple Inc.",
+    "28:cf:e9": "Apple Inc.",
+    "18:b4:30": "Google Inc.",
+    "64:16:66": "Google Inc.",
+    "f4:f5:d8": "Google Inc.",
+}
 #: Vendors of each device type, in the order in which they are tried.
 VENDORS = {
-    "camera": "axis hikvision dahua bosch sony panasonic vivotek geovision avigilon hanwha flir mobotix acti arecont pelco".split(),
+    "camera": ["axis", "hikvision", "dahua", "bosch", "sony", "panasonic", "vivotek", "geovision", "avigilon", "hanwha", "flir", "mobotix", "acti", "arecont", "pelco"],
     "plug": ["tp-link", "belkin", "wemo", "kasa", "amazon", "wyze", "gosund", "treatlife", "meross", "teckin", "smart life"],
     "thermostat": ["nest", "ecobee", "honeywell", "emerson", "johnson controls", "carrier", "trane", "lennox", "white-rodgers", "lux"],
     "sensor": ["texas instruments", "nordic semiconductor", "silicon labs", "espressif", "particle", "arduino", "raspberry pi foundation", "adafruit", "sparkfun", "seeed", "mikroe", "digi"],
@@ -70,7 +70,7 @@ DEFAULTS = {
 
 def oui_table(spark: SparkSession, custom: list[tuple[str, str]] | None = None) -> DataFrame:
     """prefix, vendor; custom entries replace those of the same prefix."""
-    rows = dict(line.split(" ", 1) for line in OUI.strip().split("\n")) | dict(custom or [])
+    rows = OUI | dict(custom or [])
     return spark.createDataFrame(sorted(rows.items()), "oui string, vendor string")
 
 

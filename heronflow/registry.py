@@ -71,3 +71,9 @@ def component_health(rows: DataFrame) -> DataFrame:
         F.when(share >= 0.8, "healthy").when(share >= 0.5, "degraded").otherwise("unhealthy").alias("status"),
         F.array_sort(F.collect_list(F.when(~F.col("healthy"), F.col("component")))).alias("unhealthy"),
     )
+
+
+def deployment_counters(deployments: DataFrame) -> DataFrame:
+    """OP-233: deployments by how they ended."""
+    of = lambda status: F.count_if(F.col("status") == status)
+    return deployments.agg(F.count("*").alias("total"), of("completed").alias("completed"), of("failed").alias("failed"), of("rolled_back").alias("rolled_back"))

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bands of the hash that strata are counted by.
+BANDS = 4_096
+
+
 def uniform(column: str, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the value and the seed only."""
     hashed = F.md5(F.concat_ws("#", F.col(column).cast("string"), F.lit(str(seed))))
@@ -25,10 +29,23 @@ def reservoir(df: DataFrame, column: str, k: int, seed: int = 0) -> DataFrame:
 
 
 def stratified(df: DataFrame, column: str, stratum: str, k: int, seed: int = 0) -> DataFrame:
-    """OP-193: of each stratum its share of k, at least one row."""
-    n = F.count("*").over(Window.partitionBy(stratum))
-    ranked = df.withColumns({"_r": F.row_number().over(Window.partitionBy(stratum).orderBy(uniform(column, seed), column)), "_n": n}).crossJoin(F.broadcast(df.agg(F.count("*").alias("_total"))))
-    return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(k * F.col("_n") / F.col("_total")))).drop("_r", "_n", "_total")
+    """OP-193: of each stratum its share of k, at least one row: those of the
+    least hash. No stratum is sorted whole: counts of the hashes' first
+    :data:`BANDS` bands tell which band holds a stratum's last row, rows of
+    lower bands are in, and only that band's rows are ranked."""
+    rows = df.withColumn("_u", uniform(column, seed)).withColumn("_band", F.floor(F.col("_u") * BANDS))
+    counts = rows.groupBy(F.col(stratum).alias("_s"), "_band").agg(F.count("*").alias("_n"))
+    # At most BANDS rows a stratum.
+    below = Window.partitionBy("_s").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("_s")
+    total = F.broadcast(counts.agg(F.sum("_n").alias("_total")))
+    marked = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(below), F.lit(0)), "_of": F.sum("_n").over(every)}).crossJoin(total)
+    want = marked.withColumn("_want", F.greatest(F.lit(1), F.floor(k * F.col("_of") / F.col("_total")))).where("_before < _want").select("_s", "_band", "_before", "_n", "_want")
+    held = rows.join(want.withColumnRenamed("_band", "_b"), rows[stratum].eqNullSafe(F.col("_s")) & (F.col("_band") == F.col("_b")))
+    whole = held.where(F.col("_before") + F.col("_n") <= F.col("_want"))
+    w = Window.partitionBy("_s").orderBy("_u", column)
+    last = held.where(F.col("_before") + F.col("_n") > F.col("_want")).withColumn("_r", F.row_number().over(w) + F.col("_before")).where("_r <= _want")
+    return whole.select(df.columns).union(last.select(df.columns))
 
 
 def systematic(df: DataFrame, order: list[str], k: int, start: int = 0) -> DataFrame:

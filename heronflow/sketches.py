@@ -35,17 +35,24 @@ def bloom_size(capacity: int, error: float) -> tuple[int, int]:
     return bits, max(1, round(bits / capacity * math.log(2)))
 
 
-def bloom(df: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
-    """The set bits, at most ``bits`` rows."""
-    return df.select(F.explode(F.array(*(hashed(F.col(column), k, bits) for k in range(hashes)))).alias("bit")).distinct()
+def _hashes(column: str, bits: int, hashes: int) -> Column:
+    return F.explode(F.array_distinct(F.array(*(hashed(F.col(column), k, bits) for k in range(hashes))))).alias("bit")
 
 
-def maybe_in(df: DataFrame, column: str, filter_bits: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """Distinct values all of whose bits are set: no false negative."""
-    asked = df.select(column).distinct().select(column, F.explode(F.array_distinct(F.array(*(hashed(F.col(column), k, bits) for k in range(hashes))))).alias("bit"))
-    n = asked.groupBy(column).agg(F.count("*").alias("want"))
-    hit = asked.join(F.broadcast(filter_bits), "bit").groupBy(column).agg(F.count("*").alias("have"))
-    return n.join(hit, column).where("want = have").select(column)
+def bloom(df: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
+    """The filter as a bitmap: word and mask, 64 bits a row, of the words that
+    are not zero. Bits are joined by OR on the map side already."""
+    bit = df.select(_hashes(column, bits, hashes))
+    return bit.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+
+
+def maybe_in(df: DataFrame, column: str, bitmap: DataFrame, bits: int, hashes: int, broadcast_words: int = 200_000) -> DataFrame:
+    """Distinct values all of whose bits are set: no false negative. A bitmap
+    of up to ``broadcast_words`` words is broadcast, a larger one shuffled."""
+    asked = df.select(column).distinct().select(column, _hashes(column, bits, hashes)).withColumn("word", F.expr("bit div 64"))
+    held = F.broadcast(bitmap) if bits <= 64 * broadcast_words else bitmap
+    hit = asked.join(held, "word", "left").withColumn("hit", F.coalesce(F.expr("shiftright(mask, cast(bit % 64 as int)) & 1"), F.lit(0)))
+    return hit.groupBy(column).agg(F.min("hit").alias("all")).where(F.col("all") == 1).select(column)
 
 
 def top_k(df: DataFrame, column: str, k: int) -> DataFrame:

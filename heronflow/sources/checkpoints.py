@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; only
-    if the session has none (tests) one under /tmp."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder of ``spark.checkpoint.dir``, which all executors share. A
+    local session (tests) may have none and gets one in its temporary folder; on
+    a cluster that would be a folder of one machine, so it is an error there."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or f"{tempfile.gettempdir()}/checkpoints"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -3,11 +3,14 @@ labelled CSV, and raw packets (OP-02 to OP-17). Times are UTC."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronflow.operators.quantiles import exact_quantiles
+
 EVE = (
     "timestamp string, event_type string, src_ip string, dest_ip string, src_port int, dest_port int, proto string, "
     "flow struct<bytes_toserver:bigint,bytes_toclient:bigint>, tcp struct<syn:boolean,ack:boolean,fin:boolean,rst:boolean,psh:boolean,urg:boolean>, "
@@ -166,8 +169,8 @@ def filled(df: DataFrame, columns: list[str], median: bool = False) -> DataFrame
     numbers = df.withColumns({c: F.col(c).try_cast("double") for c in columns})
     if not median:
         return numbers.fillna(0.0, columns)
-    middle = numbers.agg(*(F.percentile(c, 0.5).alias(f"_{c}") for c in columns))
-    return numbers.crossJoin(F.broadcast(middle)).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
+    middle = exact_quantiles(numbers, columns, [0.5])
+    return numbers.withColumns({c: F.coalesce(F.col(c), F.lit(middle[c][0.5])) for c in columns})
 
 
 def _number(data: Column, start: int, n: int) -> Column:
@@ -205,6 +208,15 @@ def plain_records(packets: DataFrame) -> DataFrame:
     return packets.select("protocol", "ts", "source_ip", "destination_ip", "source_port", "destination_port", F.length("data").alias("payload_size"))
 
 
-def with_fallback(first: DataFrame | None, second: DataFrame) -> DataFrame:
-    """OP-212: the first decoder's records, or the second's if it gave none."""
-    return first if first is not None and not first.isEmpty() else second
+def with_fallback(first: Callable[[], DataFrame] | None, second: Callable[[], DataFrame]) -> DataFrame:
+    """OP-212: the first decoder's records, or, if there is none or it fails
+    when it is set up, the second's. What a first decoder finds is taken even if
+    it is nothing."""
+    if first is not None:
+        try:
+            found = first()
+            found.schema  # noqa: B018 - analysed here, so that a missing file or column fails here
+            return found
+        except Exception:  # noqa: BLE001 - the fallback is for any failure
+            pass
+    return second()

@@ -1,10 +1,11 @@
-"""Writers (OP-23, OP-25, OP-30 to OP-34, OP-36, OP-37, OP-39, OP-40, OP-197,
-OP-245, OP-252)."""
+"""Writers (OP-30 to OP-34, OP-36, OP-37, OP-39, OP-40, OP-51d, OP-197,
+OP-245, OP-249, OP-252)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,10 @@ def expired_partitions(partitions: DataFrame, as_of: Column, days: int, date: st
 
 
 def notification(severity: str = "severity") -> Column:
-    """OP-39: the text of an alert; delivery is the caller's."""
-    return F.format_string("[%s] %s on %s, score %.2f", F.upper(severity), F.col("attack_category"), F.col("device_id").cast("string"), F.col("threat_score"))
+    """OP-39: the text of an alert; delivery is the caller's. The score is cut
+    to two digits, so that none looks higher than it is."""
+    score = F.floor(F.col("threat_score") * 100 + 1e-7) / 100
+    return F.format_string("[%s] %s on %s, score %.2f", F.upper(severity), F.col("attack_category"), F.col("device_id").cast("string"), score)
 
 
 def each_batch(*steps: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -67,3 +70,44 @@ def best_codec(results: DataFrame, by: str = "ratio") -> DataFrame:
     speed = F.col("original") / F.greatest(F.lit(1e-9), F.col("seconds"))
     score = {"ratio": r, "speed": speed, "balance": r * F.ln(1 + speed)}[by]
     return results.agg(F.max_by("codec", F.struct(score, F.col("codec"))).alias("codec"), F.max(r).alias("best_ratio"))
+
+
+#: The library function of each codec.
+CODECS = {"gzip": ("gzip", "compress", "decompress"), "zlib": ("zlib", "compress", "decompress"), "bz2": ("bz2", "compress", "decompress")}
+
+
+def _coded(data: Column, codec: str, way: int) -> Column:
+    import importlib
+
+    module, *names = CODECS[codec]
+
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        use = getattr(importlib.import_module(module), names[way])
+        return values.map(lambda x: None if x is None else use(bytes(x)))
+
+    return run(data)
+
+
+def compressed(data: Column, codec: str) -> Column:
+    """OP-249: a binary column, compressed value by value."""
+    return _coded(data, codec, 0)
+
+
+def decompressed(data: Column, codec: str) -> Column:
+    return _coded(data, codec, 1)
+
+
+def compress_and_sample(df: DataFrame, id_column: str, rate: float, codec: str) -> DataFrame:
+    """OP-197: a sample by hash of the id, each row as compressed JSON."""
+    from heronflow.sampling import bernoulli
+
+    body = F.to_json(F.struct(*df.columns)).cast("binary")
+    return bernoulli(df, id_column, rate).select(id_column, compressed(body, codec).alias("data"))
+
+
+def without_fields(events: DataFrame, names: tuple[str, ...] = ("@version", "host")) -> DataFrame:
+    """OP-51d: fields go, and an event with an attack category is tagged so."""
+    kept = events.drop(*names)
+    tag = F.concat(F.lit("attack_"), F.col("attack_category"))
+    return kept.withColumn("tags", F.when(F.col("attack_category").isNotNull(), F.array_append("tags", tag)).otherwise(F.col("tags")))

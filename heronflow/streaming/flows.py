@@ -85,7 +85,15 @@ def running_profiles(observed: DataFrame) -> DataFrame:
 
 def keep_under_load(level: Column, priority: Column, item: Column, high: float = 0.8, full: float = 0.95, rate: float = 0.5) -> Column:
     """OP-198: what a queue of fill ``level`` takes: everything below ``high``;
-    from there one in 1/rate of the lower priorities; from ``full`` only the
-    highest priority (3)."""
-    one_in = max(1, int(1 / rate))
-    return F.when(level >= full, priority >= 3).when(level >= high, (priority >= 2) | (F.pmod(F.xxhash64(item), F.lit(one_in)) == 0)).otherwise(True)
+    from there a share ``rate`` of the priorities under 2, told by a hash; from
+    ``full`` only priorities from 3 on."""
+    share = F.pmod(F.xxhash64(item), F.lit(1_000_000)) < int(rate * 1_000_000)
+    return F.when(level >= full, priority >= 3).when(level >= high, (priority >= 2) | share).otherwise(True)
+
+
+def adjusted_rate(current: Column, kept: Column, seen: Column, since_s: Column, low: float = 0.01, high: float = 1.0, every_s: int = 60) -> Column:
+    """OP-196: at most once in ``every_s`` seconds, if the share that was kept is
+    off the rate by over 0.05, a tenth of the difference is made up for."""
+    actual = kept / F.nullif(seen, F.lit(0))
+    moved = F.greatest(F.lit(low), F.least(F.lit(high), current + (current - actual) * 0.1))
+    return F.when((since_s >= every_s) & (F.abs(actual - current) > 0.05), moved).otherwise(current)

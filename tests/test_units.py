@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -212,6 +213,51 @@ def test_scaling_and_quarantine(spark):
     assert df.where(preprocess.invalid(["a", "b"])).count() == 2
 
 
+def test_exact_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    from heronflow.operators.quantiles import exact_quantiles
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 1.0, 2.0, rng.gauss(0, 9)]), float(k % 3), None) for k in range(2000)]
+    got = exact_quantiles(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"], [0.0, 0.25, 0.5, 0.9, 1.0])
+    for k, c in enumerate("ab"):
+        values = [r[k] for r in rows if r[k] is not None]
+        assert all(abs(x - np.quantile(values, q)) < 1e-9 for q, x in got[c].items())
+    assert set(got["c"].values()) == {None}
+
+
+def test_a_busy_key_is_cooled_down_in_parts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    for span in (1, 3, 16):
+        monkeypatch.setattr(alerts, "SPAN", span)
+        seconds = sorted(rng.sample(range(20_000), 700))
+        rows = [("d", T0 + dt.timedelta(seconds=s), k) for k, s in enumerate(seconds)]
+        want, last = [], None
+        for k, s in enumerate(seconds):
+            if last is None or s - last >= 120:
+                want.append(k)
+                last = s
+        out = alerts.cooled_down(spark.createDataFrame(rows, "device_id string, ts timestamp_ntz, k int"), ["device_id"], ["k"], 2)
+        assert sorted(r.k for r in out.collect()) == want
+
+
+def test_what_may_be_missing_from_the_entry(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module")
+    for path, wanted in ((f"{tmp_path}:{root}", "no_such_module"), (f"{root}", "")):
+        done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": path}, capture_output=True, text=True)
+        assert wanted in done.stderr and bool(done.returncode) == bool(wanted)
+
+
 def test_registry_changes(spark):
     rows = [("m", "1.9.0", "production"), ("m", "1.10.0", "archived"), ("m", "1.2.0", "archived"), ("n", "1.0.0", "production")]
     df = spark.createDataFrame(rows, "model string, version string, stage string")
