@@ -253,8 +253,8 @@ def test_what_may_be_missing_from_the_entry(tmp_path):
 
     root = Path(__file__).resolve().parents[1]
     (tmp_path / "corpus_pipeline.py").write_text("import no_such_module")
-    for path, wanted in ((f"{tmp_path}:{root}", "no_such_module"), (f"{root}", "")):
-        done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": path}, capture_output=True, text=True)
+    for folder, path, wanted in ((tmp_path, f"{tmp_path}:{root}", "no_such_module"), (root, f"{root}", "")):
+        done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=folder, env={**os.environ, "PYTHONPATH": path}, capture_output=True, text=True)
         assert wanted in done.stderr and bool(done.returncode) == bool(wanted)
 
 
