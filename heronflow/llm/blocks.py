@@ -233,14 +233,26 @@ def answered(rows: DataFrame, shards: int, answer: Callable[[dict[str, list]], l
     return rows.repartition(min(shards, MAX_PARTITIONS), "step", "shard").sortWithinPartitions("step", "shard").mapInArrow(run, ANSWER)
 
 
-def repeated_cells(mine: dict[str, list]) -> list[bytes]:
-    """A bit for each cell: it repeats within a block or is in two blocks."""
+def repeated_cells(mine: dict[str, list], most: int) -> tuple[list[bytes], list[bytes]]:
+    """A bit for each cell: it repeats within a block or is in two blocks; and
+    one that more than ``most`` blocks have it. Cells of a block are distinct."""
     cells = [unpacked_deltas(x) for x in mine["cells"]]
-    distinct, of, blocks = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
-    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)) for x, c in zip(mine["many"], cells, strict=True)])
+    ends = np.cumsum([len(c) for c in cells])[:-1]
+    joined = np.concatenate(cells)
+    order = np.argsort(joined, kind="stable").astype(np.int32)
+    joined = joined[order]
+    start = np.flatnonzero(np.r_[True, joined[1:] != joined[:-1]]).astype(np.int32)
+    del joined, cells
+    blocks = np.diff(np.r_[start, len(order)])
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(mine["many"], np.diff(np.r_[0, ends, len(order)]).tolist(), strict=True)])
     # What one block has twice is repeated for the others too.
-    hot = (blocks + np.bincount(of, many, len(distinct)) > 1)[of]
-    return [np.packbits(x).tobytes() for x in np.split(hot, np.cumsum([len(c) for c in cells])[:-1])]
+    twice = np.maximum.reduceat(many[order], start).astype(bool)
+    out = []
+    for found in ((blocks > 1) | twice, blocks > most):
+        bits = np.empty(len(order), bool)
+        bits[order] = np.repeat(found, blocks)
+        out.append([np.packbits(x).tobytes() for x in np.split(bits, ends)])
+    return tuple(out)
 
 
 def merged_sketch(sizes: Sizes) -> Callable[[dict[str, list]], list[bytes]]:

@@ -22,7 +22,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: Rows of a few narrow columns that are broadcast at most: some 10 MB.
 BROADCAST_ROWS = 200_000
-BATCH_ROWS = 1_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Documents go to Python up to :data:`BATCH_ROWS` at a time; the default is
-    ten times as many, too much memory for long texts. A lower setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Documents go to Python up to :data:`BATCH_ROWS` and, but for a single
+    longer row, :data:`BATCH_BYTES` at a time; the defaults are ten times as many
+    rows, and 64 MB, of which the JVM and Python hold several. A lower setting
+    stays."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(name, "0").rstrip("b")) <= most:
+            spark.conf.set(name, most)
 
 
 def texts(docs: DataFrame) -> DataFrame:

@@ -218,10 +218,7 @@ def repeated_and_hot(most: int) -> Callable[[dict[str, list]], list[bytes]]:
     cell that more than ``most`` blocks have."""
 
     def answer(mine: dict[str, list]) -> list[bytes]:
-        sizes = [(len(x) - 1) // x[0] for x in mine["cells"]]
-        _, of, blocks = np.unique(np.concatenate([B.unpacked_deltas(x) for x in mine["cells"]]), return_inverse=True, return_counts=True)
-        hot = np.split((blocks > most)[of], np.cumsum(sizes)[:-1])
-        return [bits + np.packbits(h).tobytes() for bits, h in zip(B.repeated_cells(mine), hot, strict=True)]
+        return [a + b for a, b in zip(*B.repeated_cells(mine, most), strict=True)]
 
     return answer
 
