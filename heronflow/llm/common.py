@@ -36,7 +36,7 @@ def small_batches(spark: SparkSession) -> None:
     stays."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        if not 0 < int(spark.conf.get(name, "0").rstrip("b")) <= most:
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
             spark.conf.set(name, most)
 
 
