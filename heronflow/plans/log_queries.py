@@ -162,8 +162,10 @@ def routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "routed")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("severity", F.when(F.col("value") > 450, "critical").when(F.col("value") > 400, "high").otherwise("low"))
     enrich.write_routed(rows, folder)
-    every = spark.read.parquet(f"{folder}/events").groupBy("event_type", "event_date").agg(F.count("*").alias("n"))
-    alerts = spark.read.parquet(f"{folder}/alerts").groupBy("event_type", "event_date").agg(F.count("*").alias("alerts"))
+    # With a schema, as there may be no alert and so no file.
+    read = spark.read.schema(rows.withColumn("event_date", F.to_date("ts")).schema)
+    every = read.parquet(f"{folder}/events").groupBy("event_type", "event_date").agg(F.count("*").alias("n"))
+    alerts = read.parquet(f"{folder}/alerts").groupBy("event_type", "event_date").agg(F.count("*").alias("alerts"))
     out = every.join(alerts, ["event_type", "event_date"], "left")
     return out.select("event_type", F.col("event_date").cast("string").alias("event_date"), "n", F.coalesce("alerts", F.lit(0)).alias("alerts"))
 
