@@ -91,7 +91,10 @@ def measures(text: str) -> dict[str, float]:
 def marks(text: str) -> set[str]:
     """The lower-cased words of a text, and the beginnings of longer ones with
     a star behind."""
-    words = set(_bare(text.lower()))
+    return _marks(set(_bare(text.lower())))
+
+
+def _marks(words: set[str]) -> set[str]:
     return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in BEGINNINGS))
 
 
@@ -99,7 +102,7 @@ def votes(text: str, shares: dict[str, float], lexicon: frozenset[str]) -> tuple
     """What the labellers say on junk and on toxic, a character each: 1 yes, 0
     no, ? nothing. The last on junk votes no where no other says yes."""
     lower = set(_bare(text.lower()))
-    known, learned = len(lower & INSULTS), len(marks(text) & lexicon) if lexicon else 0
+    known, learned = len(lower & INSULTS), len(_marks(lower) & lexicon) if lexicon else 0
     toxic = ("1" if known else "0") + ("1" if learned >= 2 else "?" if learned else "0")
     few = bool(shares) and len(lower) >= 30 and len(STOP_WORDS & lower) <= 1
     junk = "".join("1" if shares.get(k, 0.0) >= most else "?" for k, most in LIMITS.items()) + ("1" if few else "?")
