@@ -14,7 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What the contracts call white space between words: blank, and \t \n \v \f \r.
@@ -98,3 +98,43 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def utf8_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of text in the table: one cheap scan that sizes the work."""
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+
+
+def positions(rows: DataFrame, group: str, order: list[Column], keep: list[Column | str]) -> DataFrame:
+    """``group``, the columns of ``keep`` and ``pos``: the place of a row in its
+    group, from 0, in the order given.
+
+    Rows are sorted across tasks by range, so a group of any size is spread over
+    many. What is broadcast is a start for each group that a border cuts: one a
+    partition at most. The sorted rows are stored, as borders are drawn from a
+    sample and must not change when a task is run again.
+    """
+    by = [F.col(group), *order]
+    marked = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by).select(group, *keep, F.monotonically_increasing_id().alias("_row")))
+    marked = marked.withColumn("_part", F.shiftright("_row", 33))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy(group, "_part").agg(F.count("*").alias("_n")).withColumn("_start", F.sum("_n").over(before)).where("_start > 0").drop("_n")
+    first = F.min("_row").over(Window.partitionBy(group, "_part"))
+    placed = marked.withColumn("_first", first).join(F.broadcast(starts), [group, "_part"], "left")
+    return placed.withColumn("pos", F.col("_row") - F.col("_first") + F.coalesce("_start", F.lit(0))).drop("_row", "_part", "_first", "_start")
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` inner join ``keyed``, which has one row a key and in ``count``
+    how many rows have it. Null keys join.
+
+    A small ``keyed`` is broadcast. Of a larger one, keys of at least one in
+    :data:`BROADCAST_ROWS` rows are, of which there can't be more than that; the
+    rows of the other keys are shuffled.
+    """
+    small = keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    names = [c for c in keyed.columns if c != key]
+    other = keyed.withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    if small:
+        return rows.join(F.broadcast(other), same).select(*rows.columns, *names)
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * BROADCAST_ROWS >= total
+    hot = F.broadcast(other.where(often))
+    parts = rows.join(hot, same), rows.join(hot, same, "left_anti").join(other.where(~often), same)
+    return parts[0].unionByName(parts[1]).select(*rows.columns, *names)
