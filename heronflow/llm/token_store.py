@@ -3,9 +3,10 @@ hash.
 
 A store is a folder on storage that all executors share:
 
-* ``shard-*.ids``: ids of whole documents as little-endian unsigned 32-bit
-  integers, an end id behind each, nothing else. Shards follow each other in
-  ascending order of doc_id (null first, repeated ids by the hash of the text).
+* ``shard-*.ids``: ids of whole documents, an end id behind each, nothing else:
+  little-endian unsigned integers of 16 bits, or 32 if the vocabulary needs them.
+  Shards follow each other in ascending order of doc_id (null first, repeated ids
+  by the hash of the text).
 * ``index-*.mph``: keys are (doc_id, k), k counting repeated ids from 0; a hash
   deals them to parts of some :data:`PART_KEYS`. A part is a bitmap of levels: a
   key sets a bit of the first level where no other key that is left has the same
@@ -33,8 +34,10 @@ from __future__ import annotations
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -54,18 +57,23 @@ MAGIC = 0x31485044494B4F54
 ENTRY = np.dtype([("mark", "<u8"), ("at", "<u8"), ("shard", "<u4"), ("n", "<u4")])
 
 
+def id_type(path: str, end: int) -> str:
+    """The narrowest numbers that hold all ids."""
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size() - 1, end) < 1 << 16 else "<u4"
+
+
 class Encoder:
-    """Ids as the library gives them, as bytes."""
+    """Ids as the library gives them, as bytes of numbers of ``kind``."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kind: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(path)
+        self.library, self.kind = Tokenizer.from_file(path), kind
         self.known: dict[str, bytes] = {}
         marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([ODD.pattern, *map(re.escape, marks)]))
 
     def by_library(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         cut = [[] if self.odd.search(t) else UNITS.findall(t) for t in batch]
@@ -78,12 +86,10 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+@lru_cache(1)
+def encoder(path: str, kind: str) -> Encoder:
     """One a worker: what it remembers serves the tasks to come."""
-    return _encoders.setdefault(path, Encoder(path)) if path not in _encoders else _encoders[path]
+    return Encoder(path, kind)
 
 
 # --- minimal perfect hash ------------------------------------------------------
@@ -185,22 +191,23 @@ class Store:
     shards: DataFrame
     parts: DataFrame
     n_parts: int
+    kind: str
 
 
 def _opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
-def _shards(docs: DataFrame, folder: str, path: str, end: int) -> DataFrame:
+def _shards(docs: DataFrame, folder: str, path: str, end: int, kind: str) -> DataFrame:
     """Writes shards; shard, path, doc_id, k (within the shard), at, n."""
     order = [F.col("doc_id").asc_nulls_first(), F.col("_text").asc(), F.col("_row").asc()]
     rows = texts(docs).withColumns({"_text": F.xxhash64("text"), "_row": F.xxhash64(F.monotonically_increasing_id())})
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    last_id = np.array([end], "<u4").tobytes()
+    last_id = np.array([end], kind).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, name, out, at, last, k = TaskContext.get().partitionId(), f"shard-{uuid.uuid4().hex}.ids", None, 0, None, -1
-        codes = encoder(path)
+        codes = encoder(path, kind)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -214,7 +221,7 @@ def _shards(docs: DataFrame, folder: str, path: str, end: int) -> DataFrame:
                 last, k = doc_id, k + 1 if doc_id == last else 0
                 ks.append(k)
                 starts.append(at)
-                counts.append(len(data) // 4 + 1)
+                counts.append(len(data) // len(last_id) + 1)
                 at += counts[-1]
             n = len(ids)
             columns = [pa.array([shard] * n), pa.array([name] * n), batch.column(0), pa.array(ks), pa.array(starts), pa.array(counts)]
@@ -231,7 +238,8 @@ def write_store(docs: DataFrame, path: str, end: int = END) -> Store:
     folder = f"{shared_folder(spark)}/token-store-{uuid.uuid4().hex}"
     where, top = _opened(folder)
     where.create_dir(top, recursive=True)
-    rows = _shards(docs, folder, path, end)
+    kind = id_type(path, end)
+    rows = _shards(docs, folder, path, end, kind)
 
     # An id that goes on from shard to shard: its rows in earlier shards all end their shards.
     shards = rows.groupBy("shard", "path").agg(
@@ -260,7 +268,7 @@ def write_store(docs: DataFrame, path: str, end: int = END) -> Store:
         return pa.table({"part": [key[0].as_py()], "path": [name]})
 
     parts = stored(entries.withColumn("part", _part(n_parts)).groupBy("part").applyInArrow(build, "part bigint, path string"))
-    return Store(folder, entries.select("doc_id", "k"), shards.select("shard", "path", "n_docs", "start"), parts, n_parts)
+    return Store(folder, entries.select("doc_id", "k"), shards.select("shard", "path", "n_docs", "start"), parts, n_parts, kind)
 
 
 # --- reading -------------------------------------------------------------------
@@ -298,30 +306,36 @@ def looked_up(store: Store, keys: DataFrame) -> DataFrame:
     return rows.select("doc_id", "k", "path").mapInArrow(find, "doc_id bigint, k bigint, shard bigint, at bigint, n bigint")
 
 
-def fetched(store: Store, keys: DataFrame) -> DataFrame:
-    """doc_id, k, start (ids of the store before the document), n and ids, as
-    bytes, of the keys that the store has."""
+def fetched(store: Store, keys: DataFrame, check: bool = False) -> DataFrame:
+    """doc_id, k, start (ids of the store before the document), n and ids of the
+    keys that the store has; with ``check`` in place of the ids their crc32, as
+    little-endian unsigned 32-bit integers."""
     rows = spread_join(looked_up(store, keys).where("shard is not null"), store.shards, "shard", "n_docs")
     placed = rows.select("doc_id", "k", "shard", "path", "start", "at", "n").repartitionByRange("shard", "at").sortWithinPartitions("shard", "at")
-    folder = store.folder
+    folder, kind = store.folder, np.dtype(store.kind)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, top = _opened(folder)
         opened, file = None, None
+
+        def one(path: str, at: int, n: int) -> np.ndarray:
+            nonlocal opened, file
+            if path != opened:
+                opened, file = path, where.open_input_file(f"{top}/{path}")
+            file.seek(kind.itemsize * at)
+            return np.frombuffer(file.read(kind.itemsize * n), kind).astype("<u4")
+
         for batch in batches:
-            data = []
-            for path, at, n in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "n")), strict=True):
-                if path != opened:
-                    opened, file = path, where.open_input_file(f"{top}/{path}")
-                file.seek(4 * at)
-                data.append(file.read(4 * n))
+            found = (one(*where_) for where_ in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "n")), strict=True))
+            last = pa.array([zlib.crc32(ids) for ids in found], pa.int64()) if check else pa.array(list(found), pa.list_(pa.int64()))
             start = pa.array(batch.column("start").to_numpy() + batch.column("at").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), start, batch.column("n"), pa.array(data, pa.binary())], ["doc_id", "k", "start", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), start, batch.column("n"), last], ["doc_id", "k", "start", "n", name])
 
-    return placed.mapInArrow(read, "doc_id bigint, k bigint, start bigint, n bigint, ids binary")
+    name = "crc32" if check else "ids"
+    return placed.mapInArrow(read, f"doc_id bigint, k bigint, start bigint, n bigint, {name} {'bigint' if check else 'array<bigint>'}")
 
 
 def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    rows = fetched(store, store.entries)
-    return rows.select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    rows = fetched(store, store.entries, check=True)
+    return rows.select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
