@@ -53,6 +53,8 @@ from heronflow.llm.common import shared_folder, spread_join, stored, table, text
 
 END, PIECES, PART_KEYS = 2, 500_000, 1 << 16
 UNITS, ODD = re.compile(r" ?\S+|\s+(?!\S)|\s+"), re.compile(r"[^\S \t\n\r]")
+#: How byte-level vocabularies write a blank; what ends a piece; pieces of a call.
+BLANK, WHITE, TOGETHER = "\u0120", " \t\n\r", 1000
 MAGIC = 0x31485044494B4F54
 ENTRY = np.dtype([("mark", "<u8"), ("at", "<u8"), ("shard", "<u4"), ("n", "<u4")])
 
@@ -72,13 +74,31 @@ class Encoder:
         marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([ODD.pattern, *map(re.escape, marks)]))
 
+        size = self.library.get_vocab_size()
+        self.opens = np.array([(self.library.id_to_token(i) or "").startswith(BLANK) for i in range(size)])
+
+    def of_units(self, units: list[str]) -> dict[str, bytes]:
+        """Pieces that begin with a blank are encoded side by side: the library
+        cuts before each blank, and only their first ids begin with one."""
+        spaced = [u for u in units if u[0] == " " and len(u) > 1 and u[1] not in WHITE]
+        out: dict[str, bytes] = {}
+        for k in range(0, len(spaced), TOGETHER):
+            some = spaced[k : k + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            edges = [*(np.flatnonzero(self.opens[ids]) * ids.itemsize).tolist(), ids.nbytes]
+            data = ids.tobytes()
+            out.update(zip(some, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+        others = [u for u in units if u not in out]
+        out.update(zip(others, self.by_library(others), strict=True))
+        return out
+
     def by_library(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         cut = [[] if self.odd.search(t) else UNITS.findall(t) for t in batch]
         new = list(set().union(*cut).difference(self.known))
-        self.known.update(zip(new, self.by_library(new), strict=True))
+        self.known.update(self.of_units(new))
         get = self.known.__getitem__
         out = [b"".join(map(get, c)) if c or not t else self.by_library([t])[0] for c, t in zip(cut, batch, strict=True)]
         for unit in new[max(0, len(new) - max(0, len(self.known) - PIECES)) :]:
