@@ -21,7 +21,7 @@ _SIDES = f"""one AS (SELECT {_KEYS}, payload_size, CAST(device_id AS VARCHAR) AS
   two AS (SELECT {_KEYS}, payload_size * 2 AS payload_size, CAST(NULL AS VARCHAR) AS uri, 200 AS status, packet_id AS seq FROM packets WHERE packet_id % 3 <> 1)"""
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def decoder_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = packets(spark, sf_dir)
     keys = ["ts", *assembly.FIVE_TUPLE]
     null_int = F.lit(None).cast("int").alias("status")
@@ -39,14 +39,14 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 )
 def decoder_merge_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-86, OP-111."""
-    out = assembly.merge_records(*_sides(spark, sf_dir), ["uri", "status", "payload_size"], ["seq"])
+    out = assembly.merge_records(*decoder_sides(spark, sf_dir), ["uri", "status", "payload_size"], ["seq"])
     return out.select("ts", "source_ip", "uri", "status", "payload_size", "side")
 
 
 @query(f"WITH {PACKETS_SQL}, {_SIDES} SELECT protocol, count(*) AS n, CAST(sum(payload_size) AS BIGINT) AS bytes FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY protocol")
 def decoder_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-130, OP-213."""
-    one, two = _sides(spark, sf_dir)
+    one, two = decoder_sides(spark, sf_dir)
     return one.unionByName(two).groupBy("protocol").agg(F.count("*").alias("n"), F.sum("payload_size").alias("bytes"))
 
 
