@@ -117,3 +117,59 @@ def degradation(baseline: DataFrame, current: DataFrame, threshold: float = 0.1)
     drop = (F.col("base") - F.col("now")) / F.col("base")
     both = baseline.withColumnRenamed("value", "base").join(current.withColumnRenamed("value", "now"), ["model", "metric"])
     return both.where(F.col("base") > 0).withColumn("relative_drop", drop).where(F.col("relative_drop") > threshold)
+
+
+# --- from sketches ---------------------------------------------------------------
+
+#: Size of the quantile sketches and the error of their ranks (the library's for
+#: this size, with 99 % confidence); points at which two of them are compared.
+SKETCH_K, RANK_ERROR, POINTS = 400, 0.0075, 200
+
+
+def quantile_sketches(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Keys, column, n and a mergeable KLL sketch of each column's values: all
+    columns in one pass. Kept as rows, these are baselines by window."""
+    parts = df.groupBy(*keys).agg(*(F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH_K)).alias(f"_s{k}") for k, c in enumerate(columns)), *(F.count(c).alias(f"_n{k}") for k, c in enumerate(columns)))
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_n{k}").alias("n"), F.col(f"_s{k}").alias("sketch")) for k, c in enumerate(columns))))
+    return parts.select(*keys, rows.alias("r")).select(*keys, "r.*").where("n > 0")
+
+
+def united(sketches: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Sketches of several windows as one, by column and ``keys``."""
+    return sketches.groupBy(*(keys or []), "column").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def _quantiles(sketch: str, parts: int) -> Column:
+    return F.kll_sketch_get_quantile_double(sketch, F.array(*(F.lit(k / parts) for k in range(parts + 1))))
+
+
+def _rank(quantiles: Column, v: Column) -> Column:
+    """The share of values up to ``v``, at most 1 / POINTS too low."""
+    return F.greatest(F.size(F.filter(quantiles, lambda q: q <= v)) - 1, F.lit(0)) / POINTS
+
+
+def _both(base: DataFrame, current: DataFrame) -> DataFrame:
+    """column, and of each side the sketch and its quantiles."""
+    sides = [df.select("column", F.col("sketch").alias(n), _quantiles("sketch", POINTS).alias(f"q{n}")) for df, n in ((base, "a"), (current, "b"))]
+    return sides[0].join(sides[1], "column")
+
+
+def sketch_ks(base: DataFrame, current: DataFrame) -> DataFrame:
+    """OP-160 from sketches: column, d, and ``error``, by which it is off the
+    exact distance at most: both rank errors, and one step between the quantiles
+    at which the two are compared."""
+    apart = F.transform(F.array_union("qa", "qb"), lambda v: F.abs(_rank(F.col("qa"), v) - _rank(F.col("qb"), v)))
+    return _both(base, current).select("column", F.array_max(apart).alias("d"), F.lit(2 * RANK_ERROR + 1 / POINTS).alias("error"))
+
+
+def sketch_psi(base: DataFrame, current: DataFrame, bins: int = 10, eps: float = 1e-3) -> DataFrame:
+    """OP-161 from sketches, over bins that each have an equal share of the
+    baseline."""
+    edges = F.array_distinct(F.slice(_quantiles("a", bins), 2, bins - 1))
+
+    def shares(q: str) -> Column:
+        upto = F.concat(F.array(F.lit(0.0)), F.transform("edges", lambda v: _rank(F.col(q), v)), F.array(F.lit(1.0)))
+        return F.zip_with(F.slice(upto, 2, F.size("edges") + 1), F.slice(upto, 1, F.size("edges") + 1), lambda x, y: F.greatest(x - y, F.lit(eps)))
+
+    pairs = F.zip_with(shares("qa"), shares("qb"), lambda p, q: (q - p) * F.ln(q / p))
+    return _both(base, current).withColumn("edges", edges).select("column", F.aggregate(pairs, F.lit(0.0), lambda t, x: t + x).alias("psi"))

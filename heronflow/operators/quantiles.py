@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 PARTS = 64
 
 
-def _part(v: Column, bounds: list[float], first: int = 0) -> Column:
+def bin_number(v: Column, bounds: list[float], first: int = 0) -> Column:
     """How many bounds are below a value: a binary search as nested conditions."""
     if not bounds:
         return F.lit(first)
     middle = len(bounds) // 2
-    return F.when(v <= bounds[middle], _part(v, bounds[:middle], first)).otherwise(_part(v, bounds[middle + 1 :], first + middle + 1))
+    return F.when(v <= bounds[middle], bin_number(v, bounds[:middle], first)).otherwise(bin_number(v, bounds[middle + 1 :], first + middle + 1))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, dict[float, float | None]]:
@@ -31,7 +31,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> d
     cuts = df.agg(*(F.percentile_approx(F.col(c).cast("double"), [k / PARTS for k in range(1, PARTS)], 10 * PARTS).alias(f"_{k}") for k, c in enumerate(columns))).first()
     bounds = [sorted(set(cuts[k] or [])) for k in range(len(columns))]
     value = [F.col(f"`{c}`").cast("double") for c in columns]
-    part = [_part(v, b) for b, v in zip(bounds, value, strict=True)]
+    part = [bin_number(v, b) for b, v in zip(bounds, value, strict=True)]
     rows = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), p.alias("part"), v.alias("v")) for k, (p, v) in enumerate(zip(part, value, strict=True))))).alias("r")).select("r.*").where("v is not null")
     counts = rows.groupBy("k", "part", "v").agg(F.count("*").alias("n"))
     totals = counts.groupBy("k", "part").agg(F.sum("n").alias("n"))
