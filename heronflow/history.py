@@ -15,14 +15,18 @@ from heronflow import drift
 RECENT_DAYS = {"observations": 7, "alerts": 1, "metrics": 1, "history": 7, "drift_alerts": 30}
 
 
+def is_recent(as_of: Column, days: float, time: str = "ts") -> Column:
+    return F.col(time) > as_of - F.make_dt_interval(F.lit(int(days)), F.lit(0), F.lit(0), F.lit((days % 1) * 86_400))
+
+
 def recent(df: DataFrame, as_of: Column, days: float, time: str = "ts") -> DataFrame:
     """OP-51: rows after ``days`` before ``as_of``."""
-    return df.where(F.col(time) > as_of - F.make_dt_interval(F.lit(int(days)), F.lit(0), F.lit(0), F.lit((days % 1) * 86_400)))
+    return df.where(is_recent(as_of, days, time))
 
 
 def expired(df: DataFrame, as_of: Column, days: float, time: str = "ts") -> DataFrame:
     """OP-157, OP-235: the rows that a clean-up of the same age takes away."""
-    return df.exceptAll(recent(df, as_of, days, time))
+    return df.where(~F.coalesce(is_recent(as_of, days, time), F.lit(False)))
 
 
 def without_device(profiles: DataFrame, device_id) -> DataFrame:

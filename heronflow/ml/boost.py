@@ -5,25 +5,35 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronflow.ml.preprocess import categorical_columns
+
 
 def boosted(train: DataFrame, columns: list[str], label: str, categorical: list[str] | None = None, rounds: int = 20, depth: int = 4):
-    """A fitted pipeline; a fifth of the rows (by hash) stops it early."""
-    index = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical or []]
-    parts = [*columns, *(f"{c}__i" for c in categorical or [])]
-    rows = train.withColumn("_hold", F.pmod(F.xxhash64(*columns), F.lit(5)) == 0)
-    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, validationIndicatorCol="_hold", seed=42)
+    """A fitted pipeline; a fifth of the rows (by hash) stops it early. Columns
+    of text and booleans, and whole numbers of few values, are taken as
+    categories; ``categorical`` adds to them."""
+    found = categorical_columns(train, columns)
+    columns, categorical = [c for c in columns if c not in found], sorted({*found, *(categorical or [])})
+    train = train.withColumns({c: F.col(c).cast("string") for c in categorical})
+    index = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical]
+    parts = [*columns, *(f"{c}__i" for c in categorical)]
+    rows = train.withColumn("_hold", F.pmod(F.xxhash64(*columns, *categorical), F.lit(5)) == 0)
+    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, maxBins=128, stepSize=0.1, validationIndicatorCol="_hold", seed=42)
     return Pipeline(stages=[*index, VectorAssembler(inputCols=parts, outputCol="_x", handleInvalid="keep"), model]).fit(rows)
 
 
 def probability(model, df: DataFrame, name: str = "score") -> DataFrame:
     """``df`` with the probability of class 1."""
-    out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
-    return out.select(*df.columns, name)
+    texts = {s.getInputCol(): F.col(s.getInputCol()).cast("string") for s in model.stages if isinstance(s, StringIndexerModel)}
+    names = {c: f"_kept_{c}" for c in texts}
+    rows = df.withColumns({n: F.col(c) for c, n in names.items()}).withColumns(texts) if texts else df
+    out = model.transform(rows).withColumn(name, vector_to_array("probability")[1])
+    return out.select(*(F.col(names.get(c, c)).alias(c) for c in df.columns), name)
 
 
 def components(base: DataFrame, column: str, k: int = 3):

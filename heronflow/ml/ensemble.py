@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronflow.ml import evaluate, forest
+from heronflow.operators.quantiles import exact_quantiles
+from heronflow.sources.checkpoints import stored
 
 #: Columns of a flow that are no features.
 NO_FEATURES = ("flow_id", "ts", "device_id", "source_ip", "destination_ip", "tcp_flags")
@@ -58,16 +60,26 @@ def chosen_models(production: dict[str, str], canary: dict[str, str]) -> dict[st
     return production | {k: v for k, v in canary.items() if k in production}
 
 
+#: A tree's share of the rows is one of so many: what a forest sees does not grow with the table.
+TREE_ROWS = 320
+
+
 def forests(df: DataFrame, id_column: str, columns: list[str], trees: int | None = None) -> list[tuple[float, list[str], DataFrame]]:
     """OP-259: contamination, columns and nodes of one forest a configuration;
-    ``trees`` overrides their numbers."""
+    ``trees`` overrides their numbers. A tree sees the configuration's share of
+    :data:`TREE_ROWS` rows."""
     out = []
-    for k, (contamination, n, _, share) in enumerate(CONFIGURATIONS):
-        mine = sorted(columns, key=lambda c: hash_order(c, k))[: max(1, round(share * len(columns)))]
-        out.append((contamination, mine, forest.fit(df, id_column, mine, trees=trees or n, seed=42 + k)))
+    for k, (contamination, n, rows, share) in enumerate(CONFIGURATIONS):
+        mine = columns_of(columns, share, k)
+        out.append((contamination, mine, forest.fit_by_hash(df, id_column, mine, trees=trees or n, sample=round(rows * TREE_ROWS), seed=42 + k)))
     return out
 
 
+def columns_of(columns: list[str], share: float, seed: int) -> list[str]:
+    """A forest's share of the columns, drawn by hash."""
+    return sorted(columns, key=lambda c: hash_order(c, seed))[: max(1, round(share * len(columns)))]
+
+
 def hash_order(name: str, seed: int) -> int:
     from zlib import crc32
 
@@ -80,9 +92,10 @@ def majority(df: DataFrame, made: list[tuple[float, list[str], DataFrame]]) -> D
     out = df
     for k, (_, columns, nodes) in enumerate(made):
         out = forest.score(out, columns, nodes, f"_s{k}")
-    cuts = out.agg(*(F.percentile_approx(f"_s{k}", 1 - c, 10_000).alias(f"_c{k}") for k, (c, *_) in enumerate(made)))
-    votes = [(F.col(f"_s{k}") >= F.col(f"_c{k}")).cast("int") for k in range(len(made))]
-    return out.crossJoin(F.broadcast(cuts)).select(*df.columns, evaluate.vote(votes).alias("is_anomaly"))
+    out = stored(out)  # cuts and votes read the scores, which are computed once
+    cuts = exact_quantiles(out, [f"_s{k}" for k in range(len(made))], sorted({1 - c for c, *_ in made}))
+    votes = [(F.col(f"_s{k}") >= F.lit(cuts[f"_s{k}"][1 - c])).cast("int") for k, (c, *_) in enumerate(made)]
+    return out.select(*df.columns, evaluate.vote(votes).alias("is_anomaly"))
 
 
 def save_forest(nodes: DataFrame, columns: list[str], folder: str) -> None:

@@ -7,12 +7,13 @@ a vectorised function.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NODES = "tree int, node int, feature int, threshold double, size int"
@@ -62,6 +63,52 @@ def fit(df: DataFrame, id_column: str, columns: list[str], trees: int = 100, sam
     return dealt.drop("_k").groupBy("tree").applyInPandas(one, NODES)
 
 
+def _draw(*parts) -> Column:
+    """A number from 0 to 2^32 - 1 by the hash of texts or numbers."""
+    return F.conv(F.substring(F.md5(F.concat_ws("#", *(p if isinstance(p, Column) else F.lit(str(p)) for p in parts))), 1, 8), 16, 10).cast("bigint")
+
+
+def _drawn(*parts: object) -> int:
+    return int(hashlib.md5("#".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def grow_by_hash(x: np.ndarray, tree: int, sample: int, seed: int) -> list[tuple[int, int, int, float, int]]:
+    """tree, node, feature, threshold, size: the feature of a node is the one of
+    least hash among those with a range, and its threshold a share of the range."""
+    limit, out, queue = max(1, math.ceil(math.log2(max(2, sample)))), [], [(1, np.arange(len(x)), 0)]
+    while queue:
+        node, rows, depth = queue.pop()
+        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+        free = np.flatnonzero(high > low).tolist()
+        if depth >= limit or len(rows) < 2 or not free:
+            out.append((tree, node, -1, 0.0, len(rows)))
+            continue
+        feature = min(free, key=lambda k: (_drawn(seed, tree, node, f"c{k}"), k))
+        at = float(low[feature] + _drawn(seed, tree, node, "at") / 2**32 * (high[feature] - low[feature]))
+        out.append((tree, node, feature, at, len(rows)))
+        above = x[rows, feature] > at
+        queue += [(2 * node, rows[~above], depth + 1), (2 * node + 1, rows[above], depth + 1)]
+    return out
+
+
+def fit_by_hash(df: DataFrame, id_column: str, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """Nodes of a forest in which every draw is a hash: the same rows give the
+    same forest on any cluster, and SQL can grow it too.
+
+    Rows are drawn by their id's hash, each for one tree (small tables: fewer
+    than ``sample`` a tree); what is shuffled is trees * sample rows.
+    """
+    share = min(1.0, trees * sample / max(1, df.count()))
+    picked = df.where(_draw(seed, F.col(id_column)) < F.lit(share) * 2**32)
+    tree = (_draw(seed, "tree", F.col(id_column)) % trees).cast("int").alias("tree")
+    rows = picked.select(tree, F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns)).alias("x"))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(grow_by_hash(np.stack(part["x"].to_numpy()), int(part["tree"].iloc[0]), sample, seed), columns=["tree", "node", "feature", "threshold", "size"])
+
+    return rows.groupBy("tree").applyInPandas(one, NODES)
+
+
 class Forest:
     def __init__(self, nodes: pd.DataFrame):
         self.trees = []

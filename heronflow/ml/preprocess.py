@@ -3,7 +3,7 @@ OP-220). One aggregate over all columns at a time."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronflow.operators.quantiles import exact_quantiles, joined_literals
@@ -103,3 +103,48 @@ def split(df: DataFrame, column: str, shares: dict[str, int], seed: int = 42) ->
         upto += n
         out = F.when(slot < upto, name) if out is None else out.when(slot < upto, name)
     return df.withColumn("part", out)
+
+
+class Preprocessor:
+    """OP-220: what scaling and imputation need, fitted once, kept as a table
+    (feature, middle, centre, span) and applied to any rows: null becomes the
+    median, then values are shifted and divided as :func:`scaled` does."""
+
+    def __init__(self, fitted: dict[str, tuple[float, float, float]]) -> None:
+        self.fitted = fitted
+
+    @classmethod
+    def fit(cls, df: DataFrame, columns: list[str], kind: str = "robust") -> Preprocessor:
+        q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+        if kind == "robust":
+            sides = {c: (q[c][0.5], q[c][0.75] - q[c][0.25] if q[c][0.5] is not None else None) for c in columns}
+        else:
+            centre, span = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c))}[kind]
+            row = df.agg(*(f(F.col(c)).cast("double").alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("a", centre), ("b", span)))).first()
+            sides = {c: (row[f"a{k}"], row[f"b{k}"]) for k, c in enumerate(columns)}
+        return cls({c: (q[c][0.5] or 0.0, sides[c][0] or 0.0, sides[c][1] or 1.0) for c in columns})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.lit(m)) - F.lit(a)) / F.lit(b) for c, (m, a, b) in self.fitted.items()})
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        rows = [(c, *v) for c, v in self.fitted.items()]
+        spark.createDataFrame(rows, "feature string, middle double, centre double, span double").coalesce(1).write.mode("overwrite").parquet(folder)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Preprocessor:
+        return cls({r.feature: (r.middle, r.centre, r.span) for r in spark.read.parquet(folder).collect()})
+
+
+def categorical_columns(df: DataFrame, columns: list[str], most: int = 50) -> list[str]:
+    """OP-142: columns of text or booleans, and whole numbers of at most ``most``
+    different values, counted in one pass of sketches and then exactly."""
+    kinds = dict(df.select(*columns).dtypes)
+    plain = [c for c in columns if kinds[c] in ("string", "boolean")]
+    whole = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint")]
+    if not whole:
+        return plain
+    near = df.agg(*(F.approx_count_distinct(c, 0.05).alias(c) for c in whole)).first()
+    few = [c for c in whole if near[c] <= 2 * most]
+    exact = df.agg(*(F.count_distinct(c).alias(c) for c in few)).first() if few else {}
+    return [c for c in columns if c in plain or (c in few and exact[c] <= most)]

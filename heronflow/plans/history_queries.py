@@ -11,6 +11,7 @@ from heronflow.ml import ensemble, evaluate, preprocess
 from heronflow.operators import ranking
 from heronflow.plans.catalog import query
 from heronflow.plans.feature_queries import _r, rounded
+from heronflow.plans.ml_queries import forest_sql
 from heronflow.plans.ops_queries import _HALVES, _halves, _registry, _sql_bins, _VERSIONS_SQL
 from heronflow.plans.scoring import SCORED_SQL, all_detections
 from heronflow.sources import sinks
@@ -27,10 +28,9 @@ def _now() -> Column:
 @query(f"WITH {PACKETS_SQL} SELECT count(*) FILTER (ts > TIMESTAMP '2024-01-18') AS observations, count(*) FILTER (ts > TIMESTAMP '2024-01-24') AS alerts, count(*) FILTER (NOT ts > TIMESTAMP '2024-01-18') AS expired FROM packets")
 def recent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-51, OP-157, OP-235: what is recent at a given time, and what is not."""
-    rows = packets(spark, sf_dir).select("packet_id", "ts")
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = [n(history.recent(rows, _now(), history.RECENT_DAYS[k]), k) for k in ("observations", "alerts")]
-    return parts[0].crossJoin(parts[1]).crossJoin(n(history.expired(rows, _now(), 7), "expired"))
+    rows = packets(spark, sf_dir)
+    of = {k: history.is_recent(_now(), history.RECENT_DAYS[k]) for k in ("observations", "alerts")}
+    return rows.agg(*(F.count_if(c).alias(k) for k, c in of.items()), F.count_if(~F.coalesce(of["observations"], F.lit(False))).alias("expired"))
 
 
 @query(f"WITH {SCORED_SQL} SELECT severity, count(*) AS n FROM scored WHERE threat_score > 0.3 GROUP BY severity")
@@ -122,7 +122,7 @@ def baselines_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS model, count(*) AS n, round(avg(value), 4) AS mean FROM events WHERE ts > TIMESTAMP '2024-01-18' GROUP BY event_type")
 def performance_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-85, OP-169: measurements added in two parts, and the recent ones."""
+    """OP-169: measurements added in two parts, and the recent ones."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("model"), "value", F.col("ts").cast("string").alias("ts"), "event_id")
     folder = new_folder(spark, "history")
     for part in (0, 1):
@@ -156,19 +156,30 @@ def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(one == 1).alias("positive"))
 
 
-@query(f"WITH {FLOWS_SQL} SELECT count(*) AS n, true AS some, true AS restored, 1.0::DOUBLE AS importance FROM flows")
+_FOREST_COLUMNS = ["bytes_sent", "bytes_received", "packets_sent", "duration_ms"]
+
+
+def _ensemble_sql(trees: int) -> str:
+    parts, votes = [], []
+    for k, (c, _, rows, share) in enumerate(ensemble.CONFIGURATIONS):
+        mine = ensemble.columns_of(_FOREST_COLUMNS, share, k)
+        parts.append(forest_sql(f"f{k}", mine, trees, round(rows * ensemble.TREE_ROWS), 42 + k))
+        votes.append(f"CAST(f{k}_score.score >= (SELECT quantile_cont(score, {1 - c!r}) FROM f{k}_score) AS INT)")
+    joined = "f0_score " + " ".join(f"JOIN f{k}_score USING (copy)" for k in range(1, len(votes)))
+    return f"WITH {FLOWS_SQL}, {', '.join(parts)} SELECT count(*) AS n, count(*) FILTER (({' + '.join(votes)}) / {len(votes)} >= 0.5) AS anomalies, true AS restored, 1.0::DOUBLE AS importance FROM {joined}"
+
+
+@query(_ensemble_sql(10))
 def forest_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-223, OP-259: five forests vote; one is saved and loaded again."""
-    columns = ["bytes_sent", "bytes_received", "packets_sent", "duration_ms"]
-    rows = flows(spark, sf_dir).select("flow_id", *columns)
-    made = ensemble.forests(rows, "flow_id", columns, trees=10)
+    rows = flows(spark, sf_dir).select("flow_id", *_FOREST_COLUMNS)
+    made = ensemble.forests(rows, "flow_id", _FOREST_COLUMNS, trees=10)
     folder = new_folder(spark, "forest")
     ensemble.save_forest(made[0][2], made[0][1], folder)
     names, nodes = ensemble.load_forest(spark, folder)
     voted = ensemble.majority(rows, [(made[0][0], names, nodes), *made[1:]])
     share = ensemble.importance(nodes, names).agg(F.round(F.sum("importance"), 6).alias("importance"))
-    some = (F.avg("is_anomaly") > 0.01) & (F.avg("is_anomaly") < 0.3)
-    return voted.agg(F.count("*").alias("n"), some.alias("some")).withColumn("restored", F.lit(names == made[0][1])).crossJoin(share)
+    return voted.agg(F.count("*").alias("n"), F.count_if(F.col("is_anomaly") == 1).alias("anomalies")).withColumn("restored", F.lit(names == made[0][1])).crossJoin(share)
 
 
 @query(f"WITH {PACKETS_SQL} SELECT count(*) FILTER (packet_id % 4 = 0 OR packet_id % 9 = 0) AS quarantined, count(*) AS n FROM packets")
@@ -179,14 +190,18 @@ def features_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count_if(preprocess.invalid(["a", "b"])).alias("quarantined"), F.count("*").alias("n"))
 
 
-@query(f"WITH {_VERSIONS_SQL} SELECT model, version, CASE WHEN model = 'forest' AND version = '1.10.0' THEN 'production' WHEN model = 'forest' AND stage = 'production' THEN 'archived' WHEN model = 'boost' AND stage = 'production' THEN 'archived' WHEN model = 'boost' AND version = '2.0.0' THEN 'production' ELSE stage END AS stage FROM v WHERE version <> '0.9.9' UNION ALL VALUES ('gru', '0.1.0', 'staging')")
+@query(
+    f"""WITH {_VERSIONS_SQL} SELECT model, version, CASE WHEN model = 'click' AND version = '1.10.0' THEN 'production' WHEN model IN ('click', 'view') AND stage = 'production' THEN 'archived' WHEN model = 'view' AND version = '2.8.0' THEN 'production' ELSE stage END AS stage
+    FROM v WHERE NOT (model = 'click' AND version = '0.9.1') UNION ALL SELECT DISTINCT 'new ' || event_type, '0.1.0', 'staging' FROM events"""
+)
 def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-148, OP-227, OP-228: a promotion, a rollback, a version added, one
     that is taken, one deleted and one that is protected."""
-    now = _registry(spark)
-    new = spark.createDataFrame([("gru", "0.1.0", "staging", 10), ("forest", "1.2.0", "staging", 11)], now.schema)
-    now = registry.rolled_back(registry.promoted(registry.registered(now, new), "forest", "1.10.0"), "boost")
-    now = registry.without_version(registry.without_version(now, "forest", "0.9.9"), "forest", "1.10.0")
+    now = _registry(spark, sf_dir)
+    new = now.where("day = 1").select(F.concat(F.lit("new "), "model").alias("model"), F.lit("0.1.0").alias("version"), F.lit("staging").alias("stage"), "day")
+    taken = now.where("day = 5").withColumn("stage", F.lit("staging"))
+    now = registry.rolled_back(registry.promoted(registry.registered(now, new.union(taken)), "click", "1.10.0"), "view")
+    now = registry.without_version(registry.without_version(now, "click", "0.9.1"), "click", "1.10.0")
     return now.select("model", "version", "stage")
 
 
@@ -194,7 +209,7 @@ def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-226, OP-229 to OP-231: a registry file read back, what its artifacts
     lack, and which versions go with 2.3.4."""
-    rows = _registry(spark).withColumn("artifact", F.format_string("a%d", "day"))
+    rows = _registry(spark, sf_dir).withColumn("artifact", F.format_string("a%d", "day"))
     entry = F.struct("stage", "artifact", F.map_from_arrays(F.array(F.lit("day")), F.array(F.col("day").cast("double"))).alias("metrics"))
     versions = rows.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("version", entry))).alias("versions"))
     folder = new_folder(spark, "registry")

@@ -225,7 +225,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS priority, count(*) FILTER (value <= 300) AS delivered, count(*) FILTER (value > 300) AS buffered, sum(greatest(0, event_id % 3 - 1))::BIGINT AS retries FROM events GROUP BY event_type")
 def sent_with_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-83, OP-251: receipts, and what failed goes to the buffer."""
+    """OP-251: receipts, and what failed goes to the buffer."""
     rows = _messages(spark, sf_dir)
     k = F.col("message_id").cast("bigint")
     receipts, buffered = transport.sent(rows, F.col("payload.value") <= 300, k % 3)
@@ -236,7 +236,7 @@ def sent_with_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT codec, count(*) AS n, true AS same FROM events, (SELECT unnest(['bz2', 'gzip', 'zlib']) AS codec) GROUP BY codec")
 def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-81, OP-249: values that come back whole from each codec."""
+    """OP-249: values that come back whole from each codec."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("props").cast("binary").alias("data"))
     parts = [rows.select(F.lit(c).alias("codec"), (sinks.decompressed(sinks.compressed(F.col("data"), c), c) == F.col("data")).alias("same")) for c in sorted(sinks.CODECS)]
     return parts[0].union(parts[1]).union(parts[2]).groupBy("codec").agg(F.count("*").alias("n"), F.every("same").alias("same"))
@@ -244,7 +244,7 @@ def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, value FROM events WHERE ('0x' || substr(md5(CAST(event_id AS VARCHAR) || '#0'), 1, 8))::BIGINT / 4294967296.0 < 0.25")
 def compressed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-82, OP-197."""
+    """OP-197."""
     made = sinks.compress_and_sample(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value"), "event_id", 0.25, "zlib")
     return made.select(F.from_json(sinks.decompressed(F.col("data"), "zlib").cast("string"), "event_id bigint, value double").alias("r")).select("r.*")
 

@@ -11,6 +11,7 @@ from heronflow.operators import ranking, relational
 from heronflow.plans.catalog import query
 from heronflow.plans.feature_queries import NUDGE, _r, rounded
 from heronflow.plans.scoring import SCORED_SQL, all_detections
+from heronflow.sources.checkpoints import stored
 from heronflow.sources.fixtures import FLOWS_SQL, PACKETS_SQL, flows, packets
 
 # --- joins and sets -----------------------------------------------------------
@@ -163,24 +164,28 @@ def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.top_entries(all_detections(spark, sf_dir).select("flow_id", both.alias("m")), "m", 2, "feature", "importance"))
 
 
-_VERSIONS = [("forest", "1.2.0", "production", 5), ("forest", "1.10.0", "staging", 9), ("forest", "1.9.3", "archived", 7), ("forest", "0.9.9", "archived", 1), ("boost", "2.0.1", "production", 3), ("boost", "2.0.0", "archived", 2), ("boost", "10.0.0", "staging", 8)]
-_VERSIONS_SQL = "v(model, version, stage, day) AS (VALUES " + ", ".join(map(str, _VERSIONS)) + "), n AS (SELECT *, [CAST(x AS INT) FOR x IN string_split(version, '.')] AS k FROM v)"
+#: Versions of a model for each event type: twelve, of which 1.10.0 comes after 1.7.1.
+_VERSIONS_SQL = """v AS (SELECT event_type AS model, concat_ws('.', e % 3, e, e % 2) AS version, CASE e WHEN 5 THEN 'production' WHEN 2 THEN 'archived' WHEN 8 THEN 'archived' ELSE 'staging' END AS stage, e AS day, n
+    FROM (SELECT event_type, event_id % 12 AS e, count(*) AS n FROM events GROUP BY ALL)), n AS (SELECT *, [CAST(x AS INT) FOR x IN string_split(version, '.')] AS k FROM v)"""
 
 
-def _registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_VERSIONS, "model string, version string, stage string, day int")
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("model"), (F.col("event_id") % 12).cast("int").alias("day")).count().drop("count")
+    e = F.col("day")
+    stage = F.when(e == 5, "production").when(e.isin(2, 8), "archived").otherwise("staging")
+    return rows.select("model", F.concat_ws(".", e % 3, e, e % 2).alias("version"), stage.alias("stage"), "day")
 
 
 @query(f"WITH {_VERSIONS_SQL} SELECT model, version, stage FROM n QUALIFY row_number() OVER (PARTITION BY model ORDER BY k DESC) = 1")
 def registry_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-121, OP-224."""
-    return ranking.latest_versions(_registry(spark), 1).select("model", "version", "stage")
+    return ranking.latest_versions(_registry(spark, sf_dir), 1).select("model", "version", "stage")
 
 
 @query(f"WITH {_VERSIONS_SQL} SELECT model, version FROM n QUALIFY NOT (row_number() OVER (PARTITION BY model ORDER BY k DESC) > 2 AND stage <> 'production')")
 def registry_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-122: keep the two newest and what is in production."""
-    return ranking.cleaned_up(_registry(spark), 2, ["production"]).select("model", "version")
+    return ranking.cleaned_up(_registry(spark, sf_dir), 2, ["production"]).select("model", "version")
 
 
 # --- events and alerts ----------------------------------------------------------
@@ -355,15 +360,15 @@ def drift_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drift.chi_square(rows.where("p_size < 20"), rows.where("p_size >= 25")))
 
 
-_METRICS = [("forest", "accuracy", 0.9, 0.85), ("forest", "f1", 0.8, 0.6), ("boost", "accuracy", 0.99, 0.7), ("boost", "detection_rate", 0.5, 0.49), ("gru", "f1", 0.0, 0.0)]
+_METRICS_SQL = "m AS (SELECT event_type AS model, 'value of ' || user_id % 40 AS metric, avg(value) FILTER (event_id % 2 = 0) AS base, avg(value) FILTER (event_id % 2 = 1) AS now FROM events GROUP BY ALL)"
 
 
-@query("WITH m(model, metric, base, now) AS (VALUES " + ", ".join(map(str, _METRICS)) + f") SELECT model, metric, {_r('(base - now) / base', 'relative_drop')} FROM m WHERE base > 0 AND (base - now) / base > 0.1")
+@query(f"WITH {_METRICS_SQL} SELECT model, metric, {_r('(base - now) / base', 'relative_drop')} FROM m WHERE base > 0 AND (base - now) / base > 0.1")
 def perf_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-147."""
-    rows = spark.createDataFrame(_METRICS, "model string, metric string, base double, now double")
-    pick = lambda c: rows.select("model", "metric", F.col(c).alias("value"))
-    return rounded(drift.degradation(pick("base"), pick("now")).select("model", "metric", "relative_drop"))
+    """OP-147: metrics stored of two periods, and those that fell."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("metric", F.concat(F.lit("value of "), F.col("user_id") % 40))
+    of = lambda half: events.where(F.col("event_id") % 2 == half).groupBy(F.col("event_type").alias("model"), "metric").agg(F.avg("value").alias("value"))
+    return rounded(drift.degradation(stored(of(0)), stored(of(1))).select("model", "metric", "relative_drop"))
 
 
 # --- sampling and sketches --------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronflow import sampling
 from heronflow.plans.catalog import query
 from heronflow.sources import logs, transport
 from heronflow.sources.checkpoints import new_folder
@@ -106,3 +107,12 @@ def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     build = lambda p: streams.cooled_down(p.where("large or device_id < 0").withColumn("device", F.col("device_id").cast("string")), "device", 3 * 24 * 60, "40 days")
     out = _streamed(spark, sf_dir, build, "append").where("device <> '-1'")
     return out.select("device", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"))
+
+
+@query(f"""WITH {PACKETS_SQL}, l AS (SELECT *, (packet_id % 100) / 100.0 AS level, payload_size % 5 AS priority FROM packets)
+  SELECT priority, count(*) AS offered, count(*) FILTER (level < 0.8 OR (level < 0.95 AND (priority >= 2 OR ('0x' || substr(md5(CAST(packet_id AS VARCHAR) || '#0'), 1, 8))::BIGINT / 4294967296.0 < 0.5)) OR priority >= 3) AS taken FROM l GROUP BY ALL""")
+def queue_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-198: between the marks half of low priority is taken."""
+    rows = packets(spark, sf_dir).withColumns({"level": (F.col("packet_id") % 100) / 100.0, "priority": F.col("payload_size") % 5})
+    kept = streams.keep_under_load(F.col("level"), F.col("priority"), F.col("packet_id"), chance=sampling.uniform("packet_id"))
+    return rows.groupBy("priority").agg(F.count("*").alias("offered"), F.count_if(kept).alias("taken"))

@@ -10,7 +10,7 @@ from heronflow.plans.catalog import query
 from heronflow.plans.feature_queries import _r, rounded
 from heronflow.plans.ops_queries import _HALVES, _halves, _sql_bins
 from heronflow.plans.scoring import SCORED_SQL, scored_flows
-from heronflow.sources import sinks
+from heronflow.sources import sinks, transport
 from heronflow.sources.fixtures import FLOWS_SQL, PACKETS_SQL, flows, packets
 
 
@@ -125,3 +125,30 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronflow.plans.scoring import all_detections
 
     return all_detections(spark, sf_dir).where("severity = 'CRITICAL'").select("flow_id", sinks.notification().alias("message"))
+
+
+@query("""WITH r AS (SELECT event_type AS codec, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS original, CAST(sum(octet_length(encode(props))) AS BIGINT) AS compressed, count(*) / 100.0 AS seconds, user_id % 7 AS run FROM events GROUP BY ALL),
+  t AS (SELECT *, original / greatest(1, compressed) AS r, original / greatest(1e-9, seconds) AS s FROM r)
+  SELECT run, arg_max(codec, {'a': r, 'b': codec}) AS by_ratio, arg_max(codec, {'a': s, 'b': codec}) AS by_speed, round(max(r), 6) AS best_ratio FROM t GROUP BY run""")
+def codec_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-81: the best codec of each of seven runs, by ratio and by speed."""
+    size, time = F.sum(F.floor(F.col("value") * 100)), F.count("*") / 100.0
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy((F.col("user_id") % 7).alias("run"), F.col("event_type").alias("codec")).agg(size.alias("original"), F.sum(F.octet_length("props")).alias("compressed"), time.alias("seconds"))
+    ratio, speed = (sinks.best_codec(rows, by, ["run"]) for by in ("ratio", "speed"))
+    return ratio.select("run", F.col("codec").alias("by_ratio"), F.round("best_ratio", 6).alias("best_ratio")).join(speed.select("run", F.col("codec").alias("by_speed")), "run")
+
+
+@query("SELECT event_type, round(count(*) FILTER (('0x' || substr(md5(CAST(event_id AS VARCHAR) || '#0'), 1, 8))::BIGINT / 4294967296.0 < 0.25) / count(*), 6) AS actual_rate FROM events GROUP BY event_type")
+def sampling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-82: the share that a sample of a quarter did take, by type."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    out = sampling.actual_rate(rows, sampling.uniform("event_id") < 0.25, ["event_type"])
+    return out.select("event_type", F.round("actual_rate", 6).alias("actual_rate"))
+
+
+@query("SELECT round(avg(value), 6) AS avg_latency_ms, round(sum(event_id % 3) / count(*), 6) AS retry_rate, count(*) FILTER (value <= 300) AS delivered FROM events")
+def transport_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-83: latency and retries of all receipts."""
+    receipts = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("value").alias("latency_ms"), (F.col("event_id") % 3).alias("retries"), (F.col("value") <= 300).alias("delivered"))
+    out = transport.transport_statistics(receipts)
+    return out.select(F.round("avg_latency_ms", 6).alias("avg_latency_ms"), F.round("retry_rate", 6).alias("retry_rate"), "delivered")

@@ -70,6 +70,6 @@ def adaptive_rate(rate: Column, load: Column, low: float = 0.01, high: float = 1
     return F.greatest(F.lit(low), F.least(F.lit(high), changed))
 
 
-def actual_rate(df: DataFrame, sampled: Column) -> DataFrame:
+def actual_rate(df: DataFrame, sampled: Column, keys: list[str] | None = None) -> DataFrame:
     """OP-82."""
-    return df.agg((F.count_if(sampled) / F.count("*")).alias("actual_rate"))
+    return df.groupBy(*(keys or [])).agg((F.count_if(sampled) / F.count("*")).alias("actual_rate"))

@@ -63,13 +63,13 @@ def each_batch(*steps: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
     return run
 
 
-def best_codec(results: DataFrame, by: str = "ratio") -> DataFrame:
+def best_codec(results: DataFrame, by: str = "ratio", keys: list[str] | None = None) -> DataFrame:
     """OP-81: of codec, original, compressed, seconds: the best by ratio, speed,
     or both."""
     r = F.col("original") / F.greatest(F.lit(1), F.col("compressed"))
     speed = F.col("original") / F.greatest(F.lit(1e-9), F.col("seconds"))
     score = {"ratio": r, "speed": speed, "balance": r * F.ln(1 + speed)}[by]
-    return results.agg(F.max_by("codec", F.struct(score, F.col("codec"))).alias("codec"), F.max(r).alias("best_ratio"))
+    return results.groupBy(*(keys or [])).agg(F.max_by("codec", F.struct(score, F.col("codec"))).alias("codec"), F.max(r).alias("best_ratio"))
 
 
 #: The library function of each codec.

@@ -83,11 +83,11 @@ def running_profiles(observed: DataFrame) -> DataFrame:
     return observed.groupBy("device_id").agg(F.count("*").alias("observations"), F.sum("payload_size").alias("bytes"), F.max("ts").alias("last_seen"))
 
 
-def keep_under_load(level: Column, priority: Column, item: Column, high: float = 0.8, full: float = 0.95, rate: float = 0.5) -> Column:
+def keep_under_load(level: Column, priority: Column, item: Column, high: float = 0.8, full: float = 0.95, rate: float = 0.5, chance: Column | None = None) -> Column:
     """OP-198: what a queue of fill ``level`` takes: everything below ``high``;
-    from there a share ``rate`` of the priorities under 2, told by a hash; from
-    ``full`` only priorities from 3 on."""
-    share = F.pmod(F.xxhash64(item), F.lit(1_000_000)) < int(rate * 1_000_000)
+    from there a share ``rate`` of the priorities under 2, told by a hash (or by
+    ``chance``, a number from 0 to 1); from ``full`` only priorities from 3 on."""
+    share = F.pmod(F.xxhash64(item), F.lit(1_000_000)) < int(rate * 1_000_000) if chance is None else chance < rate
     return F.when(level >= full, priority >= 3).when(level >= high, (priority >= 2) | share).otherwise(True)
 
 
