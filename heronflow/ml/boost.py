@@ -15,8 +15,7 @@ from heronflow.ml.preprocess import categorical_columns
 
 def boosted(train: DataFrame, columns: list[str], label: str, categorical: list[str] | None = None, rounds: int = 20, depth: int = 4):
     """A fitted pipeline; a fifth of the rows (by hash) stops it early. Columns
-    of text and booleans, and whole numbers of few values, are taken as
-    categories; ``categorical`` adds to them."""
+    of text and booleans are taken as categories; ``categorical`` adds to them."""
     found = categorical_columns(train, columns)
     columns, categorical = [c for c in columns if c not in found], sorted({*found, *(categorical or [])})
     train = train.withColumns({c: F.col(c).cast("string") for c in categorical})

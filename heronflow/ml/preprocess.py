@@ -136,12 +136,13 @@ class Preprocessor:
         return cls({r.feature: (r.middle, r.centre, r.span) for r in spark.read.parquet(folder).collect()})
 
 
-def categorical_columns(df: DataFrame, columns: list[str], most: int = 50) -> list[str]:
-    """OP-142: columns of text or booleans, and whole numbers of at most ``most``
-    different values, counted in one pass of sketches and then exactly."""
+def categorical_columns(df: DataFrame, columns: list[str], most: int = 0) -> list[str]:
+    """OP-142: columns of text or booleans; with ``most`` also whole numbers of
+    at most so many different values, counted in one pass of sketches and then
+    exactly."""
     kinds = dict(df.select(*columns).dtypes)
     plain = [c for c in columns if kinds[c] in ("string", "boolean")]
-    whole = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint")]
+    whole = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint") and most]
     if not whole:
         return plain
     near = df.agg(*(F.approx_count_distinct(c, 0.05).alias(c) for c in whole)).first()

@@ -48,8 +48,8 @@ def test_preprocessor_is_kept(spark, tmp_path):
 
 def test_categories_are_found(spark):
     df = spark.range(3000).selectExpr("id", "cast(id % 5 as int) as few", "cast(id % 2 as string) as text", "id % 3 = 0 as flag", "cast(id as double) / 7 as real", "cast(id % 5 >= 3 as double) as label")
-    assert preprocess.categorical_columns(df, ["id", "few", "text", "flag", "real"]) == ["few", "text", "flag"]
-    assert preprocess.categorical_columns(df, ["real"]) == []
+    assert preprocess.categorical_columns(df, ["id", "few", "text", "flag", "real"], 50) == ["few", "text", "flag"]
+    assert preprocess.categorical_columns(df, ["real", "few", "text"]) == ["text"]
     model = boost.boosted(df, ["few", "text", "flag", "real"], "label", rounds=3, depth=2)
     out = boost.probability(model, df)
     assert out.columns == [*df.columns, "score"] and dict(out.dtypes)["few"] == "int"
