@@ -5,8 +5,9 @@ with A-Z lower-cased. Two things are looked for in every whole text:
 
 * places where the words of a fixed phrase stand consecutively;
 * text blocks that hold at least :data:`CONTAINMENT` of the distinct words of a
-  template, whatever their order; all of one of up to :data:`SHORT` words, of
-  which each counts (``by`` and ``by-nc`` differ in one).
+  template, whatever their order. Licenses that differ in a word or two hold
+  enough of each other: of templates of other labels that share as much of their
+  words, one that the block holds less of than of another gives way to that one.
 
 A block is a run of words of the whole text, line breaks or not. A template of
 up to L words, L a power of two from :data:`LEAST_BLOCK` on, is looked for in
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from heronflow.llm.common import table, texts
 
 CONTAINMENT = 0.8
-LEAST_BLOCK = SHORT = 8
+LEAST_BLOCK = 8
 #: Phrases and their labels.
 PHRASES = {
     "cc by": "cc-by",
@@ -78,6 +79,7 @@ TEMPLATES = [
         http://www.boost.org/LICENSE_1_0.txt""",
     ),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     (
@@ -167,7 +169,7 @@ def block_size(template: str) -> int:
 
 def least_words(n: int, containment: float) -> int:
     """How many of a template's n distinct words a block must hold."""
-    return n if n <= SHORT else ceil(containment * n - 1e-9)
+    return ceil(containment * n - 1e-9)
 
 
 class Templates:
@@ -181,6 +183,8 @@ class Templates:
         self.words = [sorted(self.rank[w] for w in set(words_of(t))) for _, t in templates]
         self.sets = [frozenset(w) for w in self.words]
         self.least = [least_words(len(w), containment) for w in self.words]
+        #: Templates of other labels that hold enough of a template's words.
+        self.rivals = [frozenset(j for j, other in enumerate(self.sets) if self.labels[j] != self.labels[k] and len(mine & other) >= self.least[k]) for k, mine in enumerate(self.sets)]
         self.index: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, (words, least, (_, t)) in enumerate(zip(self.words, self.least, templates, strict=True)):
             mine = self.index.setdefault(block_size(t), {})
@@ -209,7 +213,7 @@ class Templates:
                 both = len(self.sets[k] & held)
                 if both >= self.least[k]:
                     out.append((k, both / len(self.words[k])))
-        return out
+        return [(k, share) for k, share in out if not any(j in self.rivals[k] and other > share for j, other in out)]
 
     def scan(self, words: list[bytes]) -> list[dict]:
         """Templates in the blocks of a text, by size, then place."""
@@ -308,12 +312,14 @@ WITH d AS (
 ), templates(label, p, size) AS (
   VALUES {_sql_templates()}
 ), blocks AS (
-  SELECT row, size, list_distinct(list_slice(ws, k * size + 1, (k + 2) * size)) AS bs
+  SELECT row, size, k, list_distinct(list_slice(ws, k * size + 1, (k + 2) * size)) AS bs
   FROM (SELECT row, ws, size, unnest(range(0, (len(ws) + size - 1) // size)) AS k FROM w, (SELECT DISTINCT size FROM templates))
 ), held AS (
-  SELECT row, label, len(list_intersect(bs, p)) / len(p) AS share FROM blocks JOIN templates USING (size) WHERE len(list_intersect(bs, p)) >= CASE WHEN len(p) <= {SHORT} THEN len(p) ELSE {CONTAINMENT} * len(p) END
+  SELECT row, size, k, label, p, len(list_intersect(bs, p)) / len(p) AS share FROM blocks JOIN templates USING (size) WHERE len(list_intersect(bs, p)) >= {CONTAINMENT} * len(p)
 ), found AS (
-  SELECT row, max(share) AS share, list(DISTINCT label) AS labels FROM held GROUP BY row
+  SELECT row, max(share) AS share, list(DISTINCT label) AS labels FROM held AS h
+  WHERE NOT EXISTS (SELECT 1 FROM held AS o WHERE o.row = h.row AND o.size = h.size AND o.k = h.k AND o.label <> h.label AND o.share > h.share AND len(list_intersect(o.p, h.p)) >= {CONTAINMENT} * len(h.p))
+  GROUP BY row
 )
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, low AS first_word, high AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
