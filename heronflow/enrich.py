@@ -94,11 +94,13 @@ def entered(events: DataFrame, as_of: Column, pipeline: str) -> DataFrame:
     return flows.unionByName(found, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
 
 
-def write_routed(events: DataFrame, folder: str, time: str = "ts") -> None:
-    """OP-33, OP-34: by type and day; critical and high ones also to alerts."""
-    dated = events.withColumn("event_date", F.to_date(time))
-    dated.write.mode("append").partitionBy("event_type", "event_date").parquet(f"{folder}/events")
-    dated.where(F.col("severity").isin("critical", "high")).write.mode("append").partitionBy("event_date").parquet(f"{folder}/alerts")
+def write_routed(events: DataFrame, folder: str, time: str = "ts", batch: int = 0) -> None:
+    """OP-33, OP-34: by route, type and day; critical and high ones also take the
+    route alerts. One write, so both routes are there or neither; a batch that
+    comes again replaces what it has written."""
+    both = F.when(F.col("severity").isin("critical", "high"), F.array(F.lit("events"), F.lit("alerts"))).otherwise(F.array(F.lit("events")))
+    dated = events.withColumns({"event_date": F.to_date(time), "batch": F.lit(batch), "route": both}).withColumn("route", F.explode("route"))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("route", "batch", "event_type", "event_date").parquet(folder)
 
 
 def retention_phase(age_days: Column, warm: int, cold: int, delete: int) -> Column:

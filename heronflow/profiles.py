@@ -82,7 +82,7 @@ def oui_prefix(mac: Column) -> Column:
 
 def vendor_lookup(devices: DataFrame, oui: DataFrame, mac: str = "mac") -> DataFrame:
     """OP-87: left join on the prefix; the dimension has a few dozen rows."""
-    return devices.withColumn("oui", oui_prefix(F.col(mac))).join(F.broadcast(oui), "oui", "left")
+    return devices.withColumn("oui", oui_prefix(F.col(mac))).join(oui, "oui", "left")
 
 
 def device_type(vendor: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronflow.sources.versioned import KeyedTable
+
 
 def bulk_index(df: DataFrame, path: str, id_column: str) -> int:
     """OP-30, OP-31: append documents; how many were written is observed while
@@ -63,6 +65,12 @@ def each_batch(*steps: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
     return run
 
 
+def merging(table: KeyedTable, order: str, source: str) -> Callable[[DataFrame, int], None]:
+    """OP-37: a step that merges each batch into a table by key; a batch that is
+    run again after a failure changes nothing."""
+    return lambda batch, number: table.merge(batch, order, batch=(source, number)) and None
+
+
 def best_codec(results: DataFrame, by: str = "ratio", keys: list[str] | None = None) -> DataFrame:
     """OP-81: of codec, original, compressed, seconds: the best by ratio, speed,
     or both."""

@@ -71,9 +71,13 @@ def to_mqtt(messages: DataFrame, root: str = "events") -> DataFrame:
     return messages.select(F.concat_ws("/", F.lit(root), F.col("priority")).alias("topic"), body.alias("payload"), F.lit(1).alias("qos"))
 
 
-def from_mqtt(rows: DataFrame, payload: str) -> DataFrame:
-    """Back, each message id once."""
-    return from_bus(rows.select(F.col("payload").alias("value")), payload).dropDuplicates(["message_id"])
+def from_mqtt(rows: DataFrame, payload: str, late: str = "10 minutes") -> DataFrame:
+    """Back, each message id once; on a stream, if it comes again within
+    ``late``, so that ids are not kept for ever."""
+    back = from_bus(rows.select(F.col("payload").alias("value")), payload)
+    if rows.isStreaming:
+        return back.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["message_id"])
+    return back.dropDuplicates(["message_id"])
 
 
 def sent(messages: DataFrame, accepted: Column, tries: Column) -> tuple[DataFrame, DataFrame]:

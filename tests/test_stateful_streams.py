@@ -91,3 +91,27 @@ def test_keyed_table(spark, tmp_path):
     assert {r.a: r.status for r in table.read().where(F.col("a").isin(5, 6, 77)).collect()} == {5: "acknowledged", 6: "open"}
     assert table.merge(make(*((k, "x", None, 5, True) for k in range(50))), "at", "gone") == 4
     assert table.read().count() == 0
+
+
+def test_steps_of_a_batch_that_comes_again(spark, tmp_path):
+    from heronflow.sources.sinks import each_batch, merging
+
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], 2)
+    seen = []
+    run = each_batch(merging(table, "at", "s"), lambda b, n: seen.append((n, b.count())))
+    run(spark.createDataFrame([(1, "a", 1)], "k int, v string, at int"), 0)
+    run(spark.createDataFrame([(1, "b", 2), (2, "c", 2)], "k int, v string, at int"), 1)
+    run(spark.createDataFrame([(1, "never", 9)], "k int, v string, at int"), 1)
+    assert {r.k: r.v for r in table.read().collect()} == {1: "b", 2: "c"} and table.versions() == [1, 2] and len(seen) == 3
+
+
+def test_messages_that_come_twice_on_a_stream(spark, tmp_path):
+    from heronflow.sources import transport
+
+    rows = spark.range(20).selectExpr("cast(id as string) as message_id", "'high' as priority", "struct(id as value) as payload", "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id) as ts")
+    sent = transport.to_mqtt(rows)
+    sent.union(sent.limit(5)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(sent.schema).parquet(str(tmp_path / "in"))
+    q = transport.from_mqtt(stream, "struct<value:bigint>").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("once").count() == 20
