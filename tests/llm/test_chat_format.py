@@ -31,3 +31,11 @@ def test_merging_across_parts_and_ties(spark):
 
 def test_empty(spark):
     assert digest(spark, []) == {}
+
+
+def test_very_long_texts_and_conversations(spark):
+    long = "é</s>\\ " * 150_000
+    rows = [(1, k, ("user", "assistant")[k % 2], long) for k in range(3)] + [(2, k, ("user", "assistant")[k % 2], f"{k} <s>") for k in range(3000)]
+    got = digest(spark, rows)
+    assert [t.text == long for t in got[1].turns] == [True] * 3 and got[1].loss == long
+    assert [t.text for t in got[2].turns] == [f"{k} <s>" for k in range(3000)]

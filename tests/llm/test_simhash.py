@@ -1,4 +1,5 @@
 import random
+import tempfile
 
 import numpy as np
 from pyspark.sql import Row
@@ -75,3 +76,13 @@ def test_empty_and_keep_one(spark):
     assert simhash.near_duplicates(empty).count() == 0
     docs = spark.createDataFrame([(3, "a b c d e", "x"), (1, "a b c d e", "y"), (1, "a b c d e", "y"), (None, "a b c d e", "z"), (7, "other words in this text", None)], schema)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.keep_one(docs).collect()) == [(False, 1), (False, 7), (True, 0)]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(7)
+    long = " ".join(f"w{rng.randrange(4000)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " x"), (3, "a b"), (4, long[: len(long) // 2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.mode("overwrite").parquet(f"{(folder := tempfile.mkdtemp())}/documents.parquet")
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.op8_simhash(spark, folder).collect()}
+    assert got == brute(rows)
