@@ -43,13 +43,14 @@ def iqr_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(totals.unpivot([], _COLUMNS, "feature", "total"), 2)
 
 
-@query(f"WITH {FLOWS_SQL}, l AS ({_LONG}), {_Q} SELECT flow_id, {', '.join(_r(f'''max((x - q2) / CASE WHEN q3 = q1 THEN 1 ELSE q3 - q1 END) FILTER (feature = '{c}')''', c) for c in _COLUMNS)} FROM l JOIN q USING (feature) GROUP BY flow_id HAVING count(*) = {len(_COLUMNS)}")
+_QUARTILES = "q AS (SELECT " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), {k / 4}) AS q{k}_{c}" for c in _COLUMNS for k in (1, 2, 3)) + " FROM flows)"
+
+
+@query(f"WITH {FLOWS_SQL}, {_QUARTILES} SELECT flow_id, {', '.join(_r(f'({c} - q2_{c}) / CASE WHEN q3_{c} = q1_{c} THEN 1 ELSE q3_{c} - q1_{c} END', c) for c in _COLUMNS)} FROM flows, q")
 def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median and interquartile scaling of flows whose id is unique."""
-    rows = flows(spark, sf_dir)
-    scaled = preprocess.scaled(rows.select("flow_id", *(F.col(c).cast("double").alias(c) for c in _COLUMNS)), _COLUMNS)
-    once = rows.groupBy("flow_id").count().where("count = 1").select("flow_id")
-    return rounded(scaled.join(once, "flow_id", "left_semi"))
+    """Median and interquartile scaling of all flows."""
+    rows = flows(spark, sf_dir).select("flow_id", *(F.col(c).cast("double").alias(c) for c in _COLUMNS))
+    return rounded(preprocess.scaled(rows, _COLUMNS))
 
 
 _LABELLED = "l AS (SELECT quality AS truth, CAST(least(1.0, n_chars / 4000.0) AS DOUBLE) AS score FROM labels JOIN documents USING (doc_id))"
