@@ -65,5 +65,45 @@ def test_the_stage_drops_copies_that_four_bits_keep_apart(spark, tmp_path):
 def test_a_large_group_costs_few_edges_and_no_link_is_lost():
     a = near_copies.shingle_set(" ".join(f"w{k}" for k in range(200)))
     many = [a[k:] for k in range(60)]
-    assert len(near_copies.spanning(list(range(60)), many)) == 59
-    assert near_copies.spanning([1, 2], [a, a[60:]]) == []
+    assert len(near_copies.spanning(list(range(60)), many, [True] * 60)) == 59
+    assert near_copies.spanning([1, 2], [a, a[60:]], [True, True]) == []
+    # Of two nodes one has to ask.
+    assert near_copies.spanning([1, 2, 3], many[:3], [False, True, False]) == [(3, 2), (2, 1)]
+    assert near_copies.spanning([1, 2, 3], many[:3], [False] * 3) == []
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_one_key_of_all_nodes(spark, monkeypatch, levels):
+    """Texts that share half of their words and one key; the links among those
+    that no pivot reaches are found by the prefixes of their sets."""
+    for name, value in (("BIG", 4), ("PIVOTS", 1), ("LEVELS", levels)):
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(5)
+    shared = [f"s{k}" for k in range(90)]
+    texts = []
+    for k in range(40):
+        own = [f"d{k}x{rng.randrange(60)}" for _ in range(rng.randrange(70, 120))]
+        for copy in range(1 + k % 4):
+            new = [*shared, *own]
+            for _ in range(copy):
+                new[rng.randrange(len(new))] = f"c{k}{copy}"
+            texts.append(" ".join(new))
+    held = {near_copies.node(s): s for s in map(near_copies.shingle_set, texts)}
+    members = spark.createDataFrame([(7, n, len(held)) for n in held_signed(held)], "key long, node long, n long")
+    sets = spark.createDataFrame([(n, s.tobytes()) for n, s in held_signed(held).items()], "node long, held binary")
+    found = {(r.u, r.v) for r in near_copies._links(members, sets).collect()}
+    want = {(a, b) for a, x in held_signed(held).items() for b, y in held_signed(held).items() if a != b and near_copies.similar(x, y)}
+    assert found <= want and classes(held_signed(held), found) == classes(held_signed(held), want)
+    assert 30 < len(set(classes(held_signed(held), want).values())) < len(held)
+
+
+def held_signed(held):
+    return {n - (1 << 64) if n >> 63 else n: s for n, s in held.items()}
+
+
+def classes(nodes, edges):
+    of = {n: n for n in nodes}
+    for a, b in edges:
+        low, high = sorted((of[a], of[b]))
+        of = {k: low if v == high else v for k, v in of.items()}
+    return of
