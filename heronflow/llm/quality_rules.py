@@ -4,14 +4,18 @@ Each document gets counts of its whole text and fails the base rules if it has
 under 50 words or if over half of its words stand in three-word windows that
 occur twice or more in it. Softer rules (:data:`RULES`) have limits that depend
 on the host (``source``). A document is suspect if it breaks a base rule or a
-softer one at its plain limit. The suspect share of a host is shrunk towards
-that of all hosts: a beta prior is fitted to the hosts' shares by the method of
-moments, and the posterior mean over the prior's mean is the host's verdict, its
-``strictness``, between 1 / :data:`RANGE` and :data:`RANGE`. The limits of the
-softer rules are divided by it: on a host that fails twice as often as hosts do,
-half as much is let pass, on a good one more. A document is rejected if it fails
-a base rule, or a softer rule at its host's limits; a document with nothing to
-object to stays whatever its host.
+softer one at its plain limit. Of each host, the documents are counted that break
+a base rule, and those that break each softer rule. Each of these shares is
+shrunk towards that of all hosts: a beta prior is fitted to the hosts' shares by
+the method of moments, and the posterior mean over the prior's mean is the host's
+verdict in that rule, its ``strictness``, between 1 / :data:`RANGE` and
+:data:`RANGE`. The limit of a softer rule is divided by the host's strictness in
+that rule, or by that in the base rules where that is above one and greater: on a
+host that breaks a rule twice as often as hosts do, half as much is let pass of
+it, on a good one more, and what a host does well in one rule makes up for
+nothing in another. A document is rejected if it fails a base rule, or a softer
+rule at its host's limit; a document with nothing to object to stays whatever its
+host.
 
 All that is counted of a document comes from its own row, without a shuffle.
 Repeated windows are found by sorting the windows' hashes with their places and
@@ -25,6 +29,9 @@ like a result are replaced, others are carried along.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +41,9 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Softer rules: symbols a hundred words, and repeated lines a hundred lines, beyond which a document is suspect.
 RULES = {"symbols": 30, "dup_lines": 60}
+#: What hosts are judged by, each for itself.
+JUDGED = ("base", *RULES)
+STRICT = tuple(f"strictness_{r}" for r in JUDGED)
 #: How much stricter or milder than the plain limits a host's can get.
 RANGE = 2.0
 #: Hosts with more than this part of all documents are joined by broadcast, at most so many.
@@ -76,10 +86,15 @@ def _repeat_words(words: Column) -> Column:
     return _let(words, repeated)
 
 
-def _soft(strictness: Column | float) -> Column:
-    """A softer rule is broken at the limits that ``strictness`` divides."""
-    symbols = 100 * F.col("n_symbols") * strictness > RULES["symbols"] * F.col("n_words")
-    return symbols | (100 * F.col("n_dup_lines") * strictness > RULES["dup_lines"] * F.col("n_lines"))
+def _broken(strictness: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Which softer rules are broken at limits that ``strictness`` divides."""
+    part = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines")}
+    by = strictness or dict.fromkeys(RULES, F.lit(1))
+    return {r: 100 * F.col(n) * by[r] > RULES[r] * F.col(of) for r, (n, of) in part.items()}
+
+
+def _any(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
 def document_rules(docs: DataFrame) -> DataFrame:
@@ -96,29 +111,35 @@ def document_rules(docs: DataFrame) -> DataFrame:
     out = out.withColumns({w: by_word, x: by_line, "n_symbols": symbols})
     out = out.withColumns({c: F.col(at or c).cast("bigint") for c, at in found.items()}).drop(w, x)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return out.withColumns({"base_failed": base, "suspect": base | _soft(1)})
+    return out.withColumns({"base_failed": base, "suspect": base | _any(_broken().values())})
 
 
 def host_verdicts(ruled: DataFrame, host: str = "source") -> DataFrame:
-    """host, n_docs, n_suspect, rate (shrunk), strictness, one row a host."""
-    hosts = ruled.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.count_if("suspect").alias("n_suspect"))
-    share = F.col("n_suspect") / F.col("n_docs")
-    prior = hosts.agg(F.avg(share).alias("mean"), F.var_pop(share).alias("var"), F.avg(1 / F.col("n_docs")).alias("noise")).select(
-        "mean",
+    """host, n_docs, and for each of :data:`JUDGED` n_<rule>, rate_<rule>
+    (shrunk) and strictness_<rule>; one row a host."""
+    broken = {"base": F.col("base_failed")} | _broken()
+    hosts = ruled.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), *(F.count_if(broken[r]).alias(f"n_{r}") for r in JUDGED))
+    share = {r: F.col(f"n_{r}") / F.col("n_docs") for r in JUDGED}
+    moments = hosts.agg(F.avg(1 / F.col("n_docs")).alias("noise"), *(f(share[r]).alias(f"{name}_{r}") for r in JUDGED for name, f in (("mean", F.avg), ("var", F.var_pop))))
+    prior = []
+    for r in JUDGED:
+        mean = F.col(f"mean_{r}")
         # Moments of a beta-binomial: what the shares vary beyond their sampling noise.
-        (F.col("var") - F.col("mean") * (1 - F.col("mean")) * F.col("noise")).alias("between"),
-    )
-    weight = F.greatest(F.lit(1.0), F.col("mean") * (1 - F.col("mean")) / F.col("between") - 1)
-    # One row of two numbers joins every host.
-    rows = hosts.join(F.broadcast(prior.select("mean", F.when(F.col("between") > 0, weight).alias("weight"))))
-    rate = F.when(F.col("weight").isNull(), F.col("mean")).otherwise((F.col("n_suspect") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight")))
-    strictness = F.when(F.col("weight").isNull() | (F.col("mean") == 0), 1.0).otherwise(F.greatest(F.lit(1 / RANGE), F.least(F.lit(RANGE), F.col("rate") / F.col("mean"))))
-    return rows.withColumn("rate", rate).withColumn("strictness", strictness).select("host", "n_docs", "n_suspect", "rate", "strictness")
+        between = F.col(f"var_{r}") - mean * (1 - mean) * F.col("noise")
+        prior += [mean, F.when(between > 0, F.greatest(F.lit(1.0), mean * (1 - mean) / between - 1)).alias(f"weight_{r}")]
+    # One row of a few numbers joins every host.
+    rows = hosts.join(F.broadcast(moments.select(prior)))
+    for r in JUDGED:
+        n, mean, weight = (F.col(f"{c}_{r}") for c in ("n", "mean", "weight"))
+        rate = F.when(weight.isNull(), mean).otherwise((n + mean * weight) / (F.col("n_docs") + weight))
+        strict = F.when(weight.isNull() | (mean == 0), 1.0).otherwise(F.greatest(F.lit(1 / RANGE), F.least(F.lit(RANGE), rate / mean)))
+        rows = rows.withColumns({f"rate_{r}": rate, f"strictness_{r}": strict})
+    return rows.select("host", "n_docs", *(f"{c}_{r}" for r in JUDGED for c in ("n", "rate", "strictness")))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """``docs`` with counts, base_failed, suspect, strictness (of the host) and
-    kept. The rules are run once and their rows stored, as the hosts and the
+    """``docs`` with counts, base_failed, suspect, strictness_<rule> (of the
+    host, for each of :data:`JUDGED`) and kept. The rules are run once and their rows stored, as the hosts and the
     documents both need them and they cost far more than to write the texts."""
     ruled = stored(document_rules(docs))
     return _verdict(ruled, host_verdicts(ruled))
@@ -129,7 +150,7 @@ def _joined(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
     many only those with so many documents that they would fill a task, which
     are at most :data:`HOT_HOSTS`, and the rest is joined by a shuffle."""
     same = F.col("source").eqNullSafe(F.col(host))
-    hosts = shared(hosts.select(F.col("host").alias(host), "n_docs", "strictness"))
+    hosts = shared(hosts.select(F.col("host").alias(host), "n_docs", *STRICT))
     if hosts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(hosts.drop("n_docs")), same, "left").drop(host)
     most = (hosts.agg(F.sum("n_docs").alias("n")).first()["n"] or 0) // HOT_HOSTS
@@ -140,10 +161,12 @@ def _joined(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
 
 
 def _verdict(rows: DataFrame, hosts: DataFrame) -> DataFrame:
-    rows = without(rows, "strictness", "kept")
+    rows = without(rows, *STRICT, "kept")
     out = _joined(rows, hosts, fresh(rows, "_host"))
+    base, *own = (F.coalesce(c, F.lit(1.0)) for c in STRICT)
+    by = {r: F.when(base > 1, F.greatest(s, base)).otherwise(s) for r, s in zip(RULES, own, strict=True)}
     # One condition: a filter on it is not split, so the rules are not run twice.
-    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~_soft(F.coalesce("strictness", F.lit(1.0)))))
+    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~_any(_broken(by).values())))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,17 +193,23 @@ WITH d AS (
   FROM w LEFT JOIN covered USING (row)
 ), judged AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
-    100 * n_symbols > {RULES["symbols"]} * n_words OR 100 * n_dup_lines > {RULES["dup_lines"]} * n_lines AS soft_failed FROM ruled
+    100 * n_symbols > {RULES["symbols"]} * n_words AS symbols, 100 * n_dup_lines > {RULES["dup_lines"]} * n_lines AS dup_lines FROM ruled
+), told AS (
+  SELECT source AS host, unnest(['base', 'symbols', 'dup_lines']) AS rule, unnest([base_failed, symbols, dup_lines]) AS broken FROM judged
 ), hosts AS (
-  SELECT source AS host, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS k FROM judged GROUP BY source
+  SELECT host, rule, count(*) AS n, count(*) FILTER (broken) AS k FROM told GROUP BY ALL
 ), moments AS (
-  SELECT avg(k / n) AS m, var_pop(k / n) - avg(k / n) * (1 - avg(k / n)) * avg(1 / n) AS b FROM hosts
+  SELECT rule, avg(k / n) AS m, var_pop(k / n) - avg(k / n) * (1 - avg(k / n)) * avg(1 / n) AS b FROM hosts GROUP BY rule
 ), prior AS (
-  SELECT m, CASE WHEN b > 0 THEN greatest(1.0, m * (1 - m) / b - 1) END AS weight FROM moments
+  SELECT rule, m, CASE WHEN b > 0 THEN greatest(1.0, m * (1 - m) / b - 1) END AS weight FROM moments
 ), strict AS (
-  SELECT host, CASE WHEN weight IS NULL OR m = 0 THEN 1.0 ELSE greatest({1 / RANGE}, least({RANGE}, (k + m * weight) / (n + weight) / m)) END AS s FROM hosts, prior
+  SELECT host, rule, CASE WHEN weight IS NULL OR m = 0 THEN 1.0 ELSE greatest({1 / RANGE}, least({RANGE}, (k + m * weight) / (n + weight) / m)) END AS s FROM hosts JOIN prior USING (rule)
+), by_host AS (
+  SELECT host, max(s) FILTER (rule = 'base') AS sb, max(s) FILTER (rule = 'symbols') AS ss, max(s) FILTER (rule = 'dup_lines') AS sd FROM strict GROUP BY host
+), limits AS (
+  SELECT host, CASE WHEN sb > 1 THEN greatest(ss, sb) ELSE ss END AS ss, CASE WHEN sb > 1 THEN greatest(sd, sb) ELSE sd END AS sd FROM by_host
 )
 SELECT doc_id, {", ".join(COUNTS)}, base_failed,
-  NOT base_failed AND NOT (100 * n_symbols * s > {RULES["symbols"]} * n_words OR 100 * n_dup_lines * s > {RULES["dup_lines"]} * n_lines) AS kept
-FROM judged JOIN strict ON host IS NOT DISTINCT FROM source
+  NOT base_failed AND NOT (100 * n_symbols * ss > {RULES["symbols"]} * n_words OR 100 * n_dup_lines * sd > {RULES["dup_lines"]} * n_lines) AS kept
+FROM judged JOIN limits ON host IS NOT DISTINCT FROM source
 """

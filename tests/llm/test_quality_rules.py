@@ -47,8 +47,31 @@ def test_hosts_decide(spark):
     for h in (1, 2, 3, 4):
         assert [got[1000 * h + k] for k in (0, 1, 2)] == [(False, True, False), (False, True, False), (False, True, True)]
     assert got[9000] == (True, False, True) and all(kept for k, (_, kept, suspect) in got.items() if not suspect and k != 1)
-    strict = {r.source: r.strictness for r in ruled.select("source", "strictness").distinct().collect()}
-    assert strict["bad"] == 2 and all(s == 0.5 for h, s in strict.items() if h != "bad")
+    strict = {r.source: r for r in ruled.select("source", *rules.STRICT).distinct().collect()}
+    assert strict["bad"].strictness_symbols == 2 and all(r.strictness_symbols == 0.5 for h, r in strict.items() if h != "bad")
+    assert all(r.strictness_dup_lines == 1 for r in strict.values())
+
+
+def hosts_bad_in_one_rule():
+    """A host of which half has too many symbols, one of which half has repeated
+    lines, one of short texts, and good ones; each has a document with a few
+    symbols, one with some repeated lines and a clean one."""
+    many = CLEAN + "\n" + "\n".join(["again"] * 20)
+    lines = CLEAN + "\n" + "\n".join(["one", "one", "two", "two", "three"])  # 2 of 6
+    bad = {"signs": " ".join([CLEAN, *(f"#{k}" for k in range(300))]), "lines": many, "short": "few words"}
+    rows = []
+    for h, host in enumerate([*bad, "good0", "good1", None]):
+        rows += [(1000 * h + k, t, host, "h", "k") for k, t in enumerate([CLEAN, CLEAN + " #" * 20, lines])]
+        rows += [(1000 * h + 10 + k, bad.get(host, CLEAN) if k % 2 else CLEAN, host, "h", "k") for k in range(80)]
+    return rows
+
+
+def test_each_rule_has_a_strictness_of_its_own(spark):
+    ruled = rules.quality_rules(spark.createDataFrame(hosts_bad_in_one_rule(), SCHEMA))
+    got = {r.doc_id: r.kept for r in ruled.collect()}
+    kept = [[got[1000 * h + k] for k in range(3)] for h in range(6)]
+    # Bad by symbols, bad by lines, bad by base rules, good ones.
+    assert kept == [[True, False, True], [True, True, False], [True, False, False], *[[True, True, True]] * 3]
 
 
 def test_many_hosts_are_joined_by_a_shuffle(spark, monkeypatch):
@@ -62,7 +85,7 @@ def test_many_hosts_are_joined_by_a_shuffle(spark, monkeypatch):
 
 def test_sql_gives_the_same(spark, tmp_path):
     db = duckdb.connect()
-    for name, rows in {"mixed": mixed_hosts(), "alike": [(k, CLEAN + " #" * (40 * (k % 3)), f"h{k % 2}", "h", "k") for k in range(60)]}.items():
+    for name, rows in {"mixed": mixed_hosts(), "by_rule": hosts_bad_in_one_rule(), "alike": [(k, CLEAN + " #" * (40 * (k % 3)), f"h{k % 2}", "h", "k") for k in range(60)]}.items():
         spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         db.execute(f"CREATE OR REPLACE VIEW documents AS FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
         got = rules.op5_quality_rules(spark, f"{tmp_path}/{name}")
