@@ -49,6 +49,8 @@ WINDOW, GRAM = 50, 24
 #: One gram in 4096 meets another by chance.
 SPARE_BITS = 12
 HOT_BLOCKS = 1_000
+#: Bytes of runs that are sorted together, unless they share a gram.
+PART_BYTES = 1 << 20
 RUNS = "block bigint, step int, shard bigint, docs binary, anchors binary, lengths binary, data binary"
 RUNS_ARROW = pa.schema([("block", pa.int64()), ("step", pa.int32()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("docs", "anchors", "lengths", "data"))])
 #: A random number for each byte, so that texts of few letters hash well.
@@ -64,9 +66,11 @@ class Prefixes:
         self.data = data
         self.power = np.full(n + 1, _POLY, np.uint64)
         self.power[0] = 1
-        self.power = np.cumprod(self.power, dtype=np.uint64)
+        np.cumprod(self.power, out=self.power)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * self.power[:n], out=self.sums[1:], dtype=np.uint64)
+        np.take(_BYTE, data, out=self.sums[1:], mode="clip")
+        self.sums[1:] *= self.power[:n]
+        np.cumsum(self.sums, out=self.sums)
 
     def of(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Hash of the n bytes from start, whatever start is."""
@@ -194,6 +198,21 @@ def least_documents(runs: list[bytes], anchor: np.ndarray, doc: np.ndarray) -> l
     return [parts[k] for k in of.tolist()]
 
 
+def by_parts(runs: list[bytes], anchor: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """:func:`least_documents`, over runs of about :data:`PART_BYTES` at a time;
+    those that have one gram at their anchors are in one part."""
+    parts = 1 + sum(map(len, runs)) // PART_BYTES
+    if parts == 1:
+        return least_documents(runs, anchor, doc)
+    part = np.array([hash(r[a : a + GRAM]) % parts for r, a in zip(runs, anchor.tolist(), strict=True)], np.int64)
+    out: list[np.ndarray] = [doc] * len(runs)
+    for p in range(parts):
+        at = np.flatnonzero(part == p)
+        for k, found in zip(at.tolist(), least_documents([runs[k] for k in at], anchor[at], doc[at]), strict=True):
+            out[k] = found
+    return out
+
+
 def taken_windows(mine: dict[str, list]) -> list[bytes]:
     """A bit for each window of each run: a document before its own has it."""
     docs = [np.frombuffer(x, "<i8") for x in mine["docs"]]
@@ -204,8 +223,7 @@ def taken_windows(mine: dict[str, list]) -> list[bytes]:
         for n in np.frombuffer(lengths, "<u4").tolist():
             runs.append(data[at : at + n])
             at += n
-    doc = np.concatenate(docs)
-    least = least_documents(runs, np.concatenate(anchors), doc)
+    least = by_parts(runs, np.concatenate(anchors), np.concatenate(docs))
     out, k = [], 0
     for d in docs:
         out.append(np.packbits(np.concatenate([least[k + i] < x for i, x in enumerate(d)])).tobytes())

@@ -98,3 +98,21 @@ def test_clashing_columns_and_a_very_long_text(spark):
 
 def test_empty(spark):
     assert dedup.drop_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_parts_of_a_shard_give_the_same(monkeypatch):
+    rng = random.Random(4)
+    base = [bytes(rng.choices(b"abc", k=90)) for _ in range(6)]
+    runs, anchors = [], []
+    for _ in range(400):
+        b = rng.choice(base)
+        at = rng.randrange(20, 40)
+        low, high = rng.randrange(at - 10, at), rng.randrange(at + 50, 91)
+        runs.append(b[low:high])
+        anchors.append(at - low)
+    anchors, doc = np.array(anchors), np.array([rng.randrange(50) for _ in runs], np.int64)
+    want = dedup.least_documents(runs, anchors, doc)
+    monkeypatch.setattr(dedup, "PART_BYTES", 3_000)
+    assert sum(map(len, runs)) > 5 * 3_000
+    got = dedup.by_parts(runs, anchors, doc)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
