@@ -104,6 +104,22 @@ def scaling_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
+@query(
+    """WITH m AS (SELECT event_type AS stage, ts AS arrived, CASE WHEN value <= 300 THEN ts + to_minutes(CAST(floor(value * 20) AS BIGINT)) END AS left_at, event_id % 17 = 0 AS failed FROM events),
+    moves AS (SELECT stage, date_trunc('day', arrived) AS d, 1 AS i, 0 AS o, 0 AS f FROM m UNION ALL SELECT stage, date_trunc('day', left_at), 0, 1, CAST(failed AS INT) FROM m WHERE left_at IS NOT NULL),
+    days AS (SELECT stage, d, sum(i) AS i, sum(o) AS o, sum(f) AS f FROM moves GROUP BY stage, d),
+    sums AS (SELECT stage, d, sum(i) OVER w AS i, sum(o) OVER w AS o, sum(f) OVER w AS f, min(d) OVER w AS first FROM days WINDOW w AS (PARTITION BY stage ORDER BY d))
+    SELECT stage, d + INTERVAL 1 DAY AS snapshot, CAST(i AS BIGINT) AS received, CAST(o AS BIGINT) AS processed, CAST(f AS BIGINT) AS errors, CAST(i - o AS BIGINT) AS waiting, round(o * 1000 / (epoch(d + INTERVAL 1 DAY) - epoch(first)), 6) AS per_1000_seconds FROM sums"""
+)
+def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-85: counters, queues and rates of each stage, day by day; some rows
+    take days to go through, some never do."""
+    leaves = F.when(F.col("value") <= 300, F.col("ts") + F.make_dt_interval(mins=F.floor(F.col("value") * 20).cast("int")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("stage"), F.col("ts").alias("arrived"), leaves.alias("left_at"), (F.col("event_id") % 17 == 0).alias("failed"))
+    out = stats.pipeline_snapshots(rows, "1 day")
+    return out.withColumn("per_1000_seconds", F.round(F.col("per_second") * 1000, 6)).drop("per_second")
+
+
 @query("SELECT event_type AS component, count(*) FILTER (value > 100) / count(*) >= 0.8 AS healthy FROM events GROUP BY event_type")
 def component_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-77, OP-241: which components are healthy."""

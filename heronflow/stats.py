@@ -71,6 +71,41 @@ def rate(rows: DataFrame, time: str = "ts") -> DataFrame:
     return rows.agg(F.count("*").alias("n"), span.alias("seconds"), F.when(span > 0, F.count("*") / span).otherwise(0.0).alias("per_second"))
 
 
+def pipeline_snapshots(rows: DataFrame, every: str, stage: str = "stage", arrived: str = "arrived", left: str = "left_at", failed: str = "failed") -> DataFrame:
+    """OP-85: counters, rate and queue of each stage at the end of each window in
+    which something happened to it.
+
+    ``received``, ``processed`` and ``errors`` count from the beginning;
+    ``waiting`` are the rows that arrived and have not left; ``per_second`` is
+    what was processed over the time since the first window of the stage began.
+    Rows without a time of arrival have not arrived; those without a time of
+    leaving still wait; a null in ``failed`` is no failure; a null stage is a
+    stage of its own. Rows are counted by window first, so only a stage's
+    windows are sorted, never its rows.
+    """
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    bad = F.when(F.col(failed), one).otherwise(none)
+    moves = F.array(
+        F.struct(F.col(arrived).alias("_t"), one.alias("_in"), none.alias("_out"), none.alias("_bad")),
+        F.struct(F.when(F.col(arrived).isNotNull(), F.col(left)).alias("_t"), none.alias("_in"), one.alias("_out"), bad.alias("_bad")),
+    )
+    steps = rows.select(F.col(stage).alias("stage"), F.inline(moves)).where("_t is not null")
+    counts = steps.groupBy("stage", F.window("_t", every).alias("_w")).agg(*(F.sum(c).alias(c) for c in ("_in", "_out", "_bad")))
+    sofar = Window.partitionBy("stage").orderBy("_w.end").rowsBetween(Window.unboundedPreceding, 0)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    uptime = (micros(F.col("_w.end")) - F.min(micros(F.col("_w.start"))).over(sofar)) / 1e6
+    received, processed = (F.sum(c).over(sofar) for c in ("_in", "_out"))
+    return counts.select(
+        "stage",
+        F.col("_w.end").alias("snapshot"),
+        received.alias("received"),
+        processed.alias("processed"),
+        F.sum("_bad").over(sofar).alias("errors"),
+        (received - processed).alias("waiting"),
+        (processed / uptime).alias("per_second"),
+    )
+
+
 def current_sample(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """OP-166: the last n rows."""
     return rows.orderBy(*(F.desc(c) for c in order)).limit(n)

@@ -330,3 +330,24 @@ def test_boosting_and_sequences(spark):
     assert out.where((F.col("score") >= 0.5) == (F.col("y") == 1)).count() == 300
     z = df.withColumn("id", F.monotonically_increasing_id()).select(boost.window_zscore("x", ["c"], ["id"], 5).alias("z"))
     assert z.where("z < 0 or z >= 1").count() == 0
+
+
+def test_pipeline_snapshots(spark):
+    from datetime import datetime
+
+    from heronflow import stats
+
+    t = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    rows = [
+        ("a", t(0, 5), t(0, 30), False),
+        ("a", t(0, 10), t(2, 0), True),
+        ("a", t(0, 10), t(2, 0), None),
+        ("a", t(3), None, True),
+        ("a", None, t(1), True),
+        (None, t(5), t(5), False),
+    ]
+    df = spark.createDataFrame(rows, "stage string, arrived timestamp_ntz, left_at timestamp_ntz, failed boolean")
+    out = stats.pipeline_snapshots(df, "1 hour")
+    got = {(r.stage, r.snapshot.hour): (r.received, r.processed, r.errors, r.waiting, round(r.per_second * 3600, 6)) for r in out.collect()}
+    assert got == {("a", 1): (3, 1, 0, 2, 1.0), ("a", 3): (3, 3, 1, 0, 1.0), ("a", 4): (4, 3, 1, 1, 0.75), (None, 6): (1, 1, 0, 0, 1.0)}
+    assert stats.pipeline_snapshots(df.where("false"), "1 hour").count() == 0
