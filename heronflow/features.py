@@ -96,21 +96,43 @@ def device(flows: DataFrame) -> DataFrame:
 
 
 def directional(flows: DataFrame) -> DataFrame:
-    """OP-57: one row of fan-out, fan-in, port and protocol measures. Fan-in is
-    counted by destination and then joined, not by a nested loop."""
-    out = flows.groupBy("source_ip").agg(F.count_distinct("destination_ip").alias("fan_out"), F.count("*").alias("n"))
-    into = flows.groupBy(F.col("destination_ip").alias("source_ip")).agg(F.count("*").alias("fan_in"))
-    by_source = out.join(into, "source_ip", "left")
-    metrics = by_source.agg(
-        F.avg("fan_out").alias("avg_fan_out"),
-        (F.sum(F.coalesce("fan_in", F.lit(0))) / F.count("*")).alias("avg_fan_in"),
-        (F.sum("fan_out") / F.sum("n")).alias("fan_out_ratio"),
-        (F.sum(F.coalesce("fan_in", F.lit(0))) / F.sum("n")).alias("fan_in_ratio"),
+    """OP-57: one row of fan-out, fan-in, port and protocol measures, in one pass.
+
+    Each flow is counted under its pair of addresses, its two ports and its
+    protocol; what is shuffled is counts. Counts of pairs then go to both of
+    their addresses, so fan-in needs neither a join nor a nested loop. A null
+    address, port or protocol is a value of its own in the entropies and as a
+    source; it is no destination and no protocol that is counted. Without flows
+    all measures are null but ``protocol_diversity``, which is 0.
+    """
+    pair, source_port, destination_port, protocol = (F.lit(k) for k in range(4))
+    text = lambda c: F.col(c).cast("string")
+    one = lambda kind, a, b=F.lit(None).cast("string"): F.struct(kind.alias("kind"), a.alias("a"), b.alias("b"))
+    seen = F.array(one(pair, text("source_ip"), text("destination_ip")), one(source_port, text("source_port")), one(destination_port, text("destination_port")), one(protocol, text("protocol")))
+    counts = flows.select(F.inline(seen)).groupBy("kind", "a", "b").agg(F.count("*").alias("n"))
+
+    n, zero, is_pair = F.col("n"), F.lit(0).cast("bigint"), F.col("kind") == pair
+    there = F.when(is_pair, F.col("b")).otherwise(F.col("a")).isNotNull().cast("bigint")
+    sums = lambda ip, out, distinct, weighted, into: F.struct("kind", ip.alias("ip"), out.alias("out"), distinct.alias("distinct"), weighted.alias("weighted"), into.alias("into"))
+    leaving = sums(F.when(is_pair, F.col("a")), n, there, n * F.log2(n.cast("double")), zero)
+    entering = F.when(is_pair & F.col("b").isNotNull(), sums(F.col("b"), zero, zero, F.lit(0.0), n))
+    moves = counts.select(F.inline(F.array_compact(F.array(leaving, entering))))
+    by_value = moves.groupBy("kind", "ip").agg(*(F.sum(c).alias(c) for c in ("out", "distinct", "weighted", "into")))
+
+    source = is_pair & (F.col("out") > 0)
+    of = lambda rows, c: F.sum(F.when(rows, F.col(c)))
+    spread = lambda kind: F.log2(of(F.col("kind") == kind, "out")) - of(F.col("kind") == kind, "weighted") / of(F.col("kind") == kind, "out")
+    metrics = by_value.agg(
+        (of(source, "distinct") / F.count_if(source)).alias("avg_fan_out"),
+        (of(source, "into") / F.count_if(source)).alias("avg_fan_in"),
+        (of(source, "distinct") / of(source, "out")).alias("fan_out_ratio"),
+        (of(source, "into") / of(source, "out")).alias("fan_in_ratio"),
+        spread(source_port).alias("src_port_entropy"),
+        spread(destination_port).alias("dst_port_entropy"),
+        spread(protocol).alias("protocol_entropy"),
+        F.coalesce(of(F.col("kind") == protocol, "distinct"), zero).cast("double").alias("protocol_diversity"),
     )
-    for column, name in (("source_port", "src_port_entropy"), ("destination_port", "dst_port_entropy"), ("protocol", "protocol_entropy")):
-        metrics = metrics.crossJoin(entropy(flows, [], column, name))
-    diversity = flows.agg(F.count_distinct("protocol").cast("double").alias("protocol_diversity"))
-    return metrics.crossJoin(diversity).withColumn("port_distribution_entropy", (F.col("src_port_entropy") + F.col("dst_port_entropy")) / 2)
+    return metrics.withColumn("port_distribution_entropy", (F.col("src_port_entropy") + F.col("dst_port_entropy")) / 2)
 
 
 def timing(flows: DataFrame, keys: list[str], id_column: str = "flow_id") -> DataFrame:

@@ -37,6 +37,16 @@ def test_directional_and_timing_cases(spark):
     assert features.timing(spark.createDataFrame(flow_rows(1), FLOW), ["device_id"]).first().inter_arrival_mean == 0.0
 
 
+def test_directional_nulls_and_none(spark):
+    rows = [("a", "b", 1, 80, "TCP"), ("a", "b", 2, 80, "TCP"), ("a", None, 3, 80, "UDP"), ("b", "a", 4, 80, None), (None, "a", None, 80, "TCP")]
+    df = spark.createDataFrame(rows, "source_ip string, destination_ip string, source_port int, destination_port int, protocol string")
+    d = features.directional(df).first()
+    assert (d.avg_fan_out, d.avg_fan_in, d.fan_out_ratio, d.fan_in_ratio) == (1.0, 4 / 3, 3 / 5, 4 / 5)
+    assert abs(d.src_port_entropy - math.log2(5)) < 1e-9 and d.dst_port_entropy == 0.0 and d.protocol_diversity == 2.0
+    none = features.directional(df.where("false")).first()
+    assert none.avg_fan_out is None and none.protocol_entropy is None and none.protocol_diversity == 0.0
+
+
 def test_flow_assembly_cases(spark):
     schema = "packet_id bigint, ts timestamp_ntz, source_ip string, destination_ip string, source_port int, destination_port int, protocol string, payload_size bigint, tcp_flags array<string>, tcp_sequence_number bigint"
     rows = [(k, T0 + dt.timedelta(seconds=k), "a", "b", 1, 2, "TCP", 100, ["SYN"] if k == 0 else ["ACK", "FIN"], [5, 5, 0, None][k]) for k in range(4)] + [(9, T0, "a", "b", 1, 2, "GRE", 1, None, None), (10, T0, "", "b", 1, 2, "UDP", 1, None, None)]
