@@ -67,3 +67,23 @@ def test_a_large_group_costs_few_edges_and_no_link_is_lost():
     many = [a[k:] for k in range(60)]
     assert len(near_copies.spanning(list(range(60)), many)) == 59
     assert near_copies.spanning([1, 2], [a, a[60:]]) == []
+
+
+def test_the_stage_goes_through_simhash(spark, monkeypatch):
+    """Its groups are op8's components, of nodes; the stage asks for them."""
+    rows = corpus()
+    docs = spark.createDataFrame([(*r, None) for r in rows], SCHEMA)
+    found = spark.createDataFrame([(near_copies.node(near_copies.shingle_set(t or "")) - 2**63, simhash.fingerprint(t or "") - 2**63) for _, t in rows], "node long, fp long")
+    groups = {}
+    for r in near_copies.simhash_groups(found).distinct().collect():
+        groups.setdefault(r["key"], set()).add(r["node"])
+    node_of = {k: near_copies.node(near_copies.shingle_set(t or "")) - 2**63 for k, t in rows}
+    want = {}
+    for r in simhash.near_duplicates(docs).collect():
+        want.setdefault(r["component_id"], set()).add(node_of[r["doc_id"]])
+    several = [g for g in want.values() if len(g) > 1]
+    assert len(several) > 5 and sorted(map(sorted, several)) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    asked, real = [], simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *a: asked.append(a) or real(*a))
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == len(set(brute(rows).values()))
+    assert len(asked) == 1
