@@ -115,3 +115,16 @@ def test_messages_that_come_twice_on_a_stream(spark, tmp_path):
     q = transport.from_mqtt(stream, "struct<value:bigint>").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == 20
+
+
+def test_profile_store_has_few_files_for_many_devices(spark, tmp_path):
+    from heronflow import history
+
+    fields = "device_id string, protocols array<string>, observations bigint"
+    rows = [(f"aa:{k}", ["TCP"], k) for k in range(400)] + [("aa-1", ["UDP"], 7), (None, None, 9)]
+    history.save_profiles(spark.createDataFrame(rows, fields), str(tmp_path / "p"))
+    history.save_profiles(spark.createDataFrame([("aa:1", ["ICMP"], 0), ("new", None, 1)], fields), str(tmp_path / "p"))
+    got = {r.device_id: (r.protocols, r.observations) for r in history.load_profiles(spark, str(tmp_path / "p"), fields).collect()}
+    assert got == {d: (p, n) for d, p, n in rows} | {"aa:1": (["ICMP"], 0), "new": (None, 1)}
+    manifest = history._profile_table(spark, str(tmp_path / "p")).manifest()
+    assert len(manifest["parts"]) <= 64 and len(list(tmp_path.rglob("data-*/*/*.parquet"))) < 200
