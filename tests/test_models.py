@@ -70,3 +70,19 @@ def test_hash_forest(spark):
     made = ensemble.forests(df, "id", ["a", "b"], trees=4)
     roots = [m[2].where("node = 1").agg(F.avg("size")).first()[0] for m in made]
     assert roots[3] > roots[4] * 1.2  # shares of the rows: 0.9 and 0.5
+
+
+def test_quantiles_shuffle_only_the_parts_asked_for(spark, monkeypatch):
+    from heronflow.operators import quantiles
+
+    seen = []
+    real = quantiles.stored
+    monkeypatch.setattr(quantiles, "stored", lambda df: seen.append(df.columns) or real(df))
+    rows = [(float(k), None if k % 3 else float(k % 50), None, "w" * 50) for k in range(4001)]
+    df = spark.createDataFrame(rows, "a double, `b.c` double, none double, wide string")
+    got = quantiles.exact_quantiles(df, ["a", "b.c", "none"], [0.0, 0.3, 0.5, 1.0])
+    assert got["a"] == {0.0: 0.0, 0.3: 1200.0, 0.5: 2000.0, 1.0: 4000.0} and set(got["none"].values()) == {None}
+    mine = sorted(b for _, b, *_ in rows if b is not None)
+    assert got["b.c"][0.5] == mine[(len(mine) - 1) // 2] / 2 + mine[len(mine) // 2] / 2
+    assert seen == [["a", "b.c", "none"]]  # the join or file behind is read once, and no other column
+    assert quantiles.exact_quantiles(df.where("false"), ["a"], [0.5]) == {"a": {0.5: None}}
