@@ -38,10 +38,12 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,8 @@ from heronflow.llm.common import shared_folder, spread_join, stored, table, text
 
 END, PIECES, PART_KEYS = 2, 500_000, 1 << 16
 UNITS, ODD = re.compile(r" ?\S+|\s+(?!\S)|\s+"), re.compile(r"[^\S \t\n\r]")
+#: RE2: two white characters in a row, or any other than blank and line feed, or the mark of cuts.
+UNEVEN = r"[ \n]{2}|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: How byte-level vocabularies write a blank; what ends a piece; pieces of a call.
 BLANK, WHITE, TOGETHER = "\u0120", " \t\n\r", 1000
 MAGIC = 0x31485044494B4F54
@@ -73,6 +77,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([ODD.pattern, *map(re.escape, marks)]))
+        self.uneven = "|".join([UNEVEN, *map(re.escape, marks)])
 
         size = self.library.get_vocab_size()
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith(BLANK) for i in range(size)])
@@ -95,15 +100,42 @@ class Encoder:
     def by_library(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
+    def of_distinct(self, units: list[str]) -> list[bytes]:
+        """Ids of pieces that differ from each other; new ones are remembered as
+        long as there is room."""
+        new = [u for u in units if u and u not in self.known]
+        found = self.of_units(new)
+        get, known = found.get, self.known.get
+        out = [known(u) or get(u, b"") for u in units]
+        self.known.update(islice(found.items(), max(0, PIECES - len(self.known))))
+        return out
+
+    def of_even(self, texts: pa.Array) -> list[bytes]:
+        """Texts whose white characters are single blanks and line feeds: cut,
+        and joined from the distinct pieces' ids, for all texts at once."""
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 "), "\0")
+        units = cut.flatten().dictionary_encode()
+        codes = self.of_distinct(units.dictionary.to_pylist())
+        ids, size = np.frombuffer(b"".join(codes), self.kind), np.fromiter(map(len, codes), np.int64, len(codes)) // np.dtype(self.kind).itemsize
+        at, which = np.cumsum(size) - size, units.indices.to_numpy()
+        count = size[which]
+        end = np.cumsum(count)
+        data = ids[np.repeat(at[which] - end + count, count) + np.arange(int(count.sum()))].tobytes()
+        edges = np.r_[0, end][cut.offsets.to_numpy() - cut.offsets[0].as_py()] * np.dtype(self.kind).itemsize
+        return [data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
     def encode(self, batch: list[str]) -> list[bytes]:
+        texts = pa.array(batch, pa.large_string())
+        uneven = pc.match_substring_regex(texts, self.uneven)
+        out = iter(self.of_even(texts.filter(pc.invert(uneven))))
+        others = iter(self.of_uneven([t for t, x in zip(batch, uneven.to_pylist(), strict=True) if x]))
+        return [next(others if x else out) for x in uneven.to_pylist()]
+
+    def of_uneven(self, batch: list[str]) -> list[bytes]:
         cut = [[] if self.odd.search(t) else UNITS.findall(t) for t in batch]
-        new = list(set().union(*cut).difference(self.known))
-        self.known.update(self.of_units(new))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) if c or not t else self.by_library([t])[0] for c, t in zip(cut, batch, strict=True)]
-        for unit in new[max(0, len(new) - max(0, len(self.known) - PIECES)) :]:
-            del self.known[unit]
-        return out
+        units = list(set().union(*cut))
+        get = dict(zip(units, self.of_distinct(units), strict=True)).__getitem__
+        return [b"".join(map(get, c)) if c or not t else self.by_library([t])[0] for c, t in zip(cut, batch, strict=True)]
 
 
 @lru_cache(1)

@@ -64,3 +64,15 @@ def test_empty(spark):
     store = T.write_store(spark.createDataFrame([], "doc_id bigint, text string"), PATH)
     assert T.fetched(store, store.entries).collect() == []
     assert [r.shard for r in T.looked_up(store, spark.createDataFrame([(1, 0)], "doc_id bigint, k bigint")).collect()] == [None]
+
+
+def test_even_texts_are_joined_for_a_batch(library, monkeypatch):
+    """Texts of single blanks and line feeds need no list of pieces each; the
+    order of the batch is kept."""
+    texts = ["", "one two,\nthree four. one", "\ntwo", "one ", "two  blanks", "a\tb", " one two", "", "nul\x00 here", "three\n"]
+    encoder = T.Encoder(PATH, "<u2")
+    want = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+    monkeypatch.setattr(T, "UNITS", None)
+    even = [0, 1, 2, 3, 6, 7, 9]
+    assert encoder.encode([texts[k] for k in even]) == [want[k] for k in even]
