@@ -146,7 +146,9 @@ class Sizes:
         self.exact_shards = max(1, -(-n_bytes // candidates_a_shard))
 
     def cells(self, h: np.ndarray, row: int = 0) -> np.ndarray:
-        return (mixed(h + U64(row * 0x632BE59BD9B4E019 % 2**64)) if row else h) >> U64(64 - self.cell_bits)
+        """Mixed again: minimizers are small hashes, most of which would fall to
+        the first shard."""
+        return mixed(h + U64((row + 1) * 0x632BE59BD9B4E019 % 2**64)) >> U64(64 - self.cell_bits)
 
     def cuts(self, cells: np.ndarray) -> np.ndarray:
         """Where the shards of ascending cells begin, and the end."""

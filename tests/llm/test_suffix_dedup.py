@@ -116,3 +116,11 @@ def test_parts_of_a_shard_give_the_same(monkeypatch):
     assert sum(map(len, runs)) > 5 * 3_000
     got = dedup.by_parts(runs, anchors, doc)
     assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
+def test_cells_of_minimizers_are_spread_over_shards():
+    data = np.random.default_rng(5).integers(97, 123, 200_000).astype(np.uint8)
+    key = B.minimizers(data, dedup.GRAM, dedup.WINDOW, B.window_starts(np.array([len(data)]), dedup.WINDOW), by=dedup._BYTE)[3]
+    sizes = B.Sizes(455_000_000, 0.08, 4 << 20, dedup.SPARE_BITS)
+    held = np.diff(sizes.cuts(np.unique(sizes.cells(key))))
+    assert sizes.shards == 32 and held.max() < 1.5 * held.mean()
