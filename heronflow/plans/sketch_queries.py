@@ -73,7 +73,8 @@ def pcap_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packets(spark, sf_dir)
     body = F.concat_ws("|", "packet_id", "device_id", "payload_size", F.repeat(F.lit("x"), (F.col("payload_size") % 400).cast("int")))
     folder = new_folder(spark, "pcap")
-    pcap.write_pcap(rows.select("ts", body.alias("data")).repartition(3), folder)
+    dealt = rows.select("ts", "packet_id", "device_id", "payload_size").repartition(max(3, spark.sparkContext.defaultParallelism))
+    pcap.write_pcap(dealt.select("ts", body.alias("data")), folder)
     back = pcap.read_pcap(spark, folder, 64 << 10).select("ts", F.split(F.col("data").cast("string"), r"\|").alias("p"))
     return back.select(F.col("p")[0].cast("bigint").alias("packet_id"), "ts", F.col("p")[1].cast("bigint").alias("device_id"), F.col("p")[2].cast("bigint").alias("payload_size"))
 

@@ -22,6 +22,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -112,17 +113,33 @@ def _files(path: str) -> list[tuple[str, int]]:
 _WALKED = "path string, start bigint, stop bigint, began bigint, ended bigint"
 
 
+def _dealt(ranges: DataFrame, n_bytes: int, n: int) -> DataFrame:
+    """Neighbouring ranges go to one task, :data:`RANGE_BYTES` in all or more, so
+    that small ranges do not make as many tasks."""
+    tasks = min(n, max(ranges.sparkSession.sparkContext.defaultParallelism, n_bytes // RANGE_BYTES))
+    return ranges.repartitionByRange(max(1, tasks), "path", "start").sortWithinPartitions("path", "start")
+
+
+def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Capture]]:
+    """Ranges with their files; one that the next range needs stays open, with
+    what was read of it."""
+    file, path = None, None
+    for batch in batches:
+        for r in batch.to_pylist():
+            if file is None or r["path"] != path:
+                file, path = Capture(r["path"]), r["path"]
+            yield r, file
+
+
 def _walked(ranges: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                file = Capture(r["path"])
-                began = ended = r["stop"]
-                if file.order:
-                    began = ended = file.first(r["start"], r["stop"]) if r["began"] is None else r["began"]
-                    for at, _, n in file.walk(began, r["stop"]):
-                        ended = at + PACKET + n
-                yield pa.RecordBatch.from_pylist([{**r, "began": began, "ended": ended}])
+        for r, file in _captures(batches):
+            began = ended = r["stop"]
+            if file.order:
+                began = ended = file.first(r["start"], r["stop"]) if r["began"] is None else r["began"]
+                for at, _, n in file.walk(began, r["stop"]):
+                    ended = at + PACKET + n
+            yield pa.RecordBatch.from_pylist([{**r, "began": began, "ended": ended}])
 
     return ranges.mapInArrow(run, _WALKED)
 
@@ -132,18 +149,19 @@ def ranges_of(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
     each range comes to the driver."""
     cut = [(name, start, min(start + range_bytes, size), None, None) for name, size in _files(path) for start in range(0, size, range_bytes)]
     asked = spark.createDataFrame(cut, _WALKED)
-    known = {(r.path, r.start): r for r in _walked(asked.repartition(max(1, len(cut)))).collect()}
+    known = {(r.path, r.start): r for r in _walked(_dealt(asked, sum(r[2] - r[1] for r in cut), len(cut))).collect()}
     while True:
-        wrong = []
+        wrong = {}
         for (name, start), r in sorted(known.items()):
+            if name in wrong:  # what follows in this file depends on it
+                continue
             before = known.get((name, start - range_bytes))
             # What a long packet goes beyond has no packet of its own.
             if before and (want := max(before.ended, start)) != r.began and (before.ended > start or r.began < r.stop):
-                wrong.append((name, start, r.stop, want if before.ended >= start else r.stop, None))
-                break
+                wrong[name] = (name, start, r.stop, want if before.ended >= start else r.stop, None)
         if not wrong:
             break
-        known |= {(r.path, r.start): r for r in _walked(spark.createDataFrame(wrong, _WALKED)).collect()}
+        known |= {(r.path, r.start): r for r in _walked(spark.createDataFrame(list(wrong.values()), _WALKED)).collect()}
     return spark.createDataFrame([tuple(known[k]) for k in sorted(known)], _WALKED)
 
 
@@ -151,16 +169,11 @@ def _packets(ranges: DataFrame) -> DataFrame:
     """Of ranges with path, began and stop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                file, rows = Capture(r["path"]), []
-                for at, t, n in file.walk(r["began"], r["stop"]) if file.order else ():
-                    rows.append({"ts_us": t, "data": file.bytes_at(at + PACKET, n), "file": r["path"]})
-                    if len(rows) == ROWS:
-                        yield pa.RecordBatch.from_pylist(rows)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows)
+        for r, file in _captures(batches):
+            found = ((t, file.bytes_at(at + PACKET, n)) for at, t, n in file.walk(r["began"], r["stop"])) if file.order else iter(())
+            while some := list(islice(found, ROWS)):
+                times, data = zip(*some, strict=True)
+                yield pa.record_batch([pa.array(times, pa.int64()), pa.array(data, pa.binary()), pa.array([r["path"]] * len(some), pa.string())], names=["ts_us", "data", "file"])
 
     rows = ranges.select("path", "began", "stop").mapInArrow(run, "ts_us bigint, data binary, file string")
     return rows.select(F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "data", F.regexp_extract("file", "([^/]+)$", 1).alias("interface"))
@@ -170,7 +183,8 @@ def read_pcap(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
     """ts, data, interface (the file's name) of every packet of a file or of
     all files below a folder."""
     ranges = ranges_of(spark, path, range_bytes).where("began < stop")
-    return _packets(ranges.repartition(max(1, ranges.count()), "path", "start"))
+    n, n_bytes = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    return _packets(_dealt(ranges, n_bytes, n))
 
 
 def stream_pcap(spark: SparkSession, folder: str) -> DataFrame:

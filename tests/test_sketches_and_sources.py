@@ -154,3 +154,9 @@ def test_autoregression_finds_what_the_deviation_does_not(spark):
 
     assert hits(scored) > hits(plain) and hits(scored) >= 9
     assert sequence.fit(df.where("d > 9"), "v", ["d"], ["k"], 2).weights == [0.0, 0.0]
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(pcap.to_pcap([(k, b"x" * 50) for k in range(2000)]))
+    rows = pcap.read_pcap(spark, str(tmp_path), 512)
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and rows.count() == 2000
