@@ -86,3 +86,24 @@ def test_quantiles_shuffle_only_the_parts_asked_for(spark, monkeypatch):
     assert got["b.c"][0.5] == mine[(len(mine) - 1) // 2] / 2 + mine[len(mine) // 2] / 2
     assert seen == [["a", "b.c", "none"]]  # the join or file behind is read once, and no other column
     assert quantiles.exact_quantiles(df.where("false"), ["a"], [0.5]) == {"a": {0.5: None}}
+
+
+def test_forest_walks_all_rows_level_by_level():
+    import numpy as np
+    import pandas as pd
+
+    from heronflow.ml import forest
+
+    x = np.random.default_rng(3).normal(size=(300, 3))
+    nodes = pd.DataFrame([n for t in range(4) for n in forest.grow_by_hash(x[:64], t, 64, 42)], columns=["tree", "node", "feature", "threshold", "size"])
+    total = np.zeros(len(x))
+    for _, part in nodes.groupby("tree"):
+        held = part.set_index("node").to_dict("index")
+        for k, row in enumerate(x):
+            at, depth = 1, 0
+            while held[at]["feature"] >= 0:
+                at, depth = 2 * at + int(row[held[at]["feature"]] > held[at]["threshold"]), depth + 1
+            total[k] += (depth + float(forest.average_path(held[at]["size"]))) / float(forest.average_path(held[1]["size"]))
+    made = forest.Forest(nodes)
+    assert np.allclose(made.scores(x), 2 ** (-total / 4))
+    assert max(len(path) for *_, path, _ in made.trees) < 128  # nodes that there are, not 2 ** depth
