@@ -1,6 +1,7 @@
 """Streams that keep state, and keyed tables, beyond what their queries show."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,60 @@ def test_profiles_leave_no_state_behind(spark, tmp_path):
     assert got[4, first + 2].profile_observations == 3 and got[4, first + 9].profile_observations == 1
 
 
+class Held:
+    """A handle of one device that counts what is asked of it."""
+
+    def __init__(self):
+        self.timers, self.calls, self.states = set(), 0, []
+
+    def getValueState(self, *_):
+        def call(f):
+            def counted(*a):
+                self.calls += 1
+                return f(*a)
+
+            return counted
+
+        held = [None]
+        put = lambda v: held.__setitem__(0, v)
+        self.states.append(held)
+        return SimpleNamespace(get=call(lambda: held[0]), update=call(put), clear=call(lambda: put(None)))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_state_of_profiles_is_read_once_a_device_and_batch():
+    """Not once a day of the device, which took most of the time on large tables."""
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+    one, held = profiles.DeviceProfiles(5), Held()
+    one.init(held)
+    rows = lambda days: iter([(None, 7, d, 10, d % 2) for d in days for _ in range(3)] + [(None, 7, None, 1, 1), (None, 7, days[0], None, None)])
+    list(one.handleInputRows((7,), rows([5, *range(30, 60)]), None))
+    list(one.handleInputRows((7,), rows([*range(20), *range(30, 60)]), None))
+    assert held.calls <= 11 and held.timers == {1 * profiles.DAY_MS}
+
+    def fire(watermark):
+        at = min(held.timers)
+        assert at <= watermark * profiles.DAY_MS
+        out = list(one.handleExpiredTimer((7,), TimerValues(0, watermark * profiles.DAY_MS), ExpiredTimerInfo(at)))
+        held.timers.remove(at)
+        return out
+
+    calls = held.calls
+    assert [tuple(r) for r in fire(2)] == [(7, 0, 4, 30, 0, 1, 4, 30), (7, 1, 3, 30, 3, 2, 7, 60)]
+    out = {r[1]: tuple(r)[2:] for r in fire(60)}
+    assert held.calls - calls <= 12 and sorted(out) == [*range(2, 20), *range(30, 60)]
+    assert out[5][:3] == (7, 60, 6) and out[19][3] == 20 and out[30] == (6, 60, 0, 1, 6, 60) and out[59][3] == 30
+    assert held.timers == {66 * profiles.DAY_MS} and fire(66) == [] and held.states == [[None]] * 3 and not held.timers
+
+
 def test_records_without_partner_and_times_apart(spark, tmp_path):
     fields = "ts timestamp_ntz, k bigint, v string, seq bigint"
     one = [(day(0), 1, "a", 1), (day(0), 1, "b", 2), (day(1), 2, "c", 1), (day(90), 0, None, 1)]
