@@ -77,14 +77,26 @@ def temporal(flows: DataFrame, window: Column | str, extra: list[str] | None = N
 
 
 def device(flows: DataFrame) -> DataFrame:
-    """OP-56: behaviour of each device; flows are ordered by (ts, flow_id)."""
-    rows = with_gaps(derived(flows), ["device_id"], ["ts", "flow_id"], "gap_s", 1e6)
+    """OP-56: behaviour of each device; gaps are between its flows in order of time.
+
+    Flows of one time have no gap between them in any order, so time alone orders
+    them. Rows go once to their device's task, with what is needed only, and are
+    sorted there by time and by each address: an address counts where it first
+    comes. Sorts can spill; sets of addresses, or a copy of each row for each
+    distinct count, would be held in memory.
+    """
+    every = Window.partitionBy("device_id")
+    first = lambda c: (F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.lag(c).over(every.orderBy(c)))).cast("bigint")
+    used = derived(flows).select("device_id", "ts", "protocol", "destination_ip", "source_ip", "total_bytes", "duration_ms")
+    rows = with_gaps(used, ["device_id"], ["ts"], "gap_s", 1e6).drop("ts")
+    rows = rows.withColumn("destination", first("destination_ip")).drop("destination_ip")
+    rows = rows.withColumn("source", first("source_ip")).drop("source_ip")
     share = lambda p: (F.count_if(F.col("protocol") == p) / F.count("*")).alias(f"{p.lower()}_preference")
     seconds = F.sum(F.when(F.col("duration_ms") > 0, F.col("duration_ms"))) / 1000
     return rows.groupBy("device_id").agg(
-        F.count_distinct("destination_ip").cast("double").alias("unique_destinations"),
-        F.count_distinct("source_ip").cast("double").alias("unique_sources"),
-        (F.count_distinct("destination_ip") + F.count_distinct("source_ip")).cast("double").alias("communication_diversity"),
+        F.sum("destination").cast("double").alias("unique_destinations"),
+        F.sum("source").cast("double").alias("unique_sources"),
+        (F.sum("destination") + F.sum("source")).cast("double").alias("communication_diversity"),
         F.coalesce(F.avg("gap_s"), F.lit(0.0)).alias("avg_inter_flow_time"),
         F.coalesce(F.stddev_samp("gap_s"), F.lit(0.0)).alias("inter_flow_time_std"),
         share("TCP"),

@@ -115,6 +115,15 @@ def test_event_validation_and_enrichment(spark):
     assert len(bad.first()["errors"]) == 4
 
 
+def test_device_features_copy_no_rows(spark):
+    rows = flow_rows(3, destination_ip="192.0.2.1") + flow_rows(2, destination_ip="192.0.2.2") + flow_rows(2, destination_ip=None)
+    out = features.device(spark.createDataFrame(rows, FLOW))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 1
+    (got,) = out.collect()
+    assert (got.unique_destinations, got.unique_sources, got.communication_diversity) == (2.0, 1.0, 3.0)
+
+
 def test_profiles_cases(spark):
     mac = spark.createDataFrame([("00-40-8C-11-22-33",), ("b827.eb11.2233",), ("00:40:8c:zz:22:33",), (None,)], "mac string")
     assert sorted((r.vendor or "") for r in profiles.vendor_lookup(mac, profiles.oui_table(spark)).collect()) == ["", "", "Axis Communications", "Raspberry Pi Foundation"]
