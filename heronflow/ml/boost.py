@@ -11,18 +11,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronflow.ml.preprocess import categorical_columns
+from heronflow.sources.checkpoints import stored
 
 
 def boosted(train: DataFrame, columns: list[str], label: str, categorical: list[str] | None = None, rounds: int = 20, depth: int = 4):
     """A fitted pipeline; a fifth of the rows (by hash) stops it early. Columns
-    of text and booleans are taken as categories; ``categorical`` adds to them."""
+    of text and booleans are taken as categories; ``categorical`` adds to them.
+
+    Fitting reads its rows dozens of times. Rows alike are one row of their number's
+    weight, and these are stored, so ``train`` itself is worked out once."""
     found = categorical_columns(train, columns)
     columns, categorical = [c for c in columns if c not in found], sorted({*found, *(categorical or [])})
+    used = list(dict.fromkeys([*columns, *categorical, label]))
+    train = stored(train.groupBy(*used).agg(F.count("*").cast("double").alias("_weight")))
     train = train.withColumns({c: F.col(c).cast("string") for c in categorical})
     index = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical]
     parts = [*columns, *(f"{c}__i" for c in categorical)]
     rows = train.withColumn("_hold", F.pmod(F.xxhash64(*columns, *categorical), F.lit(5)) == 0)
-    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, maxBins=128, stepSize=0.1, validationIndicatorCol="_hold", seed=42)
+    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, maxBins=128, stepSize=0.1, validationIndicatorCol="_hold", weightCol="_weight", seed=42)
     return Pipeline(stages=[*index, VectorAssembler(inputCols=parts, outputCol="_x", handleInvalid="keep"), model]).fit(rows)
 
 

@@ -58,6 +58,22 @@ def test_categories_are_found(spark):
     assert boost.probability(model, df.limit(1).withColumn("text", F.lit("never seen"))).count() == 1
 
 
+def test_boosting_works_its_rows_out_once(spark):
+    """Rows alike are fitted as one, by weight; a label's share decides, not how many kinds of rows there are."""
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.range(4000, numPartitions=2).selectExpr("cast(id % 4 as int) as x", "cast(id % 400 < 300 as string) as c", "cast(if(id % 4 = 3, id % 40 <> 3, id % 40 = 0) as double) as y")
+    model = boost.boosted(df.mapInArrow(told, df.schema), ["x"], "y", ["c"], rounds=5, depth=2)
+    assert read.value == 4000
+    means = {r.x: r.m for r in boost.probability(model, df).groupBy("x").agg(F.avg("score").alias("m")).collect()}
+    assert means[3] > 0.6 and max(means[k] for k in (0, 1, 2)) < 0.4
+
+
 def test_hash_forest(spark):
     df = labelled(spark)
     nodes = forest.fit_by_hash(df, "id", ["a", "b"], trees=12, sample=64)
