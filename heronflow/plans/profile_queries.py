@@ -127,13 +127,7 @@ def profile_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles learned from the first half of each device's time."""
     old = flows(spark, sf_dir).where("ts < timestamp_ntz'1998-01-01'")
-    return (
-        profiles.protocol_baseline(old)
-        .where("observations >= 10")
-        .join(profiles.destinations(old, 100), "device_id")
-        .join(profiles.bandwidth_baseline(old, F.lit(0)), "device_id")
-        .withColumn("hour_of_day", F.array(*(F.lit(0.1 if h == 3 else 0.5) for h in range(24))))
-    )
+    return profiles.baselines(old, 100).where("observations >= 10").withColumn("hour_of_day", F.array(*(F.lit(0.1 if h == 3 else 0.5) for h in range(24))))
 
 
 @query(

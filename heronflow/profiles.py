@@ -150,6 +150,51 @@ def bandwidth_baseline(observed: DataFrame, current: Column) -> DataFrame:
     return out.select("device_id", "median_bps", F.when((F.col("n") >= 10) & F.col("median_bps").isNotNull(), blended).otherwise(current).cast("bigint").alias("typical_bandwidth_bps"))
 
 
+def baselines(observed: DataFrame, most: int = 100, last: int = 100) -> DataFrame:
+    """OP-61 to OP-63 for devices without defaults, in one pass: observations,
+    normal_protocols, allowed_destinations, median_bps, typical_bandwidth_bps, as
+    :func:`protocol_baseline`, :func:`destinations` and
+    :func:`bandwidth_baseline` (of 0) give them one by one, for devices with at
+    least one destination.
+
+    Each of these would join, shuffle and rank the observations anew. Here rows
+    go once to their device's task; what counts of a row is told by windows of
+    the device, which are sorted there.
+    """
+    device = Window.partitionBy("device_id")
+    total = F.col("bytes_sent") + F.col("bytes_received")
+    bps = F.when(F.col("duration_ms") > 0, total * 8 / (F.col("duration_ms") / 1000))
+    rows = observed.select("device_id", "ts", "flow_id", F.upper("protocol").alias("p"), "destination_ip", bps.alias("bps"))
+    late = F.row_number().over(device.orderBy(F.desc("ts"), F.desc("flow_id"))) <= last
+    rows = rows.select("device_id", "p", "destination_ip", late.alias("late"), F.when(late, F.col("bps")).alias("bps"))
+    rows = rows.withColumn("to", F.count("*").over(Window.partitionBy("device_id", "destination_ip")))
+    rows = rows.withColumn("place", F.dense_rank().over(device.orderBy(F.desc("to"), "destination_ip")))
+    # One row a protocol, then one a device.
+    kinds = rows.groupBy("device_id", "p").agg(
+        F.count("*").alias("n"),
+        F.count_if("late").alias("late"),
+        F.collect_set(F.when(F.col("place") <= most, F.col("destination_ip"))).alias("to"),
+        F.collect_list("bps").alias("bps"),
+    )
+    out = kinds.groupBy("device_id").agg(
+        F.sum("n").alias("observations"),
+        F.sum("late").alias("late"),
+        F.collect_list(F.struct("n", "p")).alias("kinds"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("to")))).alias("allowed_destinations"),
+        F.sort_array(F.flatten(F.collect_list("bps"))).alias("bps"),
+    )
+    known = F.filter("kinds", lambda k: k["p"].isNotNull())
+    often = F.transform(F.filter(known, lambda k: k["n"] / F.col("observations") > 0.05), lambda k: k["p"])
+    first = F.array_sort(F.transform("kinds", lambda k: F.struct((-k["n"]).alias("n"), k["p"].alias("p"))))[0]["p"]
+    top = F.array_compact(F.array(first))
+    learned = F.when((F.col("observations") >= 10) & (F.size(often) == 0), top).otherwise(often)
+    n = F.size("bps")
+    low, high = F.get("bps", F.floor((n - 1) / 2).cast("int")), F.get("bps", F.floor(n / 2).cast("int"))
+    median = F.when(n > 0, F.floor(F.when(low == high, low).otherwise(low * 0.5 + high * 0.5)))
+    typical = F.when(F.col("late") >= 10, F.coalesce(median, F.lit(0))).otherwise(0).cast("bigint")
+    return out.select("device_id", "observations", F.array_sort(learned).alias("normal_protocols"), "allowed_destinations", median.alias("median_bps"), typical.alias("typical_bandwidth_bps"))
+
+
 def activity_schedule(observed: DataFrame, hours: list[float], days: list[float]) -> DataFrame:
     """OP-64: observations by hour and weekday over their greatest count, 40 %
     of it mixed into the old schedule; devices of under 24 observations keep

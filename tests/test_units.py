@@ -135,6 +135,20 @@ def test_profiles_cases(spark):
     assert sorted(r.type for r in profiles.anomalies(spark.createDataFrame(odd, FLOW), known).collect()) == ["bandwidth_anomaly", "destination_anomaly", "protocol_anomaly"]
 
 
+def test_baselines_in_one_pass_are_those_one_by_one(spark):
+    rows = flow_rows(30, destination_ip="192.0.2.1", duration_ms=1000) + flow_rows(1, protocol="udp", destination_ip="192.0.2.2", duration_ms=0) + flow_rows(9, destination_ip="192.0.2.3", duration_ms=500)
+    rows += flow_rows(9, device_id="few", destination_ip="192.0.2.9", duration_ms=100) + flow_rows(12, device_id="idle", destination_ip=None, duration_ms=0, protocol="ICMP")
+    for k in range(25):
+        rows += flow_rows(1, device_id="many", destination_ip=f"192.0.2.{k}", duration_ms=k + 1, protocol=f"P{k}") + flow_rows(1, device_id="nulls", destination_ip="192.0.2.1", protocol=None if k % 2 else "TCP", duration_ms=7)
+    df = spark.createDataFrame(rows, FLOW)
+    apart = profiles.protocol_baseline(df).join(profiles.destinations(df, 3), "device_id").join(profiles.bandwidth_baseline(df, F.lit(0)), "device_id")
+    out = profiles.baselines(df, 3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    columns = ["device_id", "observations", "normal_protocols", "allowed_destinations", "median_bps", "typical_bandwidth_bps"]
+    got, want = (sorted((tuple(r) for r in x.select(columns).collect()), key=repr) for x in (out, apart))
+    assert got == want and len(got) == 5
+
+
 def test_log_parsers(spark, tmp_path):
     (tmp_path / "conn.log").write_text("#fields\n1700000000.5\tC1\t10.0.0.1\t1234\t10.0.0.2\t80\ttcp\thttp\t1.5\t500\t1000\n1700000001\tC2\t10.0.0.1\t-\t10.0.0.2\t53\tgre\t-\t-\t-\t-\nshort\tline\n")
     (tmp_path / "dns.log").write_text("\t".join(["1700000002", "C3", "10.0.0.1", "5353", "8.8.8.8", "53", "udp", "1", "-", "example.com", "1", "A", "-", "-", "0", "NOERROR", "-", "-", "-", "-", "-", "1.2.3.4,5.6.7.8"]) + "\n")
