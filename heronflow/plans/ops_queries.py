@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heronflow import alerts, drift, enrich, flows as assembly, sampling, sketches
+from heronflow import alerts, detect, drift, enrich, flows as assembly, sampling, sketches
 from heronflow.operators import ranking, relational
 from heronflow.plans.catalog import query
 from heronflow.plans.feature_queries import NUDGE, _r, rounded
-from heronflow.plans.scoring import SCORED_SQL, all_detections
+from heronflow.plans.scoring import SCORED_SQL, all_detections, scored_flows
 from heronflow.sources.checkpoints import stored
 from heronflow.sources.fixtures import FLOWS_SQL, PACKETS_SQL, flows, packets
 
@@ -121,9 +121,14 @@ def protocol_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORED_SQL} SELECT d.flow_id, d.severity, f.source_ip, f.bytes_sent FROM scored d JOIN flows f USING (flow_id) WHERE d.severity IN ('CRITICAL', 'HIGH')")
 def detection_with_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-92e: each alert with its own flow, not the first of its batch."""
-    found = all_detections(spark, sf_dir).where("severity in ('CRITICAL', 'HIGH')").select("flow_id", "severity")
-    return found.join(flows(spark, sf_dir), "flow_id").select("flow_id", "severity", "source_ip", "bytes_sent")
+    """OP-92e: each alert with its own flow, not the first of its batch. Flows of
+    one id are of one order, on which they were joined, so an id's alerts and flows
+    meet where they are: flows are neither made a second time nor sent by id."""
+    rows = detect.fused(scored_flows(spark, sf_dir, "l_orderkey"))
+    alert = detect.worth_reporting() & F.col("severity").isin("CRITICAL", "HIGH")
+    rows = rows.select("l_orderkey", "flow_id", "source_ip", "bytes_sent", F.when(alert, F.col("severity")).alias("severity"))
+    found = rows.withColumn("severity", F.collect_list("severity").over(Window.partitionBy("l_orderkey", "flow_id")))
+    return found.select("flow_id", F.explode("severity").alias("severity"), "source_ip", "bytes_sent")
 
 
 # --- ranking ------------------------------------------------------------------

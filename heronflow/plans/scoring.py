@@ -23,9 +23,9 @@ RULE_TACTICS = {"R1": ["T1567"], "R4": ["T1595.001"]}
 RULE_ACTIONS = {"R5": ["Block source for an hour"]}
 
 
-def scored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_flows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Flows with rule matches and two stand-in model scores."""
-    rows = flows(spark, sf_dir).withColumn("bytes_total", F.col("bytes_sent") + F.col("bytes_received"))
+    rows = flows(spark, sf_dir, *more).withColumn("bytes_total", F.col("bytes_sent") + F.col("bytes_received"))
     stats = rows.agg(F.avg("bytes_total").alias("mean"), F.stddev_samp("bytes_total").alias("std"))
     size = 1 / (1 + F.exp(-(F.col("bytes_total") - F.col("mean")) / F.col("std")))
     rows = rows.crossJoin(F.broadcast(stats)).withColumn("duration_score", F.least(F.lit(1.0), F.col("duration_ms") / F.lit(2_000_000.0)))

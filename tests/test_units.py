@@ -149,6 +149,25 @@ def test_baselines_in_one_pass_are_those_one_by_one(spark):
     assert got == want and len(got) == 5
 
 
+def test_alerts_meet_their_flows_where_they_are(spark, tmp_path):
+    """Twins of one id give each alert with each flow, as a join by id does, and flows are made once."""
+    from heronflow import plans
+
+    source = "/root/testdata/sf0.001"
+    if not os.path.isdir(source):
+        pytest.skip("needs the driver tables")
+    for name in ("orders", "lineitem"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = spark.read.parquet(f"{source}/lineitem.parquet").where("l_orderkey % 5 = 0")
+    lines.union(lines.withColumn("l_quantity", F.lit(50.0))).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    out = plans.QUERIES["detection_with_flow"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_") == 2  # one for the mean of all
+    found = plans.scoring.all_detections(spark, str(tmp_path)).where("severity in ('CRITICAL', 'HIGH')").select("flow_id", "severity")
+    want = found.join(plans.scoring.flows(spark, str(tmp_path)), "flow_id").select("flow_id", "severity", "source_ip", "bytes_sent")
+    rows = sorted(map(tuple, out.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) > len(set(rows))
+
+
 def test_log_parsers(spark, tmp_path):
     (tmp_path / "conn.log").write_text("#fields\n1700000000.5\tC1\t10.0.0.1\t1234\t10.0.0.2\t80\ttcp\thttp\t1.5\t500\t1000\n1700000001\tC2\t10.0.0.1\t-\t10.0.0.2\t53\tgre\t-\t-\t-\t-\nshort\tline\n")
     (tmp_path / "dns.log").write_text("\t".join(["1700000002", "C3", "10.0.0.1", "5353", "8.8.8.8", "53", "udp", "1", "-", "example.com", "1", "A", "-", "-", "0", "NOERROR", "-", "-", "-", "-", "-", "1.2.3.4,5.6.7.8"]) + "\n")
