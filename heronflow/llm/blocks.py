@@ -30,7 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import small_batches, utf8_bytes
+from heronflow.llm.common import releasing, small_batches, utf8_bytes
 
 BLOCK_BYTES = 4 << 20
 #: Positions that are looked at together.
@@ -232,7 +232,7 @@ def answered(rows: DataFrame, shards: int, answer: Callable[[dict[str, list]], l
         if now is not None:
             yield replies(now, held)
 
-    return rows.repartition(min(shards, MAX_PARTITIONS), "step", "shard").sortWithinPartitions("step", "shard").mapInArrow(run, ANSWER)
+    return rows.repartition(min(shards, MAX_PARTITIONS), "step", "shard").sortWithinPartitions("step", "shard").mapInArrow(releasing(run), ANSWER)
 
 
 def repeated_cells(mine: dict[str, list], most: int) -> tuple[list[bytes], list[bytes]]:

@@ -10,6 +10,10 @@ edges of a node, hubs are set apart: nodes with more than one in
 :data:`HUBS` of all edge ends, of which there can be no more than :data:`HUBS`,
 are broadcast with their least neighbours, so their edges stay where they are;
 only edges of the other nodes are joined by a shuffle.
+
+A round has a task for each :data:`TASK_EDGES` edges. With the session's number of
+shuffle partitions, and unions of them, rounds on few edges would write thousands
+of files with next to nothing in them.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 from heronflow.llm.common import shared
 
 HUBS = 4_000
+TASK_EDGES = 50_000
 
 
 def _with_least(rows: DataFrame, ends: DataFrame, n: int) -> DataFrame:
@@ -37,6 +42,11 @@ def _pointed(rows: DataFrame) -> DataFrame:
     return rows.where("u > v").distinct()
 
 
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, about ``n``, in no more partitions than these need."""
+    return rows.coalesce(1 + n // TASK_EDGES)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for each node of ``edges`` (u, v): the least node it reaches.
 
@@ -46,12 +56,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = shared(_pointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
     n, before = edges.count(), None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _dealt(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), n)
         large = _with_least(both.where("v > u"), both, 2 * n).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = shared(_pointed(large))
+        large = shared(_dealt(_pointed(_dealt(large, n)), n))
         told = _with_least(large, large, large.count())
         small = told.select(F.col("v").alias("u"), F.col("m").alias("v")).union(told.select("u", F.col("m").alias("v")))
-        edges = shared(_pointed(small))
+        edges = shared(_dealt(_pointed(_dealt(small, n)), n))
         # Sums of 40 bits each cannot overflow below 8 million million edges.
         now = edges.agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 24)).alias("h")).first()
         if now == before:

@@ -59,7 +59,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import shared, sized, table, texts
+from heronflow.llm.common import releasing, shared, sized, table, texts
 
 K1, B = 1.2, 0.75
 THRESHOLD, ASIDE, BLOCK = 0.5, 0.4, 4
@@ -374,7 +374,7 @@ def _search(docs: DataFrame, index) -> DataFrame:
         if ids:
             yield found(held, ids, words)
 
-    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, FOUND)
+    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(releasing(run), FOUND)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

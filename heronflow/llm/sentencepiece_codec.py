@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from heronflow.llm.common import small_batches, table, texts, without
+from heronflow.llm.common import releasing, small_batches, table, texts, without
 
 MARK = "▁"
 #: A Python worker remembers up to twice as many words, about 70 MB, none of
@@ -266,7 +266,7 @@ def encode_documents(docs: DataFrame, model_path: str, carry: bool = False) -> D
                 yield pa.record_batch([*part.columns[:kept], *found], names=schema.names)
         model.forget()
 
-    return rows.mapInArrow(encoded, schema)
+    return rows.mapInArrow(releasing(encoded), schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

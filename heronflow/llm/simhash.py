@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronflow.llm.common import shared, sized, table, texts
+from heronflow.llm.common import releasing, shared, sized, table, texts
 from heronflow.llm.components import components
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -199,8 +199,8 @@ def fingerprint_links(fps: DataFrame, n: int, threshold: int = THRESHOLD) -> Dat
         yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
     # A number of partitions of its own: so few bytes would be put in one task.
-    replicas = fps.select("fp").repartition(max(1, -(-n // TASK_FINGERPRINTS)), "fp").mapInArrow(replicate, "bucket bigint, anchors binary, fps binary")
-    return replicas.repartition(buckets, "bucket").mapInArrow(compare, "u bigint, v bigint")
+    replicas = fps.select("fp").repartition(max(1, -(-n // TASK_FINGERPRINTS)), "fp").mapInArrow(releasing(replicate), "bucket bigint, anchors binary, fps binary")
+    return replicas.repartition(buckets, "bucket").mapInArrow(releasing(compare), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from heronflow.llm import blocks as B
-from heronflow.llm.common import fresh, table
+from heronflow.llm.common import fresh, released, table
 from heronflow.llm.substring_dedup import covered
 
 WINDOW, GRAM = 50, 24
@@ -371,10 +371,10 @@ def drop_repeated(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
             found.append(rows.column("rest").take(pa.array(block.rows, pa.int64())))
         return pa.table([*found, pa.array(kept, pa.binary() if carry is None else pa.string())], names=schema.names)
 
-    repeated = B.answered(dealt.groupBy("block").applyInArrow(send_cells, B.CELLS), sizes.shards, repeated_and_hot(HOT_BLOCKS))
-    runs = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(send_runs, RUNS)
+    repeated = B.answered(dealt.groupBy("block").applyInArrow(lambda rows: released(send_cells(rows)), B.CELLS), sizes.shards, repeated_and_hot(HOT_BLOCKS))
+    runs = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(lambda rows, flags: released(send_runs(rows, flags)), RUNS)
     taken = B.answered(runs, sizes.exact_shards, taken_windows)
-    return dealt.groupBy("block").cogroup(repeated.union(taken).groupBy("block")).applyInArrow(result, schema)
+    return dealt.groupBy("block").cogroup(repeated.union(taken).groupBy("block")).applyInArrow(lambda rows, flags: released(result(rows, flags)), schema)
 
 
 def _whole(raw: np.ndarray, gone: np.ndarray) -> str:

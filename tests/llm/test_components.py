@@ -34,3 +34,24 @@ def test_against_union_find(spark, monkeypatch, hubs):
     for name, edges in graphs().items():
         got = [(r.u, r.root) for r in c.components(spark.createDataFrame(edges, "u long, v long")).collect()]
         assert set(got) == brute(edges) and len(got) == len(set(got)), name
+
+
+def test_few_edges_make_few_files(spark, tmp_path):
+    """Rounds on 300 edges once wrote a file for each of 64 partitions, several times a round."""
+    context = spark.sparkContext._jsc.sc()
+    before = context.getCheckpointDir()
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = c.components(spark.createDataFrame([(k, k + 1) for k in range(300)], "u bigint, v bigint").coalesce(1)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        if before.isDefined():
+            spark.sparkContext.setCheckpointDir(before.get())
+    assert sorted(map(tuple, rows)) == [(k, 0) for k in range(301)]
+    # 64 of the edges as they come; then two tables a round.
+    assert len(list(tmp_path.rglob("part-*"))) < 64 + 40
