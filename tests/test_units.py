@@ -298,6 +298,23 @@ def test_a_busy_key_is_cooled_down_in_parts(spark, monkeypatch):
         assert sorted(r.k for r in out.collect()) == want
 
 
+def test_rows_are_computed_once_for_the_cooldown(spark):
+    """They once were for the times, and again for the rows at these times."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    # Of two rows at one time the first passes; times that are not known never do.
+    rows = [("d", T0 + dt.timedelta(minutes=m), k) for k, m in enumerate((0, 3, 3, 1, 6, 6, 9))] + [("d", None, 7), ("e", T0, 8)]
+    df = spark.createDataFrame(rows, "device_id string, ts timestamp_ntz, k int")
+    out = alerts.cooled_down(df.mapInArrow(count, df.schema), ["device_id"], ["k"], 3)
+    assert out.columns == df.columns and sorted(r.k for r in out.collect()) == [0, 1, 4, 6, 8]
+    assert seen.value == len(rows)
+
+
 def test_what_may_be_missing_from_the_entry(tmp_path):
     import subprocess
     import sys
